@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "pstable")
+MODULES = ("simhash", "gif", "pstable")
 
 
 def _gather(name: str) -> dict:
