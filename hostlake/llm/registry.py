@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "gif", "pstable")
+MODULES = ("simhash", "gif", "toxicity", "pstable", "language", "quality")
 
 
 def _gather(name: str) -> dict:
