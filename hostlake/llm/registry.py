@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "gif", "toxicity", "pstable", "language", "mixing", "quality")
+MODULES = ("simhash", "gif", "toxicity", "pstable", "language", "mixing", "substring", "quality")
 
 
 def _gather(name: str) -> dict:
