@@ -200,6 +200,11 @@ def repeats_removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     return keyed.select(*base.columns, "earlier").mapInArrow(each, schema)
 
 
+def repeats_applied(docs: DataFrame) -> DataFrame:
+    """``docs`` with the repeats gone from ``text`` and ``n_chars`` brought up to date; rows and columns stay."""
+    return repeats_removed(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def op9_substring(spark, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
