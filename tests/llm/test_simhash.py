@@ -84,3 +84,22 @@ def test_pipeline_stage_drops_near_copies_only(spark):
     rows = [(1, " ".join(words)), (2, edit(2)), (3, edit(80)), (4, " ".join(reversed(words))), (None, "x"), (6, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()} == {1, 3, 4, None, 6}
+
+
+def test_large_buckets_are_split(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, 8).astype(np.uint8)
+    rows = []
+    for i in range(120):
+        fp = base.copy()
+        fp[rng.integers(0, 8, 2)] ^= 1 << rng.integers(0, 8, 2).astype(np.uint8)
+        rows.append((i, bytes(fp)))
+    rows = [(i, f) for f, i in {f: i for i, f in rows}.items()]
+    df = spark.createDataFrame(rows, "node long, fp binary")
+    want = None
+    for lanes in (1 << 13, 8):
+        monkeypatch.setattr(simhash, "LANES", lanes)
+        edges = simhash.similar_fingerprints(df, 2, simhash.exact_tables(64, 2), 64)
+        comps = {r.node: r.component for r in simhash.connected_components(edges, "a", "b").collect()}
+        want = want or comps
+        assert comps == want and len(comps) > 50
