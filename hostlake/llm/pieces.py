@@ -32,8 +32,8 @@ from hostlake.llm.runtime import staged, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands for a space in pieces.
 SPACE = "▁"
-#: Documents of a chunk, and the longest word that goes through the lattice.
-CHUNK_ROWS, LATTICE = 2048, 64
+#: Bytes of text that a chunk has about, and the longest word that goes through the lattice.
+CHUNK_BYTES, LATTICE = 48 << 20, 64
 
 
 @dataclass(frozen=True)
@@ -217,11 +217,13 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
 
 def _in_chunks(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
-    """``keep``, the text and ``__chunk``, the same for each run of CHUNK_ROWS rows of a file."""
+    """``keep``, the text and ``__chunk``, the same for runs of rows of a file with about CHUNK_BYTES of text."""
 
     def chunked(df: DataFrame) -> DataFrame:
-        chunk = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {CHUNK_ROWS}"))
-        return df.select(*keep, F.col(text).alias("__text"), chunk.alias("__chunk"))
+        mean = df.agg(F.avg(F.octet_length(text))).first()[0] or 1
+        rows = max(int(CHUNK_BYTES / max(mean, 1)), 1)
+        chunk = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {rows}"))
+        return df.select(*dict.fromkeys([*keep, text]), chunk.alias("__chunk"))
 
     try:
         return chunked(docs)
@@ -229,6 +231,30 @@ def _in_chunks(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
         return chunked(staged(docs.select(*dict.fromkeys([*keep, text]))))
 
 
+def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
+    """Columns as a compressed Arrow stream, so that texts and dictionaries travel small."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(columns, names=names)
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _pack_by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is the chunk become one blob per batch and chunk."""
+    for batch in batches:
+        chunk = batch.column(batch.num_columns - 1).to_numpy()
+        for c in np.unique(chunk):
+            part = batch.filter(pa.array(chunk == c))
+            blob = _packed(part.columns[:-1], part.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([blob], pa.binary())], names=["__chunk", "blob"])
+
+
+def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
+    for blob in blobs:
+        yield pa.ipc.open_stream(blob.as_buffer()).read_all()
+
+
 def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and ``ids`` (array<int>) of every whole text, as the library encodes it.
 
@@ -257,23 +283,31 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
             part = pa.array(short[at : at + 50_000], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), part], names=["chunk", "word"])
 
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        raw = right.column("ids").combine_chunks()
-        flat, at = raw.flatten().to_numpy(), raw.offsets.to_numpy() - raw.offsets[0].as_py()
-        known = {w: flat[a:b].tobytes() for w, a, b in zip(right.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True)} if right.num_rows else {}
-        out = []
-        for body in left.column("__text").to_pylist():
-            cut = pattern.findall(normalised(body or ""))
-            parts = [known[w] if len(w) <= LATTICE else np.array(segment_long(w, vocabulary), np.int32).tobytes() for w in cut]
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-        ids = pa.array(out, pa.list_(pa.int32())) if out else pa.array([], pa.list_(pa.int32()))
-        return pa.Table.from_arrays([*(left.column(c) for c in keep), ids], names=[*keep, "ids"])
-
-    pairs = base.select("__chunk", "__text").mapInArrow(words_of, "chunk long, word string").repartition("word")
-    ids = segmented(pairs.select("word").distinct(), vocabulary)
-    lookup = pairs.join(ids, "word").select(F.col("chunk").alias("__chunk"), "word", "ids")
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return base.groupBy("__chunk").cogroup(lookup.groupBy("__chunk")).applyInArrow(apply, schema)
+    names = schema.names
+
+    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
+        known: dict[str, bytes] = {}
+        for part in _unpacked(right.column("blob")):
+            ids = part.column("ids").combine_chunks()
+            flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+            known.update((w, flat[a:b].tobytes()) for w, a, b in zip(part.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
+        done = []
+        for part in _unpacked(left.column("blob")):
+            out = []
+            for body in part.column(text).to_pylist():
+                cut = pattern.findall(normalised(body or ""))
+                parts = [known[w] if len(w) <= LATTICE else np.array(segment_long(w, vocabulary), np.int32).tobytes() for w in cut]
+                out.append(np.frombuffer(b"".join(parts), np.int32))
+            done.append(pa.Table.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.list_(pa.int32()))], names=names))
+        return pa.concat_tables(done)
+
+    pairs = base.select("__chunk", text).mapInArrow(words_of, "chunk long, word string").repartition("word")
+    # the aggregate keeps both columns, so that it and the join below share one exchange
+    ids = segmented(pairs.groupBy("word").agg(F.min("chunk").alias("any")).select("word"), vocabulary)
+    lookup = pairs.join(ids, "word").select("word", "ids", F.col("chunk").alias("__chunk")).mapInArrow(_pack_by_chunk, "__chunk long, blob binary")
+    texts = base.mapInArrow(_pack_by_chunk, "__chunk long, blob binary")
+    return texts.groupBy("__chunk").cogroup(lookup.groupBy("__chunk")).applyInArrow(apply, schema)
 
 
 def decoded(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -25,13 +25,14 @@ def odd_texts():
     return texts
 
 
-def test_ids_equal_the_library(spark, bpe, library, tmp_path):
+def test_ids_equal_the_library(spark, bpe, library, tmp_path, monkeypatch):
     texts = odd_texts()
     rows = [(i, t, "k") for i, t in enumerate(texts)] + [(None, "hello world", None), (3, None, None), (3, "again", "x")]
     spark.createDataFrame(rows, "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     want = sorted((str(i), library.encode(t or "")) for i, t, _ in rows)
-    for source in (docs, docs.repartition(3)):
+    for source, size in ((docs, 48 << 20), (docs, 500), (docs.repartition(3), 500)):
+        monkeypatch.setattr(pieces, 'CHUNK_BYTES', size)
         got = pieces.encoded(source, bpe).collect()
         assert sorted((str(r.doc_id), r.ids) for r in got) == want
     done = pieces.op6_pieces(spark, str(tmp_path)).collect()
