@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands for a space in pieces.
 SPACE = "▁"
 #: Bytes of text that a chunk has about, and the longest word that goes through the lattice.
-CHUNK_BYTES, LATTICE = 48 << 20, 64
+CHUNK_BYTES, LATTICE = 16 << 20, 60
 
 
 @dataclass(frozen=True)
@@ -134,33 +134,56 @@ def segment_long(word: str, vocabulary: Vocabulary) -> list[int]:
     return out
 
 
-def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``word`` and its ``edges``: an array of (cost, s, e, id), s and e being character positions, cheapest first.
-
-    ``words`` has distinct, non-null ``word``s. A character that isn't a piece has no edge.
-    """
+def _met(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Substrings of the words that are pieces, and all single characters: ``word``, ``s``, ``e`` (positions), ``rank``, ``cost``, ``id`` (null: no piece)."""
     spark = words.sparkSession
+    order = {c: i for i, c in enumerate(sorted({-s for s in vocabulary.scores.values()}))}
     # bounded by the size of the vocabulary
-    table_of = spark.createDataFrame([(p, -float(s), vocabulary.ids[p]) for p, s in vocabulary.scores.items()], "piece string, cost double, id int")
+    table_of = spark.createDataFrame([(p, order[-s], -float(s), vocabulary.ids[p]) for p, s in vocabulary.scores.items()], "piece string, rank long, cost double, id int")
     starts = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("s"))
     spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("word") - F.col("s") + 1))).alias("n"))
     named = spans.select("word", "s", "n", F.substring("word", F.col("s"), F.col("n")).alias("piece"))
     met = named.join(F.broadcast(table_of), "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
-    edge = F.when(F.col("id").isNotNull(), F.struct("cost", (F.col("s") - 1).alias("s"), (F.col("s") + F.col("n") - 1).alias("e"), "id"))
-    return met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    return met.select("word", (F.col("s") - 1).alias("s"), (F.col("s") + F.col("n") - 1).alias("e"), "rank", "cost", "id")
+
+
+def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``word`` and its ``edges``, from character ``s`` to ``e``; ``id`` is -1 for a character that isn't a piece.
+
+    ``words`` has distinct, non-null ``word``s of at most LATTICE characters. For bpe an edge travels as one long, best score first,
+    then leftmost; unpacked it has ``ends`` and ``between``, bit masks of its two ends and of the positions inside. For
+    unigram it has its ``cost`` instead.
+    """
+    met = _met(words, vocabulary)
+    if vocabulary.kind == "unigram":
+        edge = F.when(F.col("id").isNotNull(), F.struct("cost", "s", "e", "id"))
+        return met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    packed = F.expr("shiftleft(coalesce(rank, 1048575L), 40) + shiftleft(CAST(s AS BIGINT), 32) + shiftleft(CAST(e AS BIGINT), 24) + coalesce(id, -1) + 1")
+    held = met.groupBy("word").agg(F.array_sort(F.collect_list(packed)).alias("packed"))
+    fields = """transform(packed, x -> named_struct('s', CAST(shiftright(x, 32) & 255 AS INT), 'e', CAST(shiftright(x, 24) & 255 AS INT), 'id', CAST(x & 16777215 AS INT) - 1))"""
+    masks = """transform(raw, x -> named_struct('s', x.s, 'id', x.id, 'ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'between', shiftleft(1L, x.e) - shiftleft(1L, x.s + 1)))"""
+    return held.select("word", F.expr(fields).alias("raw")).select("word", F.expr(masks).alias("edges"))
 
 
 def _merged(edges: Column, n: Column) -> Column:
-    """Bounds of the pieces after all merges. Each step takes the cheapest edge, leftmost first, that joins two neighbours."""
-    wide = F.filter(edges, lambda e: e["e"] - e["s"] > 1)
+    """The bounds of the pieces after all merges, as a bit mask.
+
+    Each step takes the first edge (best score, then leftmost) whose ends are bounds with exactly one bound between them, and
+    removes that bound; once there is none, nothing changes any more.
+    """
+    wide = F.filter(edges, lambda e: e["between"] != 0)
+    bit = lambda a, b: a.bitwiseAND(b)
 
     def step(bounds: Column, _: Column) -> Column:
-        at = lambda p: F.array_position(bounds, p)
-        fit = F.filter(wide, lambda e: (at(e["s"]) > 0) & (at(e["e"]) == at(e["s"]) + 2))
-        inner = F.transform(F.slice(fit, 1, 1), lambda e: F.element_at(bounds, (at(e["s"]) + 1).cast("int")))
-        return F.array_except(bounds, inner)
+        def joins(e: Column) -> Column:
+            inner = bit(bounds, e["between"])
+            return (bit(bounds, e["ends"]) == e["ends"]) & (inner != 0) & (bit(inner, inner - 1) == 0)
+
+        first = F.try_element_at(F.filter(wide, joins), F.lit(1))["between"]
+        return F.coalesce(bounds - bit(bounds, first), bounds)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step)
 
 
 def _viterbi(edges: Column, n: Column, floor: float) -> Column:
@@ -194,26 +217,30 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``word`` and ``ids`` (array<int>): the segmentation of each distinct word, which must not be null or empty."""
     n = F.char_length("word")
     edges = F.col("edges")
-    floor = -(min(vocabulary.scores.values(), default=0.0) - 10.0)
-    bounds = _viterbi(edges, n, floor) if vocabulary.kind == "unigram" else _merged(edges, n)
-    cut = lattice(words, vocabulary).select("word", "edges", bounds.alias("bounds"))
-    by_span = F.map_from_entries(F.transform(edges, lambda e: F.struct((e["s"] * 65536 + e["e"]).alias("k"), e["id"].alias("v"))))
-    cut = cut.select("word", "bounds", by_span.alias("by_span"))
+    cut = lattice(words, vocabulary)
+    if vocabulary.kind == "unigram":
+        floor = -(min(vocabulary.scores.values(), default=0.0) - 10.0)
+        bounds = cut.select("word", "edges", _viterbi(edges, n, floor).alias("bounds"))
+        pairs = F.arrays_zip(F.slice("bounds", 1, F.size("bounds") - 1).alias("s"), F.slice("bounds", 2, F.size("bounds") - 1).alias("e"))
+        id_of = lambda p: F.try_element_at(F.filter(edges, lambda x: (x["s"] == p["s"]) & (x["e"] == p["e"])), F.lit(1))["id"]
+        chosen = F.transform(pairs, lambda p: F.struct(p["s"].alias("s"), F.coalesce(id_of(p), F.lit(-1)).alias("id")))
+        path = bounds.select("word", chosen.alias("path"))
+    else:
+        bounds = cut.select("word", "edges", _merged(edges, n).alias("bounds"))
+        used = F.filter(edges, lambda e: (F.col("bounds").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bounds").bitwiseAND(e["between"]) == 0))
+        path = bounds.select("word", F.array_sort(F.transform(used, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id")))).alias("path"))
     if vocabulary.byte_base < 0:
         rest = lambda s: F.array(F.lit(vocabulary.unknown))
     else:
 
         def rest(s: Column) -> Column:
-            code = F.hex(F.encode(F.substring(F.col("word"), (s + 1).cast("int"), F.lit(1)), "UTF-8"))
+            code = F.hex(F.encode(F.substring(F.col("word"), s + 1, F.lit(1)), "UTF-8"))
             byte = lambda i: F.conv(F.substring(code, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
             return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: byte(i) + vocabulary.byte_base)
 
-    def ids_of(i: Column) -> Column:
-        s, e = F.element_at("bounds", i.cast("int")), F.element_at("bounds", (i + 1).cast("int"))
-        found = F.try_element_at("by_span", s * 65536 + e)
-        return F.when(found.isNull(), rest(s)).otherwise(F.array(found))
-
-    return cut.select("word", F.flatten(F.transform(F.sequence(F.lit(1), F.size("bounds") - 1), ids_of)).alias("ids"))
+    plain = F.transform("path", lambda p: p["id"])
+    with_rest = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(rest(p["s"]))))
+    return path.select("word", F.when(F.exists("path", lambda p: p["id"] < 0), with_rest).otherwise(plain).alias("ids"))
 
 
 def _in_chunks(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
@@ -294,12 +321,13 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
             known.update((w, flat[a:b].tobytes()) for w, a, b in zip(part.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
         done = []
         for part in _unpacked(left.column("blob")):
-            out = []
+            out, ends = [], [0]
             for body in part.column(text).to_pylist():
                 cut = pattern.findall(normalised(body or ""))
-                parts = [known[w] if len(w) <= LATTICE else np.array(segment_long(w, vocabulary), np.int32).tobytes() for w in cut]
-                out.append(np.frombuffer(b"".join(parts), np.int32))
-            done.append(pa.Table.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.list_(pa.int32()))], names=names))
+                out.append(b"".join([known[w] if len(w) <= LATTICE else np.array(segment_long(w, vocabulary), np.int32).tobytes() for w in cut]))
+                ends.append(ends[-1] + len(out[-1]) // 4)
+            values = pa.array(np.frombuffer(b"".join(out), np.int32))
+            done.append(pa.Table.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=names))
         return pa.concat_tables(done)
 
     pairs = base.select("__chunk", text).mapInArrow(words_of, "chunk long, word string").repartition("word")
