@@ -90,9 +90,14 @@ def semantic_compact(meaning: Column) -> Column:
 
 
 def semantic_hint(sc: Column, resource: Column) -> Column:
-    """The compact line where it says something: techniques, or a high risk; else empty."""
-    meaning = semantic(sc, resource)
-    return F.when((F.size(meaning["ttps"]) > 0) | meaning["risk"].isin("HIGH", "CRITICAL"), semantic_compact(meaning)).otherwise("")
+    """The compact line where it says something (techniques, or a high risk), else empty: one CASE over literals."""
+    low = F.lower(resource)
+    out = F
+    for parts, classes, label, ttps, risk, _ in C.SEMANTIC_RULES:
+        fits = sc.isin(*classes)
+        line = f"{label} [{','.join(ttps)}/{risk}]" if ttps or risk in ("HIGH", "CRITICAL") else ""
+        out = out.when(fits & contains_any(low, parts) if parts else fits, line)
+    return out.otherwise("")
 
 
 def resource_category(sc: Column, resource: Column) -> Column:
