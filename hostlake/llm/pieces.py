@@ -33,7 +33,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands for a space in pieces.
 SPACE = "▁"
 #: Bytes of text that a chunk has about, and the longest word that goes through the lattice.
-CHUNK_BYTES, LATTICE = 16 << 20, 60
+CHUNK_BYTES, LATTICE = 8 << 20, 60
 
 
 @dataclass(frozen=True)
@@ -171,19 +171,29 @@ def _merged(edges: Column, n: Column) -> Column:
     Each step takes the first edge (best score, then leftmost) whose ends are bounds with exactly one bound between them, and
     removes that bound; once there is none, nothing changes any more.
     """
-    wide = F.filter(edges, lambda e: e["between"] != 0)
     bit = lambda a, b: a.bitwiseAND(b)
 
-    def step(bounds: Column, _: Column) -> Column:
+    def step(state: Column, _: Column) -> Column:
+        bounds, alive = state["bounds"], state["alive"]
+
         def joins(e: Column) -> Column:
             inner = bit(bounds, e["between"])
-            return (bit(bounds, e["ends"]) == e["ends"]) & (inner != 0) & (bit(inner, inner - 1) == 0)
+            return bit(inner, inner - 1) == 0
+
+        found = F.coalesce(bit(bounds, F.try_element_at(F.filter(alive, joins), F.lit(1))["between"]), F.lit(0).cast("long"))
+
+        # what is left of the edges: both ends still bounds, and a bound between them (bounds never come back)
+        def without(gone: Column) -> Column:
+            left = lambda e: (bit(gone, e["ends"]) == 0) & (bit(bounds - gone, e["between"]) != 0)
+            rest = F.when(gone == 0, F.slice(alive, 1, 0)).otherwise(F.filter(alive, left))
+            return F.struct((bounds - gone).alias("bounds"), rest.alias("alive"))
 
-        first = F.try_element_at(F.filter(wide, joins), F.lit(1))["between"]
-        return F.coalesce(bounds - bit(bounds, first), bounds)
+        # a one-element array names the removed bound, which is then looked for only once
+        return F.when(F.size(alive) == 0, state).otherwise(F.transform(F.array(found), without)[0])
 
     every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), every, step)
+    begin = F.struct(every.alias("bounds"), F.filter(edges, lambda e: e["between"] != 0).alias("alive"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, step)["bounds"]
 
 
 def _viterbi(edges: Column, n: Column, floor: float) -> Column:
@@ -297,11 +307,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
         seen: set[str] = set()
         now = None
         for batch in batches:
-            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if chunk != now:
                     yield from rows(now, seen)
                     seen, now = set(), chunk
-                seen.update(pattern.findall(normalised(body or "")))
+                seen.update(pattern.findall(normalised(body.as_py() or "")))
         yield from rows(now, seen)
 
     def rows(chunk: int | None, seen: set[str]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +332,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
         done = []
         for part in _unpacked(left.column("blob")):
             out, ends = [], [0]
-            for body in part.column(text).to_pylist():
-                cut = pattern.findall(normalised(body or ""))
+            for body in part.column(text):
+                cut = pattern.findall(normalised(body.as_py() or ""))
                 out.append(b"".join([known[w] if len(w) <= LATTICE else np.array(segment_long(w, vocabulary), np.int32).tobytes() for w in cut]))
                 ends.append(ends[-1] + len(out[-1]) // 4)
             values = pa.array(np.frombuffer(b"".join(out), np.int32))
@@ -332,7 +342,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
 
     pairs = base.select("__chunk", text).mapInArrow(words_of, "chunk long, word string").repartition("word")
     # the aggregate keeps both columns, so that it and the join below share one exchange
-    ids = segmented(pairs.groupBy("word").agg(F.min("chunk").alias("any")).select("word"), vocabulary)
+    ids = segmented(pairs.groupBy("word").agg(F.min("chunk").alias("any")).where(F.col("any").isNotNull()).select("word"), vocabulary)
     lookup = pairs.join(ids, "word").select("word", "ids", F.col("chunk").alias("__chunk")).mapInArrow(_pack_by_chunk, "__chunk long, blob binary")
     texts = base.mapInArrow(_pack_by_chunk, "__chunk long, blob binary")
     return texts.groupBy("__chunk").cogroup(lookup.groupBy("__chunk")).applyInArrow(apply, schema)
