@@ -26,21 +26,29 @@ def marginal_entropy(events: DataFrame, w: int = 64) -> DataFrame:
 def markov_entropy(events: DataFrame, w: int = 64) -> DataFrame:
     """Adds ``markov_entropy``: the entropy rate of the pid's last ``w`` transitions, ``prev`` and ``transition`` (prev * 16 + class).
 
-    The frame holds at most ``w`` small integers; pair and row totals come from it by higher-order functions.
+    The frame holds at most ``w`` small integers; one fold over its sorted values gives pair and row totals.
     """
     frame = _by_pid().rowsBetween(-(w - 1), 0)
     paired = events.withColumn("prev", F.lag("sc_type").over(_by_pid())).withColumn("transition", F.col("prev") * 16 + F.col("sc_type"))
-    held = paired.withColumn("__codes", F.collect_list("transition").over(frame))
-    codes = F.col("__codes")
-    pairs = F.transform(F.array_sort(F.array_distinct(codes)), lambda c: F.struct(c.alias("c"), F.size(F.filter(codes, lambda x: x == c)).alias("n")))
-    held = held.withColumn("__pairs", pairs).withColumn("__total", F.size("__codes"))
-    row_total = lambda c: F.size(F.filter(codes, lambda x: F.floor(x / 16) == F.floor(c / 16)))
-    rate = F.aggregate(
-        "__pairs",
-        F.lit(0.0),
-        lambda acc, p: acc - (p["n"] / F.col("__total")) * F.log(2.0, p["n"] / row_total(p["c"])),
-    )
-    return held.withColumn("markov_entropy", F.round(rate, 6) + 0.0).drop("__codes", "__pairs", "__total")
+    held = paired.withColumn("__codes", F.array_sort(F.collect_list("transition").over(frame)))
+    xlogx = lambda n: n * F.log(2.0, n)
+    row = lambda c: F.floor(c / 16)
+
+    def step(acc, x):
+        """Equal transitions adjoin, and so do those from one class: count both runs and settle a run where it ends."""
+        same, same_row = x == acc["code"], row(x) == row(acc["code"])
+        return F.struct(
+            x.alias("code"),
+            F.when(same, acc["n"] + 1.0).otherwise(1.0).alias("n"),
+            F.when(same_row, acc["m"] + 1.0).otherwise(1.0).alias("m"),
+            (acc["sum"] - F.when(same, 0.0).otherwise(xlogx(acc["n"])) + F.when(same_row, 0.0).otherwise(xlogx(acc["m"]))).alias("sum"),
+        )
+
+    # -sum p(i,j) log p(j given i) = (sum of m log m over classes - sum of n log n over transitions) / total
+    begin = F.struct(F.try_element_at("__codes", F.lit(1)).alias("code"), F.lit(1.0).alias("n"), F.lit(1.0).alias("m"), F.lit(0.0).alias("sum"))
+    rate = F.aggregate(F.slice("__codes", 2, 1_000_000), begin, step, lambda acc: acc["sum"] - xlogx(acc["n"]) + xlogx(acc["m"])) / F.size("__codes")
+    value = F.when(F.size("__codes") > 0, F.round(rate, 6)).otherwise(0.0)
+    return held.withColumn("markov_entropy", value + 0.0).drop("__codes")
 
 
 def bigram_table(events: DataFrame) -> DataFrame:
