@@ -292,9 +292,16 @@ def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(blob.as_buffer()).read_all()
 
 
-def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def spell(ids: list[int], spelled: list[bytes]) -> str:
+    """The text of some ids. Bytes that aren't UTF-8 become U+FFFD; ids outside the vocabulary spell nothing."""
+    return b"".join([spelled[i] for i in ids if 0 <= i < len(spelled)]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+
+
+def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",), verify: bool = False) -> DataFrame:
     """``keep`` and ``ids`` (array<int>) of every whole text, as the library encodes it.
 
+    With ``verify`` also ``round_trip``: whether the ids, decoded again, spell the text (U+2581 decodes to a space, as it does in the library).
+
     Null and empty texts have no ids. Ids of documents may repeat or be null; further columns are ignored; an
     empty table gives an empty result. Normalisation is that of the given models: spaces become U+2581, with
     one put in front, and nothing else changes. Words of more than ``LATTICE`` characters (rare) are cut by
@@ -320,8 +327,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
             part = pa.array(short[at : at + 50_000], pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), part], names=["chunk", "word"])
 
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("round_trip", T.BooleanType())] if verify else [])])
     names = schema.names
+    spelled = vocabulary.spelled() if verify else []
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         known: dict[str, bytes] = {}
@@ -331,13 +339,16 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
             known.update((w, flat[a:b].tobytes()) for w, a, b in zip(part.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
         done = []
         for part in _unpacked(left.column("blob")):
-            out, ends = [], [0]
+            out, ends, same = [], [0], []
             for body in part.column(text):
-                cut = pattern.findall(normalised(body.as_py() or ""))
+                whole = body.as_py() or ""
+                cut = pattern.findall(normalised(whole))
                 out.append(b"".join([known[w] if len(w) <= LATTICE else np.array(segment_long(w, vocabulary), np.int32).tobytes() for w in cut]))
                 ends.append(ends[-1] + len(out[-1]) // 4)
+                if verify:
+                    same.append(spell(np.frombuffer(out[-1], np.int32).tolist(), spelled) == whole.replace(SPACE, " "))
             values = pa.array(np.frombuffer(b"".join(out), np.int32))
-            done.append(pa.Table.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], names=names))
+            done.append(pa.Table.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), *([pa.array(same, pa.bool_())] if verify else [])], names=names))
         return pa.concat_tables(done)
 
     pairs = base.select("__chunk", text).mapInArrow(words_of, "chunk long, word string").repartition("word")
@@ -349,38 +360,27 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
 
 
 def decoded(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with ``out``: the text that the ids spell (null ids: null). Bytes that aren't UTF-8 become U+FFFD; ids outside the vocabulary spell nothing."""
+    """``df`` with ``out``: the text that the ids spell (see :func:`spell`); null ids give null."""
     spelled = vocabulary.spelled()
     base = df.drop(out)
     at = base.columns.index(ids)
     schema = T.StructType([*base.schema.fields, T.StructField(out, T.StringType())])
 
-    def text_of(row: np.ndarray | None) -> str | None:
-        if row is None:
-            return None
-        text = b"".join([spelled[i] for i in row if 0 <= i < len(spelled)]).decode("utf-8", "replace").replace(SPACE, " ")
-        return text.removeprefix(" ")
-
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                texts = [text_of(r.values.to_numpy().tolist() if r.is_valid else None) for r in part.column(at)]
+                texts = [spell(r.as_py(), spelled) if r.is_valid else None for r in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=schema.names)
 
     return base.mapInArrow(each, schema)
 
 
 def tokenised(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``ids``, ``n_tokens`` and ``round_trip``: whether the decoded ids are the text again.
-
-    U+2581 in a text decodes to a space, as it does in the library.
-    """
-    vocabulary = load_vocabulary()
-    keep = tuple(c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip", "decoded"))
-    back = decoded(encoded(docs.select(*keep), vocabulary, keep=keep), vocabulary)
-    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return back.select(*keep, "ids", F.size("ids").alias("n_tokens"), same.alias("round_trip"))
+    """``docs`` with ``ids``, ``n_tokens`` and ``round_trip``; columns of these names are replaced."""
+    keep = tuple(c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip"))
+    done = encoded(docs.select(*keep), load_vocabulary(), keep=keep, verify=True)
+    return done.select(*keep, "ids", F.size("ids").alias("n_tokens"), "round_trip")
 
 
 def op6_pieces(spark, sf_dir: str) -> DataFrame:
