@@ -127,7 +127,7 @@ def call_site_evaluation(events_with_sites: DataFrame, attack: Column) -> DataFr
     some = events_with_sites.where(F.col("ip") != 0)
     return some.groupBy("sc_type", attack.alias("attack")).agg(
         F.count("*").alias("n"), F.round(F.avg(F.col("inside").cast("double")), 6).alias("inside_rate"),
-        F.round(F.avg(F.when(~F.col("inside"), F.col("distance"))), 6).alias("mean_distance"), F.max(F.when(~F.col("inside"), F.col("distance"))).alias("max_distance"),
+        F.expr("sum(distance) FILTER (WHERE NOT inside) div count_if(NOT inside)").alias("mean_distance"), F.max(F.when(~F.col("inside"), F.col("distance"))).alias("max_distance"),
     )
 
 

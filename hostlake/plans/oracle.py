@@ -264,3 +264,112 @@ CTES["summary"] = """SELECT trace_id, count(*) AS n, array_to_string(list_sort(l
 put("s074_violation_summary", "SELECT * FROM summary")
 put("s074b_violations_by_rule", "SELECT axiom, count(*) AS n, count(DISTINCT trace_id) AS traces, round(count(DISTINCT trace_id) / (SELECT count(DISTINCT trace_id) FROM ke), 6) AS rate FROM broken GROUP BY axiom")
 put("s075_provenance_score", "SELECT pid, CAST(wid AS BIGINT) AS wid, score FROM score")
+
+# annotations, joins over intervals, ancestors, call sites
+C2_MARK = "CASE WHEN regexp_matches(split_part(resource, ':', 1), '^185\\.220\\.101\\.(1?[0-9])$') THEN concat(resource, ' [C2]') ELSE resource END"
+MARKED = f"CASE WHEN {has_any('resource', C.MALWARE_PATHS)} THEN concat({C2_MARK}, ' [MALWARE]') ELSE {C2_MARK} END"
+put("s004_annotate_ti", f"SELECT {MARKED} AS resource, count(*) AS n FROM ke GROUP BY 1")
+put("s005_strip_annotations", "SELECT resource, count(*) AS n FROM ke GROUP BY ALL")
+put("s055_attack_intervals", "SELECT pid, CAST(wid AS BIGINT) AS wid, hits, hits >= 3 AS malicious FROM truth")
+CTES["flag"] = "SELECT pid, arg_min(CAST(event_id AS VARCHAR), i) AS resource, min(ts_us) AS flag_us, arg_min(event_id, i) AS flag_id FROM ev WHERE sc_type = 9 GROUP BY pid"
+CTES["up"] = "SELECT pid, arg_max(ppid, i) AS ppid FROM ev WHERE ppid > 0 AND pid <> 0 GROUP BY pid"
+WALK = " UNION ALL ".join(
+    f"SELECT p{d}.ppid AS pid, f.resource, f.flag_us, f.flag_id FROM flag f " + " ".join(f"JOIN up p{i} ON p{i}.pid = {'f.pid' if i == 1 else f'p{i - 1}.ppid'} AND p{i}.ppid <> p{i}.pid" for i in range(1, d + 1)) for d in range(1, 9)
+)
+put("s056_ancestors", f"SELECT pid, arg_min(resource, flag_us) AS resource FROM ({WALK}) w GROUP BY pid")
+CTES["site"] = "SELECT 4194304 + 16 * i AS addr FROM range(100) r(i) WHERE i % 10 <> 7"
+CTES["placed"] = "SELECT DISTINCT ip, CASE WHEN ip = 0 THEN 0 ELSE (SELECT min(abs(ip - addr)) FROM site) END AS distance FROM ke"
+put("s057_call_sites", "SELECT event_id, distance = 0 AS inside, distance FROM ke JOIN placed USING (ip)")
+put("s059_label_join", "SELECT malicious, count(*) AS n, round(avg(score), 6) AS mean_score FROM decided GROUP BY ALL")
+put("s060_skipped_anti_join", """SELECT comm, count(*) AS skipped FROM ke WHERE event_id IN (SELECT event_id FROM triaged WHERE "trigger" = 'skip') GROUP BY comm""")
+put(
+    "s061_missed_resolutions",
+    """SELECT NOT coalesce(contains(raw_path, '/lib'), false) AS missed, count(*) AS n FROM (SELECT k, resource, last_value(CASE WHEN k % 2 = 0 THEN resource END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts_us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS raw_path
+    FROM ke WHERE sc_type IN (1, 2)) q WHERE k % 2 <> 0 AND contains(resource, '/lib') GROUP BY ALL""",
+)
+
+# claims and evidence
+WORD = "CASE WHEN sc_type = 3 THEN 'connect' WHEN sc_type = 0 THEN 'execve' WHEN sc_type = 2 THEN 'openat(W)' ELSE 'openat(R)' END"
+CTES["claim"] = f"""SELECT pid, wid, claim_id, concat({WORD}, ' ', resource) AS event_desc, 0.2::DOUBLE AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY pid, wid ORDER BY idx) AS claim_id FROM win WHERE resource <> '') q WHERE claim_id <= 2
+  UNION ALL SELECT DISTINCT pid, wid, 3, concat('openat(R) /nonexistent/', pid), 0.3::DOUBLE FROM win"""
+
+
+def claimed(text: str) -> str:
+    words = ", ".join(f"nullif(regexp_extract({text}, '(?i){w}\\s+([^\\s,;.]+)', 1), '')" for w in C.CLAIM_WORDS)
+    return f"coalesce(nullif(regexp_extract({text}, '/[\\w./-]+'), ''), nullif(regexp_extract({text}, '[\\d.]+:\\d+|[\\w.]+:\\d{{2,5}}'), ''), {words}, '')"
+
+
+HINT_CLASS = "CASE " + " ".join(f"WHEN contains(lower(event_desc), '{a}') THEN {c}" for a, c in C.CLAIM_CLASSES) + " END"
+CTES["hinted"] = f"SELECT *, lower({claimed('event_desc')}) AS hinted_at, {HINT_CLASS} AS hint_class FROM claim"
+CTES["fit"] = """SELECT c.pid, c.wid, c.claim_id, w.idx, w.event_id, NOT ((hint_class IS NULL OR hint_class = w.sc_type) AND (hinted_at = '' OR contains(lower(w.resource), hinted_at) OR contains(hinted_at, lower(w.resource)))) AS loose,
+  hinted_at <> '' AND contains(lower(w.resource), hinted_at) AS near FROM hinted c JOIN win w ON c.pid = w.pid AND c.wid = w.wid"""
+CTES["matched"] = "SELECT c.pid, c.wid, c.claim_id, c.event_desc, c.contribution, m.idx, m.event_id, m.idx IS NOT NULL AS verified FROM claim c LEFT JOIN (SELECT * FROM fit WHERE NOT loose OR near QUALIFY row_number() OVER (PARTITION BY pid, wid, claim_id ORDER BY loose, idx) = 1) m USING (pid, wid, claim_id)"
+put("s058_claim_matches", "SELECT pid, CAST(wid AS BIGINT) AS wid, claim_id, idx AS matched_idx FROM matched")
+put("s062_match_claims", "SELECT pid, CAST(wid AS BIGINT) AS wid, claim_id, verified, event_id AS matched_id FROM matched")
+
+# heuristic, routing
+H = C.HEURISTIC
+TIMES = "(length(t) - length(replace(t, '{0}', ''))) / {1}"
+SIGNALS = [
+    ("T1003", 0.55, has_any("t", H["credential"])), ("T1059", 0.45, has_any("t", H["staged"])), ("T1071", 0.5, has_any("t", H["c2"])), ("T1210", 0.25, TIMES.format("connect", 7) + " >= 2"),
+    ("T1105", 0.45, "contains(t, 'openat(w)') AND contains(t, 'execve') AND contains(t, 'rtype: net')"), ("T1068", 0.65, "contains(t, 'setuid')"), ("T1055", 0.7, "contains(t, 'ptrace')"), ("T1562", 0.4, has_any("t", H["logs"])),
+    ("T1041", 0.45, TIMES.format("openat(r)", 9) + " >= 2 AND contains(t, 'connect') AND contains(t, 'sensitive: true')"),
+]
+CTES["weighed"] = f"""SELECT pid, wid, round(greatest(0, least({" + ".join(f"CASE WHEN {c} THEN {w}::DOUBLE ELSE 0 END" for _, w, c in SIGNALS)} - CASE WHEN {has_any("t", H["daemons"])} AND NOT {has_any("t", H["undaemonlike"])} THEN 0.3::DOUBLE ELSE 0 END
+  - CASE WHEN {has_any("t", H["packages"])} THEN 0.2::DOUBLE ELSE 0 END, 0.99::DOUBLE)), 6) AS score, array_to_string(list_filter([{", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, _, c in SIGNALS)}], lambda x: x IS NOT NULL)[1:4], ',') AS ttps FROM (SELECT pid, wid, lower(text) AS t FROM text) q"""
+CTES["said"] = "SELECT *, CASE WHEN score >= 0.3 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label, round(CASE WHEN score >= 0.3 THEN score ELSE least(1 - score, 0.08::DOUBLE) END, 2) AS confidence FROM weighed"
+put("s076_heuristic", "SELECT pid, CAST(wid AS BIGINT) AS wid, score, label, confidence, ttps FROM said")
+CTES["route"] = """SELECT s.pid, s.wid, CASE WHEN s.score >= 0.55 THEN 'MALICIOUS' WHEN s.score <= 0.15 THEN 'BENIGN' ELSE h.label END AS label, round(CASE WHEN s.score >= 0.55 THEN s.score WHEN s.score <= 0.15 THEN 1 - s.score ELSE h.confidence END, 4) AS confidence,
+  CASE WHEN s.score >= 0.55 OR s.score <= 0.15 THEN 'graph' ELSE 'model' END AS route FROM score s JOIN said h USING (pid, wid)"""
+put("s077_graph_route", "SELECT pid, CAST(wid AS BIGINT) AS wid, label, confidence, route FROM route")
+CTES["report"] = """SELECT r.pid, r.wid, r.label, r.confidence, m.total, m.verified, m.total - m.verified AS unverified, round((m.total - m.verified) / m.total, 4) AS hallucination_rate, round(greatest(0, least(1, round(r.confidence - m.lost, 6))), 4) AS verified_confidence,
+  CASE WHEN m.total = m.verified THEN 'CLEAN' WHEN (m.total - m.verified) / m.total < 0.5 THEN 'PARTIAL' ELSE 'HALLUCINATED' END AS verdict, round((m.total - m.verified) / m.total, 4) < 0.1 AS trustworthy
+  FROM route r JOIN (SELECT pid, wid, count(*) AS total, count(*) FILTER (verified) AS verified, coalesce(sum(contribution) FILTER (NOT verified), 0) AS lost FROM matched GROUP BY ALL) m USING (pid, wid)"""
+put("s065_evidence_report", "SELECT pid, CAST(wid AS BIGINT) AS wid, label, confidence, total, verified, unverified, hallucination_rate, verified_confidence, verdict, trustworthy FROM report")
+put(
+    "s066_verification_report",
+    """SELECT r.pid, CAST(r.wid AS BIGINT) AS wid, r.label, round(CASE WHEN label = 'MALICIOUS' AND hallucination_rate > 0.5 THEN least(verified_confidence, 0.29::DOUBLE) ELSE verified_confidence END, 4) AS final_confidence, round(verified / total, 4) AS explainability,
+    coalesce(t.evidence_ids, '') AS evidence_ids, coalesce(t.retracted, '') AS retracted, CAST(hallucination_rate > 0 AND verified > 0 AS INT) AS iterations, hallucination_rate FROM report r
+    JOIN (SELECT pid, wid, array_to_string(list_transform(list_sort(list_distinct(list(event_id) FILTER (event_id IS NOT NULL))), lambda x: CAST(x AS VARCHAR)), ',') AS evidence_ids, array_to_string(list_sort(list_distinct(list(event_desc) FILTER (NOT verified))), ';') AS retracted FROM matched GROUP BY ALL) t USING (pid, wid)""",
+)
+put("s081_call_site_score", "SELECT pid, CAST(wid AS BIGINT) AS wid, bad AS static, 0.55::DOUBLE * bad AS score FROM (SELECT pid, wid, max(CAST(ip <> 0 AND distance > 0 AS INT)) AS bad FROM win JOIN placed USING (ip) GROUP BY ALL) q")
+put("s084_call_site_evaluation", "SELECT sc_type, sc_type = 9 AS attack, count(*) AS n, round(avg(CAST(distance = 0 AS DOUBLE)), 6) AS inside_rate, CAST(sum(distance) FILTER (distance > 0) // count(*) FILTER (distance > 0) AS BIGINT) AS mean_distance, max(distance) FILTER (distance > 0) AS max_distance FROM ke JOIN placed USING (ip) WHERE ip <> 0 GROUP BY ALL")
+W = {n: " AND ".join([*([f"bool_or({has_any('resource', p)})"] if p else []), *(f"bool_or(sc_type = {c})" for c in k)]) for n, _, _, p, k in C.WINDOW_RULES}
+W |= {"exfiltration": f"bool_or({has_any('resource', C.EXFILTRATED)}) AND bool_or(sc_type = 3)", "lateral": "count(DISTINCT CASE WHEN sc_type = 3 THEN resource END) >= 2"}
+WS = {n: (t, s) for n, t, s, _, _ in C.WINDOW_RULES} | {"exfiltration": ("T1041", C.EXFILTRATION), "lateral": ("T1210", C.LATERAL)}
+CTES["ruled"] = f"""SELECT pid, wid, round(least(CASE WHEN marked AND raw < 0.5 THEN raw * 0.3::DOUBLE ELSE raw END, 0.99::DOUBLE), 6) AS score, ttps FROM (SELECT pid, wid, round({" + ".join(f"CASE WHEN {c} THEN {WS[n][1]}::DOUBLE ELSE 0 END" for n, c in W.items())}, 6) AS raw,
+  bool_or({has_any("resource", C.BENIGN_MARKERS)} OR {has_any("comm", C.BENIGN_MARKERS)}) AS marked, list_filter([{", ".join(f"CASE WHEN {c} THEN '{WS[n][0]}' END" for n, c in W.items())}], lambda x: x IS NOT NULL) AS ttps FROM win GROUP BY ALL) q"""
+put(
+    "s094_window_rules",
+    """SELECT pid, CAST(wid AS BIGINT) AS wid, score, CASE WHEN score >= 0.3 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label, round(CASE WHEN score >= 0.3 THEN score ELSE greatest(0.01::DOUBLE, 1 - score) END, 4) AS confidence,
+    array_to_string(list_filter(ttps, lambda x, i: list_position(ttps, x) = i)[1:4], ',') AS ttps FROM ruled""",
+)
+put(
+    "s095_event_signatures",
+    f"""SELECT event_id, 'TRC-2' AS rule FROM ke WHERE sc_type = 9 AND resource NOT IN ('', 'PTRACE_TRACEME') UNION ALL SELECT event_id, 'TRC-3' FROM ke WHERE sc_type = 2 AND contains(resource, '/proc/') AND contains(resource, '/mem')
+    UNION ALL SELECT event_id, 'TRC-5' FROM ke WHERE sc_type = 0 AND contains(resource, '/.') UNION ALL SELECT event_id, 'KEY-READ' FROM ke WHERE sc_type = 1 AND {has_any("resource", C.SSH_KEYS)}
+    UNION ALL SELECT event_id, 'C2' FROM ke WHERE sc_type = 3 AND (split_part(resource, ':', 1) IN ({quoted(C.C2_HOSTS)}) OR string_split(resource, ':')[-1] IN ({quoted(C.C2_PORTS)}))""",
+)
+CTES["wprev"] = "SELECT *, lag(sc_type) OVER (PARTITION BY pid, wid ORDER BY idx) AS before FROM win"
+put("s096_ngrams", "SELECT pid, CAST(wid AS BIGINT) AS wid, gram, count(*) AS n FROM (SELECT pid, wid, CAST(sc_type AS VARCHAR) AS gram FROM win UNION ALL SELECT pid, wid, concat(before, ' ', sc_type) FROM wprev WHERE before IS NOT NULL) q GROUP BY ALL")
+
+# evaluation
+CTES["judged"] = "SELECT r.*, t.hits >= 3 AS malicious, r.label = 'MALICIOUS' AS flagged_m FROM route r JOIN truth t USING (pid, wid)"
+RATES = "round(tp / greatest(tp + fn, 1), 6) AS tpr, round(fp / greatest(fp + tn, 1), 6) AS fpr, round(tp / greatest(tp + fp, 1), 6) AS precision, round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1, round((tp + tn) / greatest(tp + fp + tn + fn, 1), 6) AS accuracy"
+CELLS = "count(*) FILTER (malicious AND {0}) AS tp, count(*) FILTER (NOT malicious AND {0}) AS fp, count(*) FILTER (NOT malicious AND NOT {0}) AS tn, count(*) FILTER (malicious AND NOT {0}) AS fn"
+put("s101_confusion", f"SELECT *, {RATES} FROM (SELECT {CELLS.format('flagged_m')} FROM judged) q")
+put(
+    "s103_reliability",
+    """SELECT CAST(b AS BIGINT) AS bin, coalesce(n, 0) AS n, acc, conf, round(abs(acc - conf), 6) AS gap, conf > acc AS overconfident FROM range(10) r(b) LEFT JOIN (SELECT least(floor(round(confidence * 10, 6)), 9) AS b, count(*) AS n, round(avg(CAST(malicious = flagged_m AS DOUBLE)), 6) AS acc, round(avg(confidence), 6) AS conf FROM judged GROUP BY ALL) q USING (b)""",
+)
+put("s105_cohens_d", "SELECT round((ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)), 6) AS d FROM (SELECT avg(v) FILTER (g) AS ma, avg(v) FILTER (NOT g) AS mb, var_samp(v) FILTER (g) AS va, var_samp(v) FILTER (NOT g) AS vb, count(*) FILTER (g) AS na, count(*) FILTER (NOT g) AS nb FROM (SELECT CAST(o_totalprice AS DOUBLE) AS v, o_orderstatus = 'F' AS g FROM orders) q) z")
+LAT = "round(avg({0}), 4) AS mean, min({0}) AS least, max({0}) AS most, round(stddev_samp({0}), 4) AS sd, round(quantile_cont({0}, 0.5), 4) AS p50, round(quantile_cont({0}, 0.95), 4) AS p95, round(quantile_cont({0}, 0.99), 4) AS p99"
+put("s106_latency", f"SELECT o_orderstatus, {LAT.format('v')} FROM (SELECT o_orderstatus, CAST(o_totalprice AS DOUBLE) AS v FROM orders) q GROUP BY ALL")
+put("s106b_nth_percentiles", "SELECT o_orderstatus, s[greatest(floor(n * 50 / 100), 1)::INT] AS p50, s[greatest(floor(n * 95 / 100), 1)::INT] AS p95, s[greatest(floor(n * 99 / 100), 1)::INT] AS p99 FROM (SELECT o_orderstatus, list_sort(list(CAST(o_totalprice AS DOUBLE))) AS s, count(*) AS n FROM orders GROUP BY ALL) q")
+put("s111_baselines", f"SELECT *, {RATES} FROM (SELECT classifier, {CELLS.format('f')} FROM (SELECT 'window_rules' AS classifier, r.score >= 0.3 AS f, t.hits >= 3 AS malicious FROM ruled r JOIN truth t USING (pid, wid) UNION ALL SELECT 'heuristic', r.score >= 0.3, t.hits >= 3 FROM said r JOIN truth t USING (pid, wid) UNION ALL SELECT 'graph', r.score >= 0.5, t.hits >= 3 FROM score r JOIN truth t USING (pid, wid)) q GROUP BY ALL) z")
+
+# rollups
+put("s115_event_rates", "SELECT ts_us - ts_us % 3600000000 AS start_us, sc_type, count(*) AS n FROM ke GROUP BY ALL")
+put("s116_activity", "SELECT ts_us - ts_us % 3600000000 AS start_us, count(DISTINCT pid) AS pids, count(*) AS n FROM ke GROUP BY ALL")
+put("s117_value_histogram", "SELECT CAST(u AS DOUBLE) AS upto, count(*) FILTER (u IS NULL OR value <= u) AS n FROM ke CROSS JOIN (VALUES (10.0), (50.0), (100.0), (500.0), (NULL)) v(u) GROUP BY ALL")
+put("s117b_latency", f"SELECT comm, {LAT.format('value')} FROM ke GROUP BY ALL")
