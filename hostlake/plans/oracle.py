@@ -373,3 +373,11 @@ put("s115_event_rates", "SELECT ts_us - ts_us % 3600000000 AS start_us, sc_type,
 put("s116_activity", "SELECT ts_us - ts_us % 3600000000 AS start_us, count(DISTINCT pid) AS pids, count(*) AS n FROM ke GROUP BY ALL")
 put("s117_value_histogram", "SELECT CAST(u AS DOUBLE) AS upto, count(*) FILTER (u IS NULL OR value <= u) AS n FROM ke CROSS JOIN (VALUES (10.0), (50.0), (100.0), (500.0), (NULL)) v(u) GROUP BY ALL")
 put("s117b_latency", f"SELECT comm, {LAT.format('value')} FROM ke GROUP BY ALL")
+
+# sources, from the lines that the query renders
+READ = "sc_type IN (0, 2, 3, 9) OR (sc_type = 1 AND k % 10 <> 9)"
+put("s001_strace", f"SELECT trace_id AS trace, pid, sc_type, CASE WHEN sc_type = 9 THEN '' ELSE resource END AS resource, count(*) AS n FROM ke WHERE {READ} GROUP BY ALL")
+put(
+    "s002_exec_names",
+    f"""SELECT pid, coalesce(name, 'unknown') AS comm, count(*) AS n FROM (SELECT pid, last_value(CASE WHEN sc_type = 0 THEN substr(string_split(resource, '/')[-1], 1, 15) END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts_us, event_id) AS name FROM ke WHERE {READ}) q GROUP BY ALL""",
+)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hostlake.functions import events as E
 from hostlake.functions import constants as C
 from hostlake.operators import evaluate, evidence, graph, joins, rollups, rules, scores, sequence, tiers, windows
+from hostlake.sources import readers
 from hostlake.sources.adapter import attack_windows, kernel_events, threat_ips, valid_call_sites
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -306,3 +307,23 @@ over_events("s117_value_histogram", lambda e: rollups.value_histogram(e, "value"
 over_events("s117b_latency", lambda e: evaluate.latency_summary(e, "value", "comm"))
 over_chain("s118_recent", lambda c: rollups.recent(c.audit()).select("pid", "wid", "label", "tier", "ts_us"))
 over_chain("s118b_status", lambda c: rollups.status(c.audit()))
+
+
+def strace_lines(e: DataFrame) -> DataFrame:
+    """Call-trace lines rendered from events: what read_strace reads."""
+    us = F.pmod("ts_us", F.lit(86_400_000_000))
+    clock = F.format_string("%02d:%02d:%02d.%06d", F.floor(us / 3_600_000_000), F.floor(us / 60_000_000) % 60, F.floor(us / 1_000_000) % 60, us % 1_000_000)
+    host, port = F.substring_index("resource", ":", 1), F.substring_index("resource", ":", -1)
+    call = (
+        F.when(SC == 0, F.concat(F.lit('execve("'), "resource", F.lit('", [], 0) = 0')))
+        .when(SC == 1, F.concat(F.lit('openat(AT_FDCWD, "'), "resource", F.lit('", O_RDONLY) = '), F.when(F.col("k") % 10 == 9, "-1 ENOENT").otherwise("3")))
+        .when(SC == 2, F.concat(F.lit('openat(AT_FDCWD, "'), "resource", F.lit('", O_WRONLY|O_CREAT) = 4')))
+        .when(SC == 3, F.concat(F.lit("connect(3, {sin_port=htons("), port, F.lit('), sin_addr=inet_addr("'), host, F.lit('")}, 16) = 0')))
+        .when(SC == 9, "ptrace(PTRACE_ATTACH) = 0")
+        .otherwise("getpid() = 7")
+    )
+    return e.select(F.col("trace_id").alias("trace"), F.concat_ws(" ", "pid", clock, call).alias("value"), F.struct("ts_us", "event_id").alias("seq"))
+
+
+over_events("s001_strace", lambda e: readers.strace_events(strace_lines(e)).groupBy("trace", "pid", "sc_type", "resource").agg(F.count("*").alias("n")))
+over_events("s002_exec_names", lambda e: readers.strace_events(strace_lines(e)).groupBy("pid", "comm").agg(F.count("*").alias("n")))
