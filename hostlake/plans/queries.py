@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlake.functions import events as E
@@ -16,14 +16,6 @@ from hostlake.sources.adapter import attack_windows, kernel_events, threat_ips,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
-def query(name: str):
-    def add(f: Callable) -> Callable:
-        QUERIES[name] = f
-        return f
-
-    return add
-
-
 def over_events(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: f(kernel_events(spark, sf_dir))
 
@@ -32,23 +24,21 @@ def over_windows(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
     over_events(name, lambda e: f(windows.tumbling_windows(e)))
 
 
-SC, RES = F.col("sc_type"), F.col("resource")
-
 over_events("s014_tumbling_windows", lambda e: windows.tumbling_windows(e).select("event_id", "pid", "wid", "idx"))
 over_events("s015_windows_with_tail", lambda e: windows.tumbling_windows(e, by=("trace_id",), min_len=2).select("event_id", "trace_id", "wid", "idx"))
-over_events("s016_sliding_last", lambda e: windows.sliding_last(e, keep=SC == 9).select("event_id", "filled", F.array_join(F.transform("recent", lambda r: r["sc_type"].cast("string")), ",").alias("recent")))
+over_events("s016_sliding_last", lambda e: windows.sliding_last(e, keep=F.col("sc_type") == 9).select("event_id", "filled", F.array_join(F.transform("recent", lambda r: r["sc_type"].cast("string")), ",").alias("recent")))
 over_events("s017_last_per_trace", lambda e: windows.last_per_trace(e).select("event_id", "trace_id"))
 over_events("s018_stitched_parents", lambda e: windows.stitch_parents(windows.tumbling_windows(e), e).select("pid", "wid", "idx", "event_id", "from_parent"))
 over_events("s019_drop_unresolved", lambda e: windows.drop_unresolved(e).select("event_id"))
 over_events("s020_sliding_max_entropy", sequence.sliding_max_entropy)
-over_events("s021_rtype", lambda e: e.groupBy(E.rtype(SC).alias("rtype"), "sc_type").agg(F.count("*").alias("n")))
-over_events("s022_syscall_label", lambda e: e.groupBy(E.syscall_label(SC).alias("label"), "sc_type").agg(F.count("*").alias("n")))
-over_events("s023_external_routable", lambda e: e.groupBy("resource").agg(F.count("*").alias("n")).withColumn("external", E.is_external_routable(RES)))
-over_events("s024_sensitive", lambda e: e.where(E.is_sensitive(RES)).select("event_id"))
-over_events("s025_hard_trigger", lambda e: e.where(E.is_hard_trigger(RES, SC)).select("event_id", (SC == 10).alias("renamed")))
-over_events("s026_semantic", lambda e: e.select("event_id", E.semantic(SC, RES).alias("s")).select("event_id", "s.label", F.array_join("s.ttps", ",").alias("ttps"), "s.risk", "s.benign"))
-over_events("s027_semantic_compact", lambda e: e.groupBy(E.semantic_compact(E.semantic(SC, RES)).alias("line")).agg(F.count("*").alias("n")))
-over_events("s028_resource_category", lambda e: e.select("event_id", E.resource_category(SC, RES).alias("category")))
+over_events("s021_rtype", lambda e: e.groupBy(E.rtype(F.col("sc_type")).alias("rtype"), "sc_type").agg(F.count("*").alias("n")))
+over_events("s022_syscall_label", lambda e: e.groupBy(E.syscall_label(F.col("sc_type")).alias("label"), "sc_type").agg(F.count("*").alias("n")))
+over_events("s023_external_routable", lambda e: e.groupBy("resource").agg(F.count("*").alias("n")).withColumn("external", E.is_external_routable(F.col("resource"))))
+over_events("s024_sensitive", lambda e: e.where(E.is_sensitive(F.col("resource"))).select("event_id"))
+over_events("s025_hard_trigger", lambda e: e.where(E.is_hard_trigger(F.col("resource"), F.col("sc_type"))).select("event_id", (F.col("sc_type") == 10).alias("renamed")))
+over_events("s026_semantic", lambda e: e.select("event_id", E.semantic(F.col("sc_type"), F.col("resource")).alias("s")).select("event_id", "s.label", F.array_join("s.ttps", ",").alias("ttps"), "s.risk", "s.benign"))
+over_events("s027_semantic_compact", lambda e: e.groupBy(E.semantic_compact(E.semantic(F.col("sc_type"), F.col("resource"))).alias("line")).agg(F.count("*").alias("n")))
+over_events("s028_resource_category", lambda e: e.select("event_id", E.resource_category(F.col("sc_type"), F.col("resource")).alias("category")))
 over_events("s029_ip_region", lambda e: e.groupBy("ip").agg(F.count("*").alias("n")).withColumn("region", E.ip_region(F.col("ip"), 4194304, 1000)))
 over_events(
     "s030_predicates",
@@ -59,7 +49,7 @@ over_events(
 )
 
 
-def scenario() -> F.Column:
+def scenario() -> Column:
     """A scenario name per process, for operators that read such names."""
     pid = F.col("pid")
     return (
@@ -77,7 +67,7 @@ over_events("s034_bigrams", sequence.bigram_table)
 over_events("s035_first_seen", lambda e: sequence.first_seen(e, ["comm", "sc_type"], "novel_edge").select("event_id", "novel_edge"))
 over_events("s036_triage", lambda e: sequence.triage(e).select("event_id", "entropy", "markov_entropy", "novel_edge", "novel_transition", "trigger"))
 over_events("s037_gate_stats", lambda e: sequence.gate_stats(sequence.triage(e)))
-over_events("s038_flagged_lineage", lambda e: sequence.flagged_lineage(e, e.where(SC == 9).select("pid", "ts_us"), 7200).select("event_id"))
+over_events("s038_flagged_lineage", lambda e: sequence.flagged_lineage(e, e.where(F.col("sc_type") == 9).select("pid", "ts_us"), 7200).select("event_id"))
 over_events("s039_lineage", sequence.lineage)
 over_events("s040_parent_map", sequence.parent_map)
 over_windows("s041_structural_entropy", lambda w: graph.structural_entropy(graph.edges(w)))
@@ -87,7 +77,7 @@ over_windows("s044_edge_hints", lambda w: graph.edges(w).groupBy("semantic").agg
 over_windows("s045_meta", graph.meta)
 over_windows("s046_serialized", graph.serialized)
 over_windows("s046b_serialized_arrows", graph.serialized_arrows)
-over_windows("s047_tls_edges", lambda w: graph.tls_edges(w, w.where((SC == 3) & (F.col("wid") % 2 == 0)).select("pid", "wid", "comm", F.concat(F.lit("intent "), "resource").alias("payload")).distinct()).drop("dst_rtype", "label", "sensitive"))
+over_windows("s047_tls_edges", lambda w: graph.tls_edges(w, w.where((F.col("sc_type") == 3) & (F.col("wid") % 2 == 0)).select("pid", "wid", "comm", F.concat(F.lit("intent "), "resource").alias("payload")).distinct()).drop("dst_rtype", "label", "sensitive"))
 over_windows("s048_fingerprints", lambda w: graph.fingerprints(graph.edges(w)).groupBy("fingerprint").agg(F.count("*").alias("windows")))
 over_windows("s049_features", graph.features)
 over_windows("s050_compression", graph.compression)
@@ -193,19 +183,23 @@ def over_chain(name: str, f: Callable[[Chain], DataFrame]) -> None:
 over_events("s004_annotate_ti", lambda e: joins.annotated(e, threat_ips(e.sparkSession), C.MALWARE_PATHS).groupBy("resource").agg(F.count("*").alias("n")))
 over_events("s005_strip_annotations", lambda e: joins.stripped(joins.annotated(e, threat_ips(e.sparkSession), C.MALWARE_PATHS)).groupBy("resource").agg(F.count("*").alias("n")))
 over_chain("s055_attack_intervals", lambda c: c.truth())
-over_events("s056_ancestors", lambda e: joins.ancestors(e.where(SC == 9).groupBy("pid").agg(F.min_by("event_id", F.struct("ts_us", "event_id")).cast("string").alias("resource"), F.min(F.struct("ts_us", "event_id")).alias("flag_order")), sequence.parent_map(e, 0)))
+over_events("s056_ancestors", lambda e: joins.ancestors(e.where(F.col("sc_type") == 9).groupBy("pid").agg(F.min_by("event_id", F.struct("ts_us", "event_id")).cast("string").alias("resource"), F.min(F.struct("ts_us", "event_id")).alias("flag_order")), sequence.parent_map(e, 0)))
 over_events("s057_call_sites", lambda e: joins.call_sites(e, valid_call_sites(e.sparkSession)).select("event_id", "inside", "distance"))
 over_chain("s058_claim_matches", lambda c: c.matched().select("pid", "wid", "claim_id", "matched_idx"))
 over_chain("s059_label_join", lambda c: c.scored().join(c.truth(), graph.KEY).groupBy("malicious").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean_score")))
 over_chain("s060_skipped_anti_join", lambda c: c.events.join(sequence.triage(c.events).where(F.col("trigger") != "skip"), "event_id", "left_anti").groupBy("comm").agg(F.count("*").alias("skipped")))
-over_events("s061_missed_resolutions", lambda e: joins.missed_resolutions(e.where(SC.isin(1, 2)).select("pid", "ts_us", "event_id", F.when(F.col("k") % 2 == 0, "raw").otherwise("resolved").alias("kind"), RES.alias("path")), "/lib").groupBy("missed").agg(F.count("*").alias("n")))
+over_events("s061_missed_resolutions", lambda e: joins.missed_resolutions(e.where(F.col("sc_type").isin(1, 2)).select("pid", "ts_us", "event_id", F.when(F.col("k") % 2 == 0, "raw").otherwise("resolved").alias("kind"), F.col("resource").alias("path")), "/lib").groupBy("missed").agg(F.count("*").alias("n")))
 over_chain("s062_match_claims", lambda c: c.matched().select("pid", "wid", "claim_id", "verified", "matched_id"))
 QUERIES["s063_claimed_resource"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", evidence.claimed_resource(F.col("text")).alias("resource"))
-REASON = F.concat(F.lit("reads "), F.lit("/etc/shadow and "), F.lit("/tmp/stage"), F.col("pid"), F.lit(" then 185.220.101."), F.col("pid") % 20, F.lit(":4444 (T1003, T1071.001)"))
+
+
+def reason() -> Column:
+    """What a model might have said about a window."""
+    return F.concat(F.lit("reads "), F.lit("/etc/shadow and "), F.lit("/tmp/stage"), F.col("pid"), F.lit(" then 185.220.101."), F.col("pid") % 20, F.lit(":4444 (T1003, T1071.001)"))
 
 
 def reasoned(c: Chain) -> DataFrame:
-    return c.full().withColumn("reasoning", REASON)
+    return c.full().withColumn("reasoning", reason())
 
 
 over_chain("s064_reasoning_claims", lambda c: evidence.reasoning_claims(reasoned(c)))
@@ -315,11 +309,11 @@ def strace_lines(e: DataFrame) -> DataFrame:
     clock = F.format_string("%02d:%02d:%02d.%06d", F.floor(us / 3_600_000_000), F.floor(us / 60_000_000) % 60, F.floor(us / 1_000_000) % 60, us % 1_000_000)
     host, port = F.substring_index("resource", ":", 1), F.substring_index("resource", ":", -1)
     call = (
-        F.when(SC == 0, F.concat(F.lit('execve("'), "resource", F.lit('", [], 0) = 0')))
-        .when(SC == 1, F.concat(F.lit('openat(AT_FDCWD, "'), "resource", F.lit('", O_RDONLY) = '), F.when(F.col("k") % 10 == 9, "-1 ENOENT").otherwise("3")))
-        .when(SC == 2, F.concat(F.lit('openat(AT_FDCWD, "'), "resource", F.lit('", O_WRONLY|O_CREAT) = 4')))
-        .when(SC == 3, F.concat(F.lit("connect(3, {sin_port=htons("), port, F.lit('), sin_addr=inet_addr("'), host, F.lit('")}, 16) = 0')))
-        .when(SC == 9, "ptrace(PTRACE_ATTACH) = 0")
+        F.when(F.col("sc_type") == 0, F.concat(F.lit('execve("'), "resource", F.lit('", [], 0) = 0')))
+        .when(F.col("sc_type") == 1, F.concat(F.lit('openat(AT_FDCWD, "'), "resource", F.lit('", O_RDONLY) = '), F.when(F.col("k") % 10 == 9, "-1 ENOENT").otherwise("3")))
+        .when(F.col("sc_type") == 2, F.concat(F.lit('openat(AT_FDCWD, "'), "resource", F.lit('", O_WRONLY|O_CREAT) = 4')))
+        .when(F.col("sc_type") == 3, F.concat(F.lit("connect(3, {sin_port=htons("), port, F.lit('), sin_addr=inet_addr("'), host, F.lit('")}, 16) = 0')))
+        .when(F.col("sc_type") == 9, "ptrace(PTRACE_ATTACH) = 0")
         .otherwise("getpid() = 7")
     )
     return e.select(F.col("trace_id").alias("trace"), F.concat_ws(" ", "pid", clock, call).alias("value"), F.struct("ts_us", "event_id").alias("seq"))
