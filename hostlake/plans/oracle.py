@@ -381,3 +381,19 @@ put(
     "s002_exec_names",
     f"""SELECT pid, coalesce(name, 'unknown') AS comm, count(*) AS n FROM (SELECT pid, last_value(CASE WHEN sc_type = 0 THEN substr(string_split(resource, '/')[-1], 1, 15) END IGNORE NULLS) OVER (PARTITION BY pid ORDER BY ts_us, event_id) AS name FROM ke WHERE {READ}) q GROUP BY ALL""",
 )
+
+# two tiers, calibration and breakdowns
+CTES["draft"] = "SELECT pid, wid, label, round(greatest(0, 1 - score - (pid % 7) / 100.0::DOUBLE), 6) AS confidence FROM said"
+CTES["mix"] = entropy_sql("edges", "pid, wid", "label")
+CTES["two"] = """SELECT d.pid, d.wid, CASE WHEN h < 3.8 AND d.label = 'BENIGN' AND d.confidence >= 0.9 THEN 'draft' ELSE 'full' END AS tier, d.label AS l, d.confidence AS c, s.label AS sl, s.confidence AS sc FROM draft d JOIN said s USING (pid, wid) JOIN mix USING (pid, wid)"""
+put("s078_dual_tier", "SELECT pid, CAST(wid AS BIGINT) AS wid, CASE tier WHEN 'draft' THEN l ELSE sl END AS label, CASE tier WHEN 'draft' THEN c ELSE sc END AS confidence, tier FROM two")
+put("s112_dual_tier_eval", "SELECT count(*) FILTER (tier = 'draft') AS draft, count(*) FILTER (tier = 'full') AS \"full\", round(count(*) FILTER (tier = 'draft') / count(*), 6) AS reduction FROM two")
+put("s079_conformal_fast_path", "SELECT n, CASE WHEN n >= 10 THEN s[least(ceil((n + 1) * 0.9), n)::INT] END AS q, round(0.1 + 1 / (n + 1), 6) AS bound FROM (SELECT count(*) AS n, list_sort(list(confidence)) AS s FROM draft JOIN truth USING (pid, wid) WHERE hits >= 3 AND label = 'BENIGN') z")
+CTES["named"] = f"SELECT DISTINCT pid, wid, {SCENARIO} AS scenario FROM win"
+WORKLOAD = "CASE WHEN starts_with(scenario, 'attack_') THEN 'attack' WHEN starts_with(scenario, 'benign_ext_') THEN 'extended_server' WHEN starts_with(scenario, 'benign_') THEN split_part(scenario, '_', 2) ELSE 'unknown' END"
+FAMILY = "CASE WHEN regexp_matches(scenario, '^attack_T[0-9]+') THEN regexp_extract(scenario, 'attack_(T[0-9]+)', 1) ELSE scenario END"
+put("s108_error_breakdown", f"""SELECT CASE WHEN flagged_m THEN 'false_alarm' ELSE 'miss' END AS kind, CASE WHEN flagged_m THEN {WORKLOAD} ELSE {FAMILY} END AS "group", count(*) AS n FROM judged JOIN named USING (pid, wid) WHERE flagged_m <> malicious GROUP BY ALL""")
+put("s108b_worst_scenarios", "SELECT scenario, count(*) AS windows, count(*) FILTER (flagged_m <> malicious) AS errors FROM judged JOIN named USING (pid, wid) GROUP BY ALL ORDER BY errors DESC, scenario LIMIT 10")
+put("s114_corpus_summary", f"SELECT {WORKLOAD} AS workload, hits >= 3 AS malicious, count(*) AS windows, count(DISTINCT pid) AS processes FROM truth JOIN named USING (pid, wid) GROUP BY ALL")
+put("s063_claimed_resource", f"SELECT doc_id, {claimed('text')} AS resource FROM documents")
+put("s092_tempered", "SELECT pid, CAST(wid AS BIGINT) AS wid, round(1 / (1 + exp(-ln(p / (1 - p)) / 1.5::DOUBLE)), 4) AS confidence FROM (SELECT pid, wid, least(greatest(confidence, 1e-6), 1 - 1e-6) AS p FROM judged) q")
