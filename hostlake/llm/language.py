@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostlake.llm.quality import held_out
-from hostlake.llm.runtime import table
+from hostlake.llm.runtime import small_batches, table
 
 #: Texts per language that a model learns from, at most; those with the smallest hash of their id.
 SAMPLE = 3000
@@ -167,6 +167,7 @@ def known_language_only(docs: DataFrame) -> DataFrame:
 
     Models come from a sample of the stage's own input; where no text has a language nothing is rejected.
     """
+    small_batches(docs.sparkSession)
     model = fit_languages(docs, F.lit(True))
     if not model.languages:
         return docs

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlake.llm.runtime import staged, table
+from hostlake.llm.runtime import small_batches, staged, table
 
 #: Where the public vocabularies are.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -34,6 +34,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text that a chunk has about, and the longest word that goes through the lattice.
 CHUNK_BYTES, LATTICE = 8 << 20, 60
+#: Bytes of rows that are packed together.
+BLOB_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -278,13 +280,28 @@ def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
 
 
 def _pack_by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose last column is the chunk become one blob per batch and chunk."""
-    for batch in batches:
-        chunk = batch.column(batch.num_columns - 1).to_numpy()
+    """Rows whose last column is the chunk become blobs, one per chunk and BLOB_BYTES of input."""
+    held: list[pa.RecordBatch] = []
+
+    def packed() -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        chunk = rows.column(rows.num_columns - 1).to_numpy()
         for c in np.unique(chunk):
-            part = batch.filter(pa.array(chunk == c))
-            blob = _packed(part.columns[:-1], part.schema.names[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([blob], pa.binary())], names=["__chunk", "blob"])
+            part = rows.filter(pa.array(chunk == c)).combine_chunks()
+            columns = [part.column(i).chunk(0) for i in range(part.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([_packed(columns, part.schema.names[:-1])], pa.binary())], names=["__chunk", "blob"])
+
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > BLOB_BYTES:
+            yield from packed()
+            size = 0
+    yield from packed()
 
 
 def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
@@ -307,6 +324,7 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
     one put in front, and nothing else changes. Words of more than ``LATTICE`` characters (rare) are cut by
     :func:`segment_long`, which gives the same ids.
     """
+    small_batches(docs.sparkSession)
     pattern = splitter(vocabulary)
     base = _in_chunks(docs, keep, text)
 
