@@ -103,3 +103,60 @@ def test_large_buckets_are_split(spark, monkeypatch):
         comps = {r.node: r.component for r in simhash.connected_components(edges, "a", "b").collect()}
         want = want or comps
         assert comps == want and len(comps) > 50
+
+
+def shingles(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+def test_pipeline_stage_links_by_exact_similarity(spark):
+    """Pairs around 0.8: a fingerprint radius alone takes some below it and misses some above."""
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for i in range(150):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
+        other = list(words)
+        for x in rng.choice(300, rng.integers(5, 16), replace=False):
+            other[x] = f"x{i}"
+        a, b = " ".join(words), " ".join(other)
+        rows += [(i, a), (1000 + i, b)]
+        if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)):
+            want.add(1000 + i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {i for i, _ in rows} - {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()}
+    assert 20 < len(want) < 130
+    assert gone <= want and len(gone) >= 0.97 * len(want)
+
+
+def test_jaccard_forest_matches_all_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 120)] for _ in range(6)]
+    texts = []
+    for i in range(90):
+        words = list(base[i % 6])
+        for x in rng.choice(120, rng.integers(0, 5), replace=False):
+            words[x] = f"x{rng.integers(0, 50)}"
+        texts.append(" ".join(words[rng.integers(0, 12) :]))
+    comp = {i: i for i in range(90)}
+    near = [(a, b) for a in comp for b in range(a) if len(shingles(texts[a]) & shingles(texts[b])) >= 0.8 * len(shingles(texts[a]) | shingles(texts[b]))]
+    for _ in comp:
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    members = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "component long, node long, text string")
+    for limit in (1 << 12, 16):
+        monkeypatch.setattr(simhash, "MEMBERS", limit)
+        got = {r.node: r.component for r in simhash.connected_components(simhash.similar_texts(members, 5), "a", "b").collect()}
+        assert {i: got.get(i, i) for i in comp} == comp and len(set(comp.values())) > 6
+
+
+def test_pipeline_stage_matches_exact_similarity_on_whole_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: frozenset(simhash.shingle_hashes(r.text.encode(), 5).tolist()) for r in docs.collect()}
+    comp = {i: i for i in sets}
+    near = [(a, b) for a in sets for b in sets if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    for _ in near:
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    left = {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()}
+    assert left == {i for i in sets if comp[i] == i} and len(left) < len(sets)
