@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from hostlake.llm.runtime import table
 
-#: Words that a line must have to count as a unit, and that a run of smaller units must have to go.
+#: Words that a line must have to go where only its own document has it before, and that a run of smaller units must have to go.
 LINE_WORDS, RUN_WORDS = 8, 25
 #: Sentences are cut further beyond so many words, about every ``CUT`` words.
 LONG, CUT = 16, 8
@@ -67,7 +67,7 @@ def units(data: bytes) -> Units:
         a = len(words)
         words += line.split()
         b = len(words)
-        if b - a >= LINE_WORDS:
+        if b > a:
             put(a, b, True)
         if b - a >= RUN_WORDS:
             for s, e in _pieces(words, a, b):
@@ -85,13 +85,14 @@ def offsets(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def repeated_spans(data: bytes, earlier: set[int]) -> tuple[list[tuple[int, int]], int, int]:
     """Byte spans to remove, given the digests that occur in earlier documents; how many units there are and go.
 
-    Within the text itself the first occurrence of a unit counts as the earliest.
+    Within the text itself the first occurrence of a unit counts as the earliest. Lines of fewer than ``LINE_WORDS``
+    words that repeat only within the text stay, as refrains and brackets do.
     """
     found = units(data)
     seen: set[int] = set()
     again = []
-    for d in found.digest:
-        again.append(d in earlier or d in seen)
+    for d, a, b, whole in zip(found.digest, found.first, found.last, found.line, strict=True):
+        again.append(d in earlier or (d in seen and not (whole and b - a < LINE_WORDS)))
         seen.add(d)
     gone: list[tuple[int, int]] = []
     run: list[tuple[int, int]] = []

@@ -79,3 +79,13 @@ def test_whole_table(spark, sf):
     want = slow_kept(rows)
     got = {r.doc_id: r for r in substring.op9_substring(spark, sf).collect()}
     assert all(got[i].n_removed == substring.repeated_spans(t.encode(), want[i])[2] for i, t in rows)
+
+
+def test_short_lines_of_earlier_documents_go(spark):
+    licence = "Licensed under the Apache License, Version 2.0."
+    verse = "\n".join(f"line {i} of it" for i in range(20))
+    rows = [(1, f"own one\n{licence}\n{licence}", None), (2, f"own two\n  licensed under the apache  license, version 2.0.\nEnd", None), (3, verse, None), (4, f"A head\n{verse}\nend", None)]
+    got = {r.doc_id: r for r in run(spark, rows)}
+    assert got[1].text == rows[0][1] and got[3].text == verse
+    assert got[2].text == "own two\nEnd" and got[2].n_removed >= 1
+    assert got[4].text == "A head\n"
