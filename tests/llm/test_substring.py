@@ -89,3 +89,34 @@ def test_short_lines_of_earlier_documents_go(spark):
     assert got[1].text == rows[0][1] and got[3].text == verse
     assert got[2].text == "own two\nEnd" and got[2].n_removed >= 1
     assert got[4].text == "A head\n"
+
+
+def test_passages_go_whole_wherever_they_sit(spark):
+    """Brute force over words: a shared span of 50 words loses every word, whatever the line breaks."""
+    rng = random.Random(5)
+    passages = [prose(rng, rng.randrange(50, 90)).split() for _ in range(12)]
+    rows = []
+    for i in range(40):
+        words = []
+        for p in rng.sample(passages, 2):
+            words += prose(rng, rng.randrange(0, 40)).split() + p
+        words += prose(rng, 10).split()
+        rows.append((i, "".join(w + ("\n" if rng.random() < 0.15 else " ") for w in words), None))
+    got = {r.doc_id: r for r in run(spark, rows)}
+    windows, lines = {}, {}
+    for i, t, _ in rows:
+        words = t.lower().split()
+        for a in range(len(words) - substring.RUN_WORDS + 1):
+            windows.setdefault(tuple(words[a : a + substring.RUN_WORDS]), i)
+        for line in t.lower().split("\n"):
+            lines.setdefault(tuple(line.split()), i)
+    for i, t, _ in rows:
+        words = t.lower().split()
+        gone = {a + j for a in range(len(words) - substring.RUN_WORDS + 1) if windows[tuple(words[a : a + substring.RUN_WORDS])] < i for j in range(substring.RUN_WORDS)}
+        at = 0
+        for line in t.lower().split("\n"):
+            if line.split() and lines[tuple(line.split())] < i:
+                gone |= set(range(at, at + len(line.split())))
+            at += len(line.split())
+        assert got[i].text.split() == [w for a, w in enumerate(t.split()) if a not in gone]
+    assert sum(len(got[i].removed_spans) for i in got) > 50
