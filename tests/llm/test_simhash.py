@@ -160,3 +160,9 @@ def test_pipeline_stage_matches_exact_similarity_on_whole_table(spark, sf):
             comp[a] = comp[b] = min(comp[a], comp[b])
     left = {r.doc_id for r in simhash.near_duplicates_removed(docs).collect()}
     assert left == {i for i in sets if comp[i] == i} and len(left) < len(sets)
+
+
+def test_repeated_id_loses_only_the_copied_text(spark):
+    text, other = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = spark.createDataFrame([(1, text), (2, text), (2, other), (2, other)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.near_duplicates_removed(docs).collect()) == [(1, text), (2, other), (2, other)]
