@@ -1,41 +1,47 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The distinct words of a corpus are cut into all substrings up to the longest piece, joined to the
-piece table and grouped by word; a Spark higher-order aggregate folds the edges of a word into its
-best segmentation. Two folds exist, as the library has two kinds of model: ``unigram`` keeps the
-Viterbi path with the largest sum of scores, ``bpe`` merges the neighbours whose joint piece has
-the best score until none is left. Both give the library's ids; a Viterbi path over the
-scores of a BPE model would not.
-
-Documents meet the words again in chunks of rows, each with a dictionary of its own words, so that
-neither occurrences nor an unbounded dictionary travel.
+Texts are cut wherever no piece can cross: between characters that no piece has side by side. The distinct words that
+this gives are exploded into substrings of bounded length, joined to the piece table and grouped by word, and a Spark
+higher-order aggregate folds the edges of a word into its Viterbi path.
+
+Two kinds of model differ only in what a path is worth. ``unigram`` adds the scores of its pieces. ``bpe`` ranks
+paths by their merges: every piece stands for the merges that built it, and of two paths the better one is that whose
+ascending list of merges (best score first, then leftmost) is the smaller, a longer list going before its own beginning.
+That order doesn't change when the same merges are added on both sides, so Viterbi may use it; and its best path is what
+merging greedily gives, as the greedy choice is the first entry of the best list, again and again. It needs a
+vocabulary in which pieces are built from earlier ones, which is checked. Both kinds give the library's ids.
+
+Documents meet the words again in chunks of bounded size, each with a dictionary of its own words. A word
+travels once per chunk, however often it occurs, so no word has more than one in some 100,000 of the rows.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlake.llm.runtime import small_batches, staged, table
+from hostlake.llm.runtime import small_batches, table
 
 #: Where the public vocabularies are.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Stands for a space in pieces.
 SPACE = "▁"
-#: Bytes of text that a chunk has about, and the longest word that goes through the lattice.
-CHUNK_BYTES, LATTICE = 8 << 20, 60
-#: Bytes of rows that are packed together.
-BLOB_BYTES = 8 << 20
+#: Bytes of text of a chunk and of a part of it that is handled at once (a longer text is a chunk of its own), and bytes that are cut at a time.
+CHUNK_BYTES, PART_BYTES, SLICE = 32 << 20, 2 << 20, 1 << 20
+#: The longest word that goes through the lattice, at most 127.
+LATTICE = 120
+#: Characters that a prefix has, by which the lengths of the pieces that begin with it are known.
+PREFIX = 3
 
 
 @dataclass(frozen=True)
@@ -52,6 +58,11 @@ class Vocabulary:
     def longest(self) -> int:
         return max(map(len, self.scores), default=1)
 
+    @property
+    def floor(self) -> float:
+        """The score of a character that isn't a piece."""
+        return min(self.scores.values(), default=0.0) - 10.0
+
     def spelled(self) -> list[bytes]:
         """The bytes that each id stands for."""
         size = max([self.unknown, self.byte_base + 255, *self.ids.values()]) + 1
@@ -63,6 +74,27 @@ class Vocabulary:
                 out[self.byte_base + b] = bytes([b])
         return out
 
+    def halves(self) -> dict[str, tuple[int, int]]:
+        """Of each piece that merges build, the length of the left one of the two that are merged last, and when it is their turn.
+
+        Merges take turns by score, then place. As a rule a piece's place is its begin, but one whose right half has the same score can't be
+        merged before that; its place is that of the half (given relative to its begin). Pieces that merges don't build
+        can't occur in a result and are left out. A half with a lower score than its piece would spoil the order of merges and is refused.
+        """
+        out = {}
+        for piece in self.scores:
+            if len(piece) > 1:
+                place: dict[tuple[int, int], tuple[float, int]] = {}
+                for s, m, e in merged(piece, self):
+                    score = self.scores[piece[s:e]]
+                    left, right = place.get((s, m), (np.inf, s)), place.get((m, e), (np.inf, s))
+                    if min(left[0], right[0]) < score or (left[0] == score and left[1] != s):
+                        raise ValueError(f"a half of {piece[s:e]!r} is merged after it")
+                    place[s, e] = score, right[1] if right[0] == score else s
+                if (0, len(piece)) in place:
+                    out[piece] = m, place[0, len(piece)][1]
+        return out
+
 
 def load_vocabulary(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     """Pieces of a model file (read by the driver; a vocabulary is bounded by its size). ``kind`` is that of the model."""
@@ -71,32 +103,37 @@ def load_vocabulary(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     return Vocabulary(kind, {sp.id_to_piece(i): sp.get_score(i) for i in plain}, {sp.id_to_piece(i): i for i in plain}, next((i for i in range(sp.get_piece_size()) if sp.is_byte(i)), -1), sp.unk_id())
 
 
-def splitter(vocabulary: Vocabulary) -> re.Pattern[str]:
-    """Cuts normalised text into words that no piece crosses: before each run of spaces, and at line breaks if no piece has any."""
-    if any(SPACE in p.lstrip(SPACE) for p in vocabulary.scores):
-        return re.compile(r"(?s).+")
-    if any("\n" in p for p in vocabulary.scores):
-        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-    return re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-
-
-def normalised(text: str) -> str:
-    """Spaces escaped, with one in front; the empty text stays empty."""
-    return SPACE + text.replace(" ", SPACE) if text else ""
-
-
-def _rest(vocabulary: Vocabulary, char: str) -> list[int]:
-    """Ids of a character that isn't a piece."""
-    if vocabulary.byte_base < 0:
-        return [vocabulary.unknown]
-    return [vocabulary.byte_base + b for b in char.encode("utf-8", "surrogatepass")]
+def merged(word: str, vocabulary: Vocabulary) -> Iterator[tuple[int, int, int]]:
+    """The merges of a word in their order: begin, middle and end of each; the best score first, then the leftmost."""
+    scores, n = vocabulary.scores, len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    alive = [True] * n
+    heap: list[tuple[float, int, int, int]] = []
+
+    def offer(s: int, m: int) -> None:
+        if s >= 0 and m < n and (score := scores.get(word[s : after[m]])) is not None:
+            heapq.heappush(heap, (-score, s, m, after[m]))
+
+    for i in range(n - 1):
+        offer(i, i + 1)
+    while heap:
+        _, s, m, e = heapq.heappop(heap)
+        if not (alive[s] and alive[m] and after[s] == m and after[m] == e):
+            continue
+        alive[m] = False
+        after[s] = e
+        if e < n:
+            before[e] = s
+        yield s, m, e
+        offer(before[s], s)
+        offer(s, e)
 
 
 def segment_long(word: str, vocabulary: Vocabulary) -> list[int]:
     """Ids of one word by a heap of merges (bpe) or a forward pass (unigram); for words too long for the lattice."""
-    scores, n = vocabulary.scores, len(word)
+    n = len(word)
     if vocabulary.kind == "unigram":
-        floor = min(scores.values(), default=0.0) - 10.0
+        scores, floor = vocabulary.scores, vocabulary.floor
         best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
         for e in range(1, n + 1):
             for s in range(max(0, e - vocabulary.longest), e):
@@ -108,139 +145,147 @@ def segment_long(word: str, vocabulary: Vocabulary) -> list[int]:
             cuts.append(back[cuts[-1]])
         cuts.reverse()
     else:
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        alive = [True] * n
-        heap: list[tuple[float, int, int, int]] = []
-
-        def offer(s: int, m: int) -> None:
-            if s >= 0 and m < n and (score := scores.get(word[s : after[m]])) is not None:
-                heapq.heappush(heap, (-score, s, m, after[m]))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        while heap:
-            _, s, m, e = heapq.heappop(heap)
-            if not (alive[s] and m < n and alive[m] and after[s] == m and after[m] == e):
-                continue
-            alive[m] = False
-            after[s] = e
-            if e < n:
-                before[e] = s
-            offer(before[s], s)
-            offer(s, e)
-        cuts = [i for i in range(n) if alive[i]] + [n]
+        gone = {m for _, m, _ in merged(word, vocabulary)}
+        cuts = [i for i in range(n + 1) if i not in gone]
     out: list[int] = []
     for s, e in zip(cuts, cuts[1:], strict=False):
         i = vocabulary.ids.get(word[s:e])
-        out += _rest(vocabulary, word[s:e]) if i is None else [i]
+        if i is not None:
+            out.append(i)
+        elif vocabulary.byte_base < 0:
+            out.append(vocabulary.unknown)
+        else:
+            out += [vocabulary.byte_base + b for b in word[s:e].encode()]
     return out
 
 
-def _met(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Substrings of the words that are pieces, and all single characters: ``word``, ``s``, ``e`` (positions), ``rank``, ``cost``, ``id`` (null: no piece)."""
-    spark = words.sparkSession
-    order = {c: i for i, c in enumerate(sorted({-s for s in vocabulary.scores.values()}))}
-    # bounded by the size of the vocabulary
-    table_of = spark.createDataFrame([(p, order[-s], -float(s), vocabulary.ids[p]) for p, s in vocabulary.scores.items()], "piece string, rank long, cost double, id int")
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("s"))
-    spans = starts.select("word", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(vocabulary.longest), F.char_length("word") - F.col("s") + 1))).alias("n"))
-    named = spans.select("word", "s", "n", F.substring("word", F.col("s"), F.col("n")).alias("piece"))
-    met = named.join(F.broadcast(table_of), "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
-    return met.select("word", (F.col("s") - 1).alias("s"), (F.col("s") + F.col("n") - 1).alias("e"), "rank", "cost", "id")
-
-
-def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``word`` and its ``edges``, from character ``s`` to ``e``; ``id`` is -1 for a character that isn't a piece.
+def cutter(vocabulary: Vocabulary) -> Callable[[pa.Array], tuple[pa.Array, np.ndarray]]:
+    """A function that cuts texts into words: all words in their order, and where each text's words end.
 
-    ``words`` has distinct, non-null ``word``s of at most LATTICE characters. For bpe an edge travels as one long, best score first,
-    then leftmost; unpacked it has ``ends`` and ``between``, bit masks of its two ends and of the positions inside. For
-    unigram it has its ``cost`` instead.
+    Texts are normalised as the given models do: a space becomes U+2581, one more is put in front, nothing else changes; the
+    empty text (and null) stays empty. Two neighbouring characters are parted unless some piece has them side by side.
     """
-    met = _met(words, vocabulary)
-    if vocabulary.kind == "unigram":
-        edge = F.when(F.col("id").isNotNull(), F.struct("cost", "s", "e", "id"))
-        return met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    packed = F.expr("shiftleft(coalesce(rank, 1048575L), 40) + shiftleft(CAST(s AS BIGINT), 32) + shiftleft(CAST(e AS BIGINT), 24) + coalesce(id, -1) + 1")
-    held = met.groupBy("word").agg(F.array_sort(F.collect_list(packed)).alias("packed"))
-    fields = """transform(packed, x -> named_struct('s', CAST(shiftright(x, 32) & 255 AS INT), 'e', CAST(shiftright(x, 24) & 255 AS INT), 'id', CAST(x & 16777215 AS INT) - 1))"""
-    masks = """transform(raw, x -> named_struct('s', x.s, 'id', x.id, 'ends', shiftleft(1L, x.s) | shiftleft(1L, x.e), 'between', shiftleft(1L, x.e) - shiftleft(1L, x.s + 1)))"""
-    return held.select("word", F.expr(fields).alias("raw")).select("word", F.expr(masks).alias("edges"))
+    chars = sorted({c for p in vocabulary.scores for c in p})
+    kind = np.zeros(0x110000, np.int32)
+    kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+    width = len(chars) + 1
+    pairs = {(a, b) for p in vocabulary.scores for a, b in zip(p, p[1:], strict=False)}
+    joint = np.zeros((width * width + 7) // 8, np.uint8)
+    key = np.array([int(kind[ord(a)]) * width + int(kind[ord(b)]) for a, b in pairs], np.int64)
+    np.bitwise_or.at(joint, key >> 3, (1 << (key & 7)).astype(np.uint8))
+
+    def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        body = pa.array([SPACE + t.replace(" ", SPACE) if t else "" for t in texts.to_pylist()], pa.large_string())
+        _, offsets, data = body.buffers()
+        edge = np.frombuffer(offsets, np.int64, len(body) + 1)
+        raw = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        base, end = int(edge[0]), int(edge[-1])
+        found, last = [], 0
+        while base < end:
+            stop = min(base + SLICE, end)
+            while stop < end and raw[stop] & 0xC0 == 0x80:
+                stop += 1
+            part = raw[base:stop]
+            code = kind[np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)]
+            code = np.concatenate([[last], code]).astype(np.int64)
+            both = code[:-1] * width + code[1:]
+            apart = (joint[both >> 3] >> (both & 7).astype(np.uint8)) & 1 == 0
+            found.append(np.flatnonzero(part & 0xC0 != 0x80)[apart] + base)
+            base, last = stop, code[-1]
+        at = np.union1d(np.concatenate([edge[:0], *found]), edge)
+        words = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), data])
+        return words, np.searchsorted(at, edge[1:])
+
+    return cut
 
 
-def _merged(edges: Column, n: Column) -> Column:
-    """The bounds of the pieces after all merges, as a bit mask.
+def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``word`` and its ``edges``: all substrings that are pieces, and all single characters.
 
-    Each step takes the first edge (best score, then leftmost) whose ends are bounds with exactly one bound between them, and
-    removes that bound; once there is none, nothing changes any more.
+    ``words`` has distinct, non-null ``word``s of at most LATTICE characters. An edge goes from character ``s`` to ``e``; ``id`` is
+    negative for a character that isn't a piece. For unigram it has its ``gain``; for bpe the array is in the order of merges and
+    ``m`` is where the two halves of a piece meet (0: a single character).
     """
-    bit = lambda a, b: a.bitwiseAND(b)
-
-    def step(state: Column, _: Column) -> Column:
-        bounds, alive = state["bounds"], state["alive"]
-
-        def joins(e: Column) -> Column:
-            inner = bit(bounds, e["between"])
-            return bit(inner, inner - 1) == 0
-
-        found = F.coalesce(bit(bounds, F.try_element_at(F.filter(alive, joins), F.lit(1))["between"]), F.lit(0).cast("long"))
-
-        # what is left of the edges: both ends still bounds, and a bound between them (bounds never come back)
-        def without(gone: Column) -> Column:
-            left = lambda e: (bit(gone, e["ends"]) == 0) & (bit(bounds - gone, e["between"]) != 0)
-            rest = F.when(gone == 0, F.slice(alive, 1, 0)).otherwise(F.filter(alive, left))
-            return F.struct((bounds - gone).alias("bounds"), rest.alias("alive"))
-
-        # a one-element array names the removed bound, which is then looked for only once
-        return F.when(F.size(alive) == 0, state).otherwise(F.transform(F.array(found), without)[0])
-
-    every = F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1
-    begin = F.struct(every.alias("bounds"), F.filter(edges, lambda e: e["between"] != 0).alias("alive"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), begin, step)["bounds"]
+    spark = words.sparkSession
+    bpe = vocabulary.kind == "bpe"
+    if bpe and (vocabulary.longest > 31 or len(vocabulary.scores) >= 1 << 18 or max(vocabulary.ids.values(), default=0) >= (1 << 18) - 1):
+        raise ValueError("pieces of more than 31 characters or more than 2^18 pieces don't fit an edge")
+    halves = vocabulary.halves() if bpe else {}
+    rank = {c: i for i, c in enumerate(sorted({-s for s in vocabulary.scores.values()}), 1)}
+    pieces = [(p, vocabulary.ids[p], float(s), rank[-s] if len(p) > 1 else 0, *halves.get(p, (0, 0))) for p, s in vocabulary.scores.items() if len(p) == 1 or not bpe or p in halves]
+    lengths: dict[str, set[int]] = {}
+    for p, *_ in pieces:
+        if len(p) >= PREFIX:
+            lengths.setdefault(p[:PREFIX], set()).add(len(p))
+    # both are bounded by the size of the vocabulary
+    piece_table = F.broadcast(spark.createDataFrame(pieces, "piece string, id int, score double, rank long, half long, place long"))
+    prefixes = F.broadcast(spark.createDataFrame([(p, sorted(n)) for p, n in lengths.items()], "prefix string, lengths array<int>"))
+    left = F.char_length("word") - F.col("s")
+    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    known = starts.withColumn("prefix", F.substring("word", F.col("s") + 1, F.lit(PREFIX))).join(prefixes, "prefix", "left")
+    some = F.concat(F.array(*(F.lit(i) for i in range(1, PREFIX))), F.coalesce("lengths", F.array().cast("array<int>")))
+    spans = known.select("word", "s", F.explode(F.filter(some, lambda n: n <= left)).alias("n"))
+    met = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("n"))).join(piece_table, "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
+    unknown = -F.col("s") - 1
+    if not bpe:
+        edge = F.struct("s", (F.col("s") + F.col("n")).alias("e"), F.coalesce("id", unknown).alias("id"), F.coalesce("score", F.lit(vocabulary.floor)).alias("gain"))
+        return met.groupBy("word").agg(F.collect_list(edge).alias("edges"))
+    # an edge travels as one long, in the order of merges: rank (19 bits), place (7), end (7), begin from behind (7), length of the left half (5), id + 1 (18)
+    packed = F.expr("""shiftleft(coalesce(rank, 0L), 44) + shiftleft(s + coalesce(place, 0L), 37) + shiftleft(CAST(s + n AS BIGINT), 30)
+        + shiftleft(127L - s, 23) + shiftleft(coalesce(half, 0L), 18) + coalesce(id + 1, 0)""")
+    held = met.groupBy("word").agg(F.sort_array(F.collect_list(packed)).alias("packed"))
+    begin, half = "CAST(127 - (shiftright(x, 23) & 127) AS INT)", "CAST(shiftright(x, 18) & 31 AS INT)"
+    fields = f"""transform(packed, x -> named_struct('s', {begin}, 'e', CAST(shiftright(x, 30) & 127 AS INT), 'm', if({half} = 0, 0, {begin} + {half}),
+        'id', if(x & 262143 = 0, -1 - {begin}, CAST(x & 262143 AS INT) - 1)))"""
+    return held.select("word", F.expr(fields).alias("edges"))
+
+
+def _with_gains(edges: Column) -> Column:
+    """Edges of a bpe lattice with ``gain``: the numbers, negated, of the merges that build the piece; merges are numbered in their order."""
+    multi = F.filter(edges, lambda x: x["m"] > 0)
+    none = F.array().cast("array<int>")
+
+    def gained(multi: Column) -> Column:
+        keys = F.transform(multi, lambda x: x["s"] * 256 + x["e"])
+
+        def step(keys: Column) -> Callable[[Column, Column], Column]:
+            def half(done: Column, s: Column, e: Column) -> Column:
+                return F.when(e - s == 1, none).otherwise(F.element_at(done, F.array_position(keys, s * 256 + e).cast("int")))
+
+            return lambda done, x: F.concat(done, F.array(F.concat(F.array(-F.size(done) - 1), half(done, x["s"], x["m"]), half(done, x["m"], x["e"]))))
+
+        # a one-element array names the keys, which are then found only once
+        done = F.transform(F.array(keys), lambda k: F.aggregate(multi, F.array().cast("array<array<int>>"), step(k)))[0]
+        return F.zip_with(multi, done, lambda x, g: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), g.alias("gain")))
+
+    single = F.transform(F.filter(edges, lambda x: x["m"] == 0), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), none.alias("gain")))
+    return F.concat(single, gained(multi))
+
+
+def _viterbi(edges: Column, n: Column, add: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Ids along the path with the greatest gain; of equal ones that with the longer last piece. The state holds, for every end reached, the gain and the ids of its best path."""
+    start = F.array(F.struct(zero.alias("gain"), F.lit(0).alias("tie"), F.array().cast("array<int>").alias("ids")))
 
+    def step(state: Column, e: Column) -> Column:
+        def reached(x: Column) -> Column:
+            # a one-element array names the path so far, which is then found only once
+            go = lambda before: F.struct(add(before["gain"], x["gain"]).alias("gain"), (-x["s"]).alias("tie"), F.concat(before["ids"], F.array(x["id"])).alias("ids"))
+            return F.transform(F.array(F.element_at(state, x["s"] + 1)), go)[0]
 
-def _viterbi(edges: Column, n: Column, floor: float) -> Column:
-    """Bounds of the path with the least cost. The state holds, for every end reached, the cost and the start of the last piece.
+        return F.concat(state, F.array(F.array_max(F.transform(F.filter(edges, lambda x: x["e"] == e), reached))))
 
-    A character that isn't a piece costs ``floor``; of equal paths the one with the earlier last start stays.
-    """
-    blank = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, 0.0).alias("cost"), F.lit(-1).alias("back")))
-
-    def step(state: Column, e: Column) -> Column:
-        options = F.transform(
-            F.filter(edges, lambda x: x["e"] == e),
-            lambda x: F.struct((F.element_at(state, (x["s"] + 1).cast("int"))["cost"] + x["cost"]).alias("cost"), x["s"].alias("back")),
-        )
-        single = F.struct((F.element_at(state, e.cast("int"))["cost"] + floor).alias("cost"), (e - 1).alias("back"))
-        known = F.exists(edges, lambda x: (x["e"] == e) & (x["s"] == e - 1))
-        best = F.array_min(F.when(known, options).otherwise(F.concat(options, F.array(single))))
-        return F.transform(state, lambda old, i: F.when(i == e, best).otherwise(old))
-
-    state = F.aggregate(F.sequence(F.lit(1), n), blank, step)
-    first = F.struct(F.array(n).alias("cuts"), state.alias("state"))
-    last = F.aggregate(
-        F.sequence(F.lit(1), n),
-        first,
-        lambda acc, _: F.when(acc["cuts"][0] <= 0, acc).otherwise(F.struct(F.concat(F.array(F.element_at(acc["state"], (acc["cuts"][0] + 1).cast("int"))["back"]), acc["cuts"]).alias("cuts"), acc["state"].alias("state"))),
-    )
-    return last["cuts"]
+    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["ids"]
 
 
 def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``word`` and ``ids`` (array<int>): the segmentation of each distinct word, which must not be null or empty."""
-    n = F.char_length("word")
-    edges = F.col("edges")
-    cut = lattice(words, vocabulary)
+    cut, n = lattice(words, vocabulary), F.char_length("word")
     if vocabulary.kind == "unigram":
-        floor = -(min(vocabulary.scores.values(), default=0.0) - 10.0)
-        bounds = cut.select("word", "edges", _viterbi(edges, n, floor).alias("bounds"))
-        pairs = F.arrays_zip(F.slice("bounds", 1, F.size("bounds") - 1).alias("s"), F.slice("bounds", 2, F.size("bounds") - 1).alias("e"))
-        id_of = lambda p: F.try_element_at(F.filter(edges, lambda x: (x["s"] == p["s"]) & (x["e"] == p["e"])), F.lit(1))["id"]
-        chosen = F.transform(pairs, lambda p: F.struct(p["s"].alias("s"), F.coalesce(id_of(p), F.lit(-1)).alias("id")))
-        path = bounds.select("word", chosen.alias("path"))
+        path = cut.select("word", _viterbi(F.col("edges"), n, lambda a, b: a + b, F.lit(0.0)).alias("path"))
     else:
-        bounds = cut.select("word", "edges", _merged(edges, n).alias("bounds"))
-        used = F.filter(edges, lambda e: (F.col("bounds").bitwiseAND(e["ends"]) == e["ends"]) & (F.col("bounds").bitwiseAND(e["between"]) == 0))
-        path = bounds.select("word", F.array_sort(F.transform(used, lambda e: F.struct(e["s"].alias("s"), e["id"].alias("id")))).alias("path"))
+        add = lambda a, b: F.sort_array(F.concat(a, b), asc=False)
+        gains = cut.select("word", _with_gains(F.col("edges")).alias("edges"))
+        path = gains.select("word", _viterbi(F.col("edges"), n, add, F.array().cast("array<int>")).alias("path"))
     if vocabulary.byte_base < 0:
         rest = lambda s: F.array(F.lit(vocabulary.unknown))
     else:
@@ -250,63 +295,68 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             byte = lambda i: F.conv(F.substring(code, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
             return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: byte(i) + vocabulary.byte_base)
 
-    plain = F.transform("path", lambda p: p["id"])
-    with_rest = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(rest(p["s"]))))
-    return path.select("word", F.when(F.exists("path", lambda p: p["id"] < 0), with_rest).otherwise(plain).alias("ids"))
-
-
-def _in_chunks(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
-    """``keep``, the text and ``__chunk``, the same for runs of rows of a file with about CHUNK_BYTES of text."""
+    with_rest = F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(rest(-i - 1))))
+    return path.select("word", F.when(F.exists("path", lambda i: i < 0), with_rest).otherwise(F.col("path")).alias("ids"))
 
-    def chunked(df: DataFrame) -> DataFrame:
-        mean = df.agg(F.avg(F.octet_length(text))).first()[0] or 1
-        rows = max(int(CHUNK_BYTES / max(mean, 1)), 1)
-        chunk = F.xxhash64(F.col("_metadata.file_path"), F.expr(f"_metadata.row_index div {rows}"))
-        return df.select(*dict.fromkeys([*keep, text]), chunk.alias("__chunk"))
 
-    try:
-        return chunked(docs)
-    except AnalysisException:  # not rows of files as they stand
-        return chunked(staged(docs.select(*dict.fromkeys([*keep, text]))))
+def _parts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows in parts of about PART_BYTES of text (column ``at``), each with its chunk: a run of parts of one task with about CHUNK_BYTES."""
+    chunk, held = TaskContext.get().partitionId() << 24, 0
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()
+        start = size = 0
+        for i, n in enumerate([*sizes, 0], 1):
+            if i <= len(sizes) and not (size + n > PART_BYTES and size):
+                size += n
+                continue
+            if i - 1 > start:
+                yield chunk, batch.slice(start, i - 1 - start)
+                held += size
+                if held > CHUNK_BYTES:
+                    chunk, held = chunk + 1, 0
+            start, size = i - 1, n
 
 
-def _packed(columns: list[pa.Array], names: list[str]) -> bytes:
-    """Columns as a compressed Arrow stream, so that texts and dictionaries travel small."""
+def _packed(rows: pa.RecordBatch) -> bytes:
+    """Rows as a compressed Arrow stream, so that texts travel small."""
     sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays(columns, names=names)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
+    whole = pa.Table.from_batches([rows]).combine_chunks()
+    with pa.ipc.new_stream(sink, whole.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(whole)
     return sink.getvalue().to_pybytes()
 
 
-def _pack_by_chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose last column is the chunk become blobs, one per chunk and BLOB_BYTES of input."""
-    held: list[pa.RecordBatch] = []
-
-    def packed() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        rows = pa.Table.from_batches(held)
-        held.clear()
-        chunk = rows.column(rows.num_columns - 1).to_numpy()
-        for c in np.unique(chunk):
-            part = rows.filter(pa.array(chunk == c)).combine_chunks()
-            columns = [part.column(i).chunk(0) for i in range(part.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([_packed(columns, part.schema.names[:-1])], pa.binary())], names=["__chunk", "blob"])
-
-    size = 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size > BLOB_BYTES:
-            yield from packed()
-            size = 0
-    yield from packed()
-
-
-def _unpacked(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
-    for blob in blobs:
-        yield pa.ipc.open_stream(blob.as_buffer()).read_all()
+class _Dictionary:
+    """Words of one chunk with their ids; words that it doesn't have are cut where they are met."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        self.words: list[pa.Array] = []
+        self.ids: list[pa.Array] = []
+
+    def add(self, words: pa.Array, ids: pa.Array) -> None:
+        # copies, or a whole batch would live as long as its last row
+        every = pa.array(np.arange(len(words)))
+        self.words.append(words.cast(pa.large_string()).take(every))
+        self.ids.append(ids.take(every))
+
+    def encode(self, words: pa.Array, ends: np.ndarray) -> pa.ListArray:
+        """Ids of texts given by their words and where each text's words end."""
+        known = pa.chunked_array(self.words, pa.large_string()).combine_chunks()
+        lists = pa.chunked_array(self.ids, pa.list_(pa.int32())).combine_chunks()
+        self.words, self.ids = [known], [lists]
+        own = words.dictionary_encode()
+        place = pc.index_in(own.dictionary, value_set=known)
+        if place.null_count:
+            new = own.dictionary.filter(place.is_null())
+            self.add(new, pa.array([segment_long(w, self.vocabulary) for w in new.to_pylist()], pa.list_(pa.int32())))
+            return self.encode(words, ends)
+        code = place.to_numpy()[own.indices.to_numpy()]
+        offset, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        start, n = offset[code].astype(np.int64), (offset[1:] - offset[:-1])[code].astype(np.int64)
+        upto = np.cumsum(n)
+        out = flat[np.arange(upto[-1] if len(upto) else 0) + np.repeat(start - (upto - n), n)]
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto])[np.concatenate([[0], ends])].astype(np.int32)), pa.array(out, pa.int32()))
 
 
 def spell(ids: list[int], spelled: list[bytes]) -> str:
@@ -319,62 +369,76 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
 
     With ``verify`` also ``round_trip``: whether the ids, decoded again, spell the text (U+2581 decodes to a space, as it does in the library).
 
-    Null and empty texts have no ids. Ids of documents may repeat or be null; further columns are ignored; an
-    empty table gives an empty result. Normalisation is that of the given models: spaces become U+2581, with
-    one put in front, and nothing else changes. Words of more than ``LATTICE`` characters (rare) are cut by
-    :func:`segment_long`, which gives the same ids.
+    Null and empty texts have no ids. Ids of documents may repeat or be null, rows too; further columns are ignored; an
+    empty table gives an empty result. Words of more than ``LATTICE`` characters (in practice one
+    character over and over) are cut by :func:`segment_long`, which gives the same ids. Texts of any length are read whole.
     """
     small_batches(docs.sparkSession)
-    pattern = splitter(vocabulary)
-    base = _in_chunks(docs, keep, text)
+    columns = list(dict.fromkeys([*keep, text]))
+    base = docs.select(*columns)
+    at = columns.index(text)
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
-        now = None
-        for batch in batches:
-            for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if chunk != now:
-                    yield from rows(now, seen)
-                    seen, now = set(), chunk
-                seen.update(pattern.findall(normalised(body.as_py() or "")))
+        cut, seen, now = cutter(vocabulary), [], None
+        for chunk, part in _parts(batches, 0):
+            if chunk != now:
+                yield from rows(now, seen)
+                seen, now = [], chunk
+            seen.append(cut(part.column(0))[0].unique())
         yield from rows(now, seen)
 
-    def rows(chunk: int | None, seen: set[str]) -> Iterator[pa.RecordBatch]:
-        short = [w for w in seen if len(w) <= LATTICE]
-        for at in range(0, len(short), 50_000):
-            part = pa.array(short[at : at + 50_000], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), part], names=["chunk", "word"])
+    def rows(chunk: int | None, seen: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        if seen:
+            every = pa.chunked_array(seen).unique()
+            short = every.filter(pc.less_equal(pc.utf8_length(every), LATTICE)).cast(pa.string())
+            for first in range(0, len(short), 10_000):
+                part = short.slice(first, 10_000)
+                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), part], names=["chunk", "word"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, part in _parts(batches, at):
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([_packed(part)], pa.binary())], names=["chunk", "blob"])
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), *([T.StructField("round_trip", T.BooleanType())] if verify else [])])
-    names = schema.names
-    spelled = vocabulary.spelled() if verify else []
-
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        known: dict[str, bytes] = {}
-        for part in _unpacked(right.column("blob")):
-            ids = part.column("ids").combine_chunks()
-            flat, at = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            known.update((w, flat[a:b].tobytes()) for w, a, b in zip(part.column("word").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True))
-        done = []
-        for part in _unpacked(left.column("blob")):
-            out, ends, same = [], [0], []
-            for body in part.column(text):
-                whole = body.as_py() or ""
-                cut = pattern.findall(normalised(whole))
-                out.append(b"".join([known[w] if len(w) <= LATTICE else np.array(segment_long(w, vocabulary), np.int32).tobytes() for w in cut]))
-                ends.append(ends[-1] + len(out[-1]) // 4)
-                if verify:
-                    same.append(spell(np.frombuffer(out[-1], np.int32).tolist(), spelled) == whole.replace(SPACE, " "))
-            values = pa.array(np.frombuffer(b"".join(out), np.int32))
-            done.append(pa.Table.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), *([pa.array(same, pa.bool_())] if verify else [])], names=names))
-        return pa.concat_tables(done)
-
-    pairs = base.select("__chunk", text).mapInArrow(words_of, "chunk long, word string").repartition("word")
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut, spelled = cutter(vocabulary), vocabulary.spelled()
+        now, known = None, _Dictionary(vocabulary)
+        for batch in batches:
+            chunk, blob = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (blob[1:] != blob[:-1]), [True]]))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if chunk[a] != now:
+                    now, known = chunk[a], _Dictionary(vocabulary)
+                if not blob[a]:
+                    known.add(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a))
+                    continue
+                for i in range(a, b):
+                    part = pa.ipc.open_stream(batch.column(3)[i].as_buffer()).read_all().combine_chunks()
+                    texts = part.column(text).chunk(0)
+                    words, ends = cut(texts)
+                    ids = known.encode(words, ends)
+                    same = [pa.array(_same(words, ids, texts, spelled), pa.bool_())] if verify else []
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).chunk(0) for c in keep), ids, *same], names=schema.names)
+
     # the aggregate keeps both columns, so that it and the join below share one exchange
+    pairs = base.select(text).mapInArrow(words_of, "chunk long, word string").repartition(partitions, "word")
     ids = segmented(pairs.groupBy("word").agg(F.min("chunk").alias("any")).where(F.col("any").isNotNull()).select("word"), vocabulary)
-    lookup = pairs.join(ids, "word").select("word", "ids", F.col("chunk").alias("__chunk")).mapInArrow(_pack_by_chunk, "__chunk long, blob binary")
-    texts = base.mapInArrow(_pack_by_chunk, "__chunk long, blob binary")
-    return texts.groupBy("__chunk").cogroup(lookup.groupBy("__chunk")).applyInArrow(apply, schema)
+    lookup = pairs.join(ids, "word").select("chunk", "word", "ids", F.lit(None).cast("binary").alias("blob"))
+    texts = base.mapInArrow(pack, "chunk long, blob binary").select("chunk", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "blob")
+    met = lookup.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("blob").isNotNull())
+    return met.mapInArrow(apply, schema)
+
+
+def _same(words: pa.Array, ids: pa.ListArray, texts: pa.Array, spelled: list[bytes]) -> list[bool]:
+    """Of each text, whether its ids spell it; mostly one look at all of them is enough."""
+    _, offsets, data = words.buffers()
+    edge = np.frombuffer(offsets, np.int64)
+    whole = data.slice(int(edge[0]), int(edge[len(words)] - edge[0])).to_pybytes() if data else b""
+    if b"".join([spelled[i] for i in ids.values.to_pylist()]) == whole:
+        return [True] * len(texts)
+    return [spell(i, spelled) == (t or "").replace(SPACE, " ") for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True)]
 
 
 def decoded(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:

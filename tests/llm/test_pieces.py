@@ -3,6 +3,7 @@ from __future__ import annotations
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hostlake.llm import pieces
@@ -20,7 +21,7 @@ def bpe():
 
 def odd_texts():
     rng = random.Random(4)
-    texts = ["", " ", "  ", "a", " a\tb  ", "x" * 300, "ab" * 200 + " c", "日本語のテキスト 🎉 ok\n\n \n", "Ünïcödé—“quotes” … 12345 +1 (947) 555-7668", "http://a.b/c?d=e&f=%20", "▁ lower", "a     b         c", "..............!!!!", "\x00\x01 ​"]
+    texts = ["", " ", "  ", "a", " a\tb  ", "x" * 300, "ab" * 200 + " c", "日本語のテキスト 🎉 ok\n\n \n", "Ünïcödé—“quotes” … 12345 +1 (947) 555-7668", "http://a.b/c?d=e&f=%20", "▁ lower", "a     b         c", "..............!!!!", "\x00\x01 ​", *(" " * i + "x" for i in range(2, 40)), "      " * 20, "the    " * 9]
     texts += ["".join(rng.choice("etaoin  srhl.,'\n-XQ9é中") for _ in range(rng.randrange(1, 120))) for _ in range(150)]
     return texts
 
@@ -31,8 +32,11 @@ def test_ids_equal_the_library(spark, bpe, library, tmp_path, monkeypatch):
     spark.createDataFrame(rows, "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     want = sorted((str(i), library.encode(t or "")) for i, t, _ in rows)
-    for source, size in ((docs, 48 << 20), (docs, 500), (docs.repartition(3), 500)):
-        monkeypatch.setattr(pieces, 'CHUNK_BYTES', size)
+    for source, size, lattice in ((docs, 32 << 20, 128), (docs, 500, 128), (docs.repartition(3), 500, 8)):
+        monkeypatch.setattr(pieces, "CHUNK_BYTES", size)
+        monkeypatch.setattr(pieces, "PART_BYTES", size // 4)
+        monkeypatch.setattr(pieces, "SLICE", size // 8)
+        monkeypatch.setattr(pieces, "LATTICE", lattice)
         got = pieces.encoded(source, bpe).collect()
         assert sorted((str(r.doc_id), r.ids) for r in got) == want
     done = pieces.op6_pieces(spark, str(tmp_path)).collect()
@@ -41,9 +45,43 @@ def test_ids_equal_the_library(spark, bpe, library, tmp_path, monkeypatch):
 
 
 def test_long_words_equal_the_library(bpe, library):
+    cut = pieces.cutter(bpe)
     for t in odd_texts():
-        got = [i for w in pieces.splitter(bpe).findall(pieces.normalised(t)) for i in pieces.segment_long(w, bpe)]
-        assert got == library.encode(t)
+        words, ends = cut(pa.array([t, None]))
+        assert ends.tolist() == [len(words)] * 2
+        assert [i for w in words.to_pylist() for i in pieces.segment_long(w, bpe)] == library.encode(t)
+
+
+def test_bpe_path_equals_merges(spark):
+    """Random vocabularies, with many overlapping and repeated merges, against a slow merge loop."""
+    rng = random.Random(3)
+    for trial in range(4):
+        scores = dict.fromkeys("ab▁", 0.0)
+        while len(scores) < 30:
+            piece = "".join(rng.choice(list(scores)) for _ in range(2))
+            if len(piece) < 20:
+                scores.setdefault(piece, -float(len(scores)) if trial else -float(len(piece)))
+        vocabulary = pieces.Vocabulary("bpe", scores, {p: i + 1 for i, p in enumerate(scores)}, -1, 0)
+        try:
+            vocabulary.halves()
+        except ValueError:
+            continue
+        words = {"".join(rng.choice("aab▁c") for _ in range(rng.randrange(1, 30))) for _ in range(150)}
+        got = {r.word: r.ids for r in pieces.segmented(spark.createDataFrame([(w,) for w in words], "word string"), vocabulary).collect()}
+        for w in words:
+            parts = list(w)
+            while True:
+                best = min(((-scores[a + b], i) for i, (a, b) in enumerate(itertools.pairwise(parts)) if a + b in scores), default=None)
+                if best is None:
+                    break
+                parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
+            assert got[w] == [vocabulary.ids.get(p, 0) for p in parts] == pieces.segment_long(w, vocabulary), (w, parts)
+
+
+def test_halves_merged_late_are_refused():
+    scores = {"a": 0.0, "b": 0.0, "ab": -2.0, "aba": -1.0}
+    with pytest.raises(ValueError, match="merged after"):
+        pieces.Vocabulary("bpe", scores, {p: i for i, p in enumerate(scores)}, -1, 9).halves()
 
 
 def test_whole_table_equals_the_library(spark, sf, bpe, library):
