@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlake.llm.runtime import small_batches, table
+from hostlake.llm.runtime import grouped_in_memory, small_batches, table
 
 #: Where the public vocabularies are.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -38,8 +38,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Bytes of text of a chunk and of a part of it that is handled at once (a longer text is a chunk of its own), and bytes that are cut at a time.
 CHUNK_BYTES, PART_BYTES, SLICE = 32 << 20, 2 << 20, 1 << 20
-#: The longest word that goes through the lattice, at most 127.
-LATTICE = 120
+#: The longest word that goes through the lattice (at most 127), and the most merges that a word may have there (at most 63).
+LATTICE, MERGES = 120, 62
+#: Rows of words that are packed together.
+PACKED = 1 << 17
+#: Words of one task whose edges are gathered in memory; of more they are sorted.
+GROUPS = 1 << 16
 #: Characters that a prefix has, by which the lengths of the pieces that begin with it are known.
 PREFIX = 3
 
@@ -63,6 +67,12 @@ class Vocabulary:
         """The score of a character that isn't a piece."""
         return min(self.scores.values(), default=0.0) - 10.0
 
+    def spelling(self, char: str) -> list[int]:
+        """Ids of a single character: its own, or those of its bytes, or the one of unknown text."""
+        if char in self.ids:
+            return [self.ids[char]]
+        return [self.unknown] if self.byte_base < 0 else [self.byte_base + b for b in char.encode()]
+
     def spelled(self) -> list[bytes]:
         """The bytes that each id stands for."""
         size = max([self.unknown, self.byte_base + 255, *self.ids.values()]) + 1
@@ -147,16 +157,8 @@ def segment_long(word: str, vocabulary: Vocabulary) -> list[int]:
     else:
         gone = {m for _, m, _ in merged(word, vocabulary)}
         cuts = [i for i in range(n + 1) if i not in gone]
-    out: list[int] = []
-    for s, e in zip(cuts, cuts[1:], strict=False):
-        i = vocabulary.ids.get(word[s:e])
-        if i is not None:
-            out.append(i)
-        elif vocabulary.byte_base < 0:
-            out.append(vocabulary.unknown)
-        else:
-            out += [vocabulary.byte_base + b for b in word[s:e].encode()]
-    return out
+    parts = [word[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+    return [i for p in parts for i in ([vocabulary.ids[p]] if len(p) > 1 else vocabulary.spelling(p))]
 
 
 def cutter(vocabulary: Vocabulary) -> Callable[[pa.Array], tuple[pa.Array, np.ndarray]]:
@@ -200,19 +202,19 @@ def cutter(vocabulary: Vocabulary) -> Callable[[pa.Array], tuple[pa.Array, np.nd
 
 
 def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``word`` and its ``edges``: all substrings that are pieces, and all single characters.
+    """``word`` and its ``edges``: all substrings that are pieces.
 
-    ``words`` has distinct, non-null ``word``s of at most LATTICE characters. An edge goes from character ``s`` to ``e``; ``id`` is
-    negative for a character that isn't a piece. For unigram it has its ``gain``; for bpe the array is in the order of merges and
-    ``m`` is where the two halves of a piece meet (0: a single character).
+    ``words`` has distinct, non-null ``word``s of at most LATTICE characters. An edge goes from character ``s`` to ``e``. For unigram
+    all single characters have an edge, too, and an edge has its ``gain``. For bpe the array is in the order of merges, ``m`` is where the
+    two halves of a piece meet, and words without pieces of two characters or more are left out.
     """
     spark = words.sparkSession
     bpe = vocabulary.kind == "bpe"
-    if bpe and (vocabulary.longest > 31 or len(vocabulary.scores) >= 1 << 18 or max(vocabulary.ids.values(), default=0) >= (1 << 18) - 1):
+    if bpe and (vocabulary.longest > 31 or len(vocabulary.scores) >= 1 << 18 or max(vocabulary.ids.values(), default=0) >= 1 << 18):
         raise ValueError("pieces of more than 31 characters or more than 2^18 pieces don't fit an edge")
     halves = vocabulary.halves() if bpe else {}
-    rank = {c: i for i, c in enumerate(sorted({-s for s in vocabulary.scores.values()}), 1)}
-    pieces = [(p, vocabulary.ids[p], float(s), rank[-s] if len(p) > 1 else 0, *halves.get(p, (0, 0))) for p, s in vocabulary.scores.items() if len(p) == 1 or not bpe or p in halves]
+    rank = {c: i for i, c in enumerate(sorted({-s for s in vocabulary.scores.values()}))}
+    pieces = [(p, vocabulary.ids[p], float(s), rank[-s], *halves.get(p, (0, 0))) for p, s in vocabulary.scores.items() if not bpe or p in halves]
     lengths: dict[str, set[int]] = {}
     for p, *_ in pieces:
         if len(p) >= PREFIX:
@@ -220,83 +222,95 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     # both are bounded by the size of the vocabulary
     piece_table = F.broadcast(spark.createDataFrame(pieces, "piece string, id int, score double, rank long, half long, place long"))
     prefixes = F.broadcast(spark.createDataFrame([(p, sorted(n)) for p, n in lengths.items()], "prefix string, lengths array<int>"))
+    shortest = 2 if bpe else 1
     left = F.char_length("word") - F.col("s")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - 1)).alias("s"))
+    starts = words.where(F.char_length("word") >= shortest).select("word", F.explode(F.sequence(F.lit(0), F.char_length("word") - shortest)).alias("s"))
     known = starts.withColumn("prefix", F.substring("word", F.col("s") + 1, F.lit(PREFIX))).join(prefixes, "prefix", "left")
-    some = F.concat(F.array(*(F.lit(i) for i in range(1, PREFIX))), F.coalesce("lengths", F.array().cast("array<int>")))
-    spans = known.select("word", "s", F.explode(F.filter(some, lambda n: n <= left)).alias("n"))
-    met = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("n"))).join(piece_table, "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
-    unknown = -F.col("s") - 1
+    some = F.concat(F.array(*(F.lit(i) for i in range(shortest, PREFIX))), F.coalesce("lengths", F.array().cast("array<int>")))
+    spans = known.select("word", "s", F.explode(some).alias("n")).where(F.col("n") <= left)
+    named = spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("n")))
     if not bpe:
-        edge = F.struct("s", (F.col("s") + F.col("n")).alias("e"), F.coalesce("id", unknown).alias("id"), F.coalesce("score", F.lit(vocabulary.floor)).alias("gain"))
-        return met.groupBy("word").agg(F.collect_list(edge).alias("edges"))
-    # an edge travels as one long, in the order of merges: rank (19 bits), place (7), end (7), begin from behind (7), length of the left half (5), id + 1 (18)
-    packed = F.expr("""shiftleft(coalesce(rank, 0L), 44) + shiftleft(s + coalesce(place, 0L), 37) + shiftleft(CAST(s + n AS BIGINT), 30)
-        + shiftleft(127L - s, 23) + shiftleft(coalesce(half, 0L), 18) + coalesce(id + 1, 0)""")
-    held = met.groupBy("word").agg(F.sort_array(F.collect_list(packed)).alias("packed"))
-    begin, half = "CAST(127 - (shiftright(x, 23) & 127) AS INT)", "CAST(shiftright(x, 18) & 31 AS INT)"
-    fields = f"""transform(packed, x -> named_struct('s', {begin}, 'e', CAST(shiftright(x, 30) & 127 AS INT), 'm', if({half} = 0, 0, {begin} + {half}),
-        'id', if(x & 262143 = 0, -1 - {begin}, CAST(x & 262143 AS INT) - 1)))"""
+        met = named.join(piece_table, "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
+        unknown = -F.ascii("piece") - 1
+        edge = F.struct((F.col("s") + F.col("n")).alias("e"), "s", F.coalesce("score", F.lit(vocabulary.floor)).alias("gain"), F.coalesce("id", unknown).alias("id"))
+        return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
+    # an edge travels as one long, in the order of merges: rank (19 bits), place (7), end (7), begin from behind (7), length of the left half (5), id (18)
+    packed = F.expr("shiftleft(rank, 44) + shiftleft(s + place, 37) + shiftleft(CAST(s + n AS BIGINT), 30) + shiftleft(127L - s, 23) + shiftleft(half, 18) + id")
+    held = named.join(piece_table, "piece").groupBy("word").agg(F.sort_array(F.collect_list(packed)).alias("packed"))
+    begin = "CAST(127 - (shiftright(x, 23) & 127) AS INT)"
+    fields = f"""transform(packed, x -> named_struct('s', {begin}, 'e', CAST(shiftright(x, 30) & 127 AS INT),
+        'm', {begin} + CAST(shiftright(x, 18) & 31 AS INT), 'id', CAST(x & 262143 AS INT)))"""
     return held.select("word", F.expr(fields).alias("edges"))
 
 
-def _with_gains(edges: Column) -> Column:
-    """Edges of a bpe lattice with ``gain``: the numbers, negated, of the merges that build the piece; merges are numbered in their order."""
-    multi = F.filter(edges, lambda x: x["m"] > 0)
-    none = F.array().cast("array<int>")
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used: as the variable of a function over a one-element array."""
+    return F.transform(F.array(value), use)[0]
 
-    def gained(multi: Column) -> Column:
-        keys = F.transform(multi, lambda x: x["s"] * 256 + x["e"])
 
-        def step(keys: Column) -> Callable[[Column, Column], Column]:
-            def half(done: Column, s: Column, e: Column) -> Column:
-                return F.when(e - s == 1, none).otherwise(F.element_at(done, F.array_position(keys, s * 256 + e).cast("int")))
+def _with_gains(edges: Column) -> Column:
+    """Edges of a bpe lattice (MERGES at most) with ``gain``: a bit for each merge that builds the piece, the first merge the highest."""
 
-            return lambda done, x: F.concat(done, F.array(F.concat(F.array(-F.size(done) - 1), half(done, x["s"], x["m"]), half(done, x["m"], x["e"]))))
+    none = F.lit(0).cast("long")
 
-        # a one-element array names the keys, which are then found only once
-        done = F.transform(F.array(keys), lambda k: F.aggregate(multi, F.array().cast("array<array<int>>"), step(k)))[0]
-        return F.zip_with(multi, done, lambda x, g: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), g.alias("gain")))
+    def built(keys: Column) -> Column:
+        half = lambda done, s, e: F.coalesce(F.try_element_at(done, F.nullif(F.array_position(keys, s * 128 + e).cast("int"), F.lit(0))), none)
+        bit = lambda done: F.call_function("shiftleft", F.lit(1).cast("long"), MERGES - 1 - F.size(done))
+        whole = lambda done, x: F.when(x["e"] - x["s"] == 2, bit(done)).otherwise(bit(done) + half(done, x["s"], x["m"]) + half(done, x["m"], x["e"]))
+        return F.aggregate(edges, F.array().cast("array<bigint>"), lambda done, x: F.array_append(done, whole(done, x)))
 
-    single = F.transform(F.filter(edges, lambda x: x["m"] == 0), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["id"].alias("id"), none.alias("gain")))
-    return F.concat(single, gained(multi))
+    gains = _once(F.transform(edges, lambda x: x["s"] * 128 + x["e"]), built)
+    return F.zip_with(edges, gains, lambda x, g: F.struct(x["e"].alias("e"), x["s"].alias("s"), g.alias("gain"), x["id"].alias("id")))
 
 
-def _viterbi(edges: Column, n: Column, add: Callable[[Column, Column], Column], zero: Column) -> Column:
-    """Ids along the path with the greatest gain; of equal ones that with the longer last piece. The state holds, for every end reached, the gain and the ids of its best path."""
-    start = F.array(F.struct(zero.alias("gain"), F.lit(0).alias("tie"), F.array().cast("array<int>").alias("ids")))
+def _viterbi(edges: Column, zero: Column) -> Column:
+    """Ids along the path with the greatest gain; of equal ones that with the longer last piece.
 
-    def step(state: Column, e: Column) -> Column:
-        def reached(x: Column) -> Column:
-            # a one-element array names the path so far, which is then found only once
-            go = lambda before: F.struct(add(before["gain"], x["gain"]).alias("gain"), (-x["s"]).alias("tie"), F.concat(before["ids"], F.array(x["id"])).alias("ids"))
-            return F.transform(F.array(F.element_at(state, x["s"] + 1)), go)[0]
+    ``edges`` has every single character and is ordered by end, then begin. The state holds, for every end reached, the gain and the ids of its best path.
+    """
+    start = F.array(F.struct(zero.alias("gain"), F.array().cast("array<int>").alias("ids")))
 
-        return F.concat(state, F.array(F.array_max(F.transform(F.filter(edges, lambda x: x["e"] == e), reached))))
+    def step(state: Column, x: Column) -> Column:
+        before = F.element_at(state, x["s"] + 1)
+        gain = before["gain"] + x["gain"]
+        new = F.struct(gain.alias("gain"), F.array_append(before["ids"], x["id"]).alias("ids"))
+        better = F.when(gain > F.element_at(state, -1)["gain"], F.array_append(F.slice(state, 1, x["e"]), new)).otherwise(state)
+        return F.when(x["e"] == F.size(state), F.array_append(state, new)).otherwise(better)
 
-    return F.element_at(F.aggregate(F.sequence(F.lit(1), n), start, step), -1)["ids"]
+    return F.element_at(F.aggregate(edges, start, step), -1)["ids"]
 
 
 def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``word`` and ``ids`` (array<int>): the segmentation of each distinct word, which must not be null or empty."""
-    cut, n = lattice(words, vocabulary), F.char_length("word")
-    if vocabulary.kind == "unigram":
-        path = cut.select("word", _viterbi(F.col("edges"), n, lambda a, b: a + b, F.lit(0.0)).alias("path"))
-    else:
-        add = lambda a, b: F.sort_array(F.concat(a, b), asc=False)
-        gains = cut.select("word", _with_gains(F.col("edges")).alias("edges"))
-        path = gains.select("word", _viterbi(F.col("edges"), n, add, F.array().cast("array<int>")).alias("path"))
-    if vocabulary.byte_base < 0:
-        rest = lambda s: F.array(F.lit(vocabulary.unknown))
-    else:
-
-        def rest(s: Column) -> Column:
-            code = F.hex(F.encode(F.substring(F.col("word"), s + 1, F.lit(1)), "UTF-8"))
-            byte = lambda i: F.conv(F.substring(code, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")
-            return F.transform(F.sequence(F.lit(0), (F.length(code) / 2 - 1).cast("int")), lambda i: byte(i) + vocabulary.byte_base)
+    """``word`` and ``ids`` (array<int>): the segmentation of each distinct word, which must not be null or empty.
 
-    with_rest = F.flatten(F.transform("path", lambda i: F.when(i >= 0, F.array(i)).otherwise(rest(-i - 1))))
-    return path.select("word", F.when(F.exists("path", lambda i: i < 0), with_rest).otherwise(F.col("path")).alias("ids"))
+    A single character that bpe leaves alone, or that isn't a piece, has its code point, negated, less one, in place of an
+    id; :func:`resolved` puts ids there. Words of bpe without a merge or with more than MERGES possible ones are left out.
+    """
+    cut = lattice(words, vocabulary)
+    if vocabulary.kind == "unigram":
+        return cut.select("word", _viterbi(F.col("edges"), F.lit(0.0)).alias("ids"))
+    point = lambda e: -F.ascii(F.substring(F.col("word"), e, F.lit(1))) - 1
+    single = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda e: F.struct(e.alias("e"), (e - 1).alias("s"), F.lit(0).cast("long").alias("gain"), point(e).alias("id")))
+    every = F.sort_array(F.concat(single, _once(F.col("edges"), _with_gains)))
+    return cut.where(F.size("edges") <= MERGES).select("word", _viterbi(every, F.lit(0).cast("long")).alias("ids"))
+
+
+def resolved(ids: pa.ListArray, vocabulary: Vocabulary) -> pa.ListArray:
+    """Lists of ids with the ids (or bytes) of single characters where :func:`segmented` left code points."""
+    flat = ids.values.to_numpy()
+    at = np.flatnonzero(flat < 0)
+    if not len(at):
+        return ids
+    points, back = np.unique(-flat[at] - 1, return_inverse=True)
+    chars = [vocabulary.spelling(chr(c)) for c in points.tolist()]
+    size = np.ones(len(flat), np.int64)
+    size[at] = np.array([len(c) for c in chars], np.int64)[back]
+    out = np.repeat(flat, size)
+    end = np.concatenate([[0], np.cumsum(size)])
+    for k, c in enumerate(chars):
+        for j, i in enumerate(c):
+            out[end[at[back == k]] + j] = i
+    return pa.ListArray.from_arrays(pa.array(end[ids.offsets.to_numpy()].astype(np.int32)), pa.array(out, pa.int32()))
 
 
 def _parts(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -326,6 +340,27 @@ def _packed(rows: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def _pack_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of chunk, word and ids become blobs of one chunk each: packed together, a word costs a few bytes."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+        chunk = rows.column(0).to_numpy()
+        for c in np.unique(chunk):
+            part = rows.filter(pa.array(chunk == c))
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([_packed(part.select(["word", "ids"]))], pa.binary())], names=["chunk", "blob"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PACKED:
+            yield from flush()
+    if held:
+        yield from flush()
+
+
 class _Dictionary:
     """Words of one chunk with their ids; words that it doesn't have are cut where they are met."""
 
@@ -334,11 +369,9 @@ class _Dictionary:
         self.words: list[pa.Array] = []
         self.ids: list[pa.Array] = []
 
-    def add(self, words: pa.Array, ids: pa.Array) -> None:
-        # copies, or a whole batch would live as long as its last row
-        every = pa.array(np.arange(len(words)))
-        self.words.append(words.cast(pa.large_string()).take(every))
-        self.ids.append(ids.take(every))
+    def add(self, words: pa.Array, ids: pa.ListArray) -> None:
+        self.words.append(words.cast(pa.large_string()))
+        self.ids.append(ids)
 
     def encode(self, words: pa.Array, ends: np.ndarray) -> pa.ListArray:
         """Ids of texts given by their words and where each text's words end."""
@@ -349,7 +382,8 @@ class _Dictionary:
         place = pc.index_in(own.dictionary, value_set=known)
         if place.null_count:
             new = own.dictionary.filter(place.is_null())
-            self.add(new, pa.array([segment_long(w, self.vocabulary) for w in new.to_pylist()], pa.list_(pa.int32())))
+            ids = [self.vocabulary.spelling(w) if len(w) == 1 else segment_long(w, self.vocabulary) for w in new.to_pylist()]
+            self.add(new, pa.array(ids, pa.list_(pa.int32())))
             return self.encode(words, ends)
         code = place.to_numpy()[own.indices.to_numpy()]
         offset, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -370,10 +404,11 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
     With ``verify`` also ``round_trip``: whether the ids, decoded again, spell the text (U+2581 decodes to a space, as it does in the library).
 
     Null and empty texts have no ids. Ids of documents may repeat or be null, rows too; further columns are ignored; an
-    empty table gives an empty result. Words of more than ``LATTICE`` characters (in practice one
-    character over and over) are cut by :func:`segment_long`, which gives the same ids. Texts of any length are read whole.
+    empty table gives an empty result. Words that the lattice leaves out, of one character, or of more than ``LATTICE`` characters or
+    ``MERGES`` possible merges (in practice one character over and over), get the same ids from :func:`segment_long`. Texts of any length are read whole.
     """
     small_batches(docs.sparkSession)
+    grouped_in_memory(docs.sparkSession, GROUPS)
     columns = list(dict.fromkeys([*keep, text]))
     base = docs.select(*columns)
     at = columns.index(text)
@@ -391,7 +426,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
     def rows(chunk: int | None, seen: list[pa.Array]) -> Iterator[pa.RecordBatch]:
         if seen:
             every = pa.chunked_array(seen).unique()
-            short = every.filter(pc.less_equal(pc.utf8_length(every), LATTICE)).cast(pa.string())
+            size = pc.utf8_length(every)
+            short = every.filter(pc.and_(pc.greater(size, 1), pc.less_equal(size, LATTICE))).cast(pa.string())
             for first in range(0, len(short), 10_000):
                 part = short.slice(first, 10_000)
                 yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int64()), part], names=["chunk", "word"])
@@ -406,29 +442,26 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
         cut, spelled = cutter(vocabulary), vocabulary.spelled()
         now, known = None, _Dictionary(vocabulary)
         for batch in batches:
-            chunk, blob = batch.column(0).to_numpy(), batch.column(3).is_valid().to_numpy(zero_copy_only=False)
-            edge = np.flatnonzero(np.concatenate([[True], (chunk[1:] != chunk[:-1]) | (blob[1:] != blob[:-1]), [True]]))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                if chunk[a] != now:
-                    now, known = chunk[a], _Dictionary(vocabulary)
-                if not blob[a]:
-                    known.add(batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a))
+            for chunk, is_text, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if chunk != now:
+                    now, known = chunk, _Dictionary(vocabulary)
+                part = pa.ipc.open_stream(blob.as_buffer()).read_all().to_batches()[0]
+                if not is_text:
+                    known.add(part.column(0), resolved(part.column(1), vocabulary))
                     continue
-                for i in range(a, b):
-                    part = pa.ipc.open_stream(batch.column(3)[i].as_buffer()).read_all().combine_chunks()
-                    texts = part.column(text).chunk(0)
-                    words, ends = cut(texts)
-                    ids = known.encode(words, ends)
-                    same = [pa.array(_same(words, ids, texts, spelled), pa.bool_())] if verify else []
-                    yield pa.RecordBatch.from_arrays([*(part.column(c).chunk(0) for c in keep), ids, *same], names=schema.names)
+                texts = part.column(text)
+                words, ends = cut(texts)
+                ids = known.encode(words, ends)
+                same = [pa.array(_same(words, ids, texts, spelled), pa.bool_())] if verify else []
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), ids, *same], names=schema.names)
 
     # the aggregate keeps both columns, so that it and the join below share one exchange
-    pairs = base.select(text).mapInArrow(words_of, "chunk long, word string").repartition(partitions, "word")
+    pairs = base.select(text).mapInArrow(words_of, "chunk long, word string").repartition(2 * partitions, "word")
     ids = segmented(pairs.groupBy("word").agg(F.min("chunk").alias("any")).where(F.col("any").isNotNull()).select("word"), vocabulary)
-    lookup = pairs.join(ids, "word").select("chunk", "word", "ids", F.lit(None).cast("binary").alias("blob"))
-    texts = base.mapInArrow(pack, "chunk long, blob binary").select("chunk", F.lit(None).cast("string").alias("word"), F.lit(None).cast("array<int>").alias("ids"), "blob")
-    met = lookup.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("blob").isNotNull())
-    return met.mapInArrow(apply, schema)
+    lookup = pairs.join(ids, "word").select("chunk", "word", "ids").mapInArrow(_pack_words, "chunk long, blob binary")
+    texts = base.mapInArrow(pack, "chunk long, blob binary")
+    both = lookup.withColumn("is_text", F.lit(False)).unionByName(texts.withColumn("is_text", F.lit(True)))
+    return both.select("chunk", "is_text", "blob").repartition("chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(apply, schema)
 
 
 def _same(words: pa.Array, ids: pa.ListArray, texts: pa.Array, spelled: list[bytes]) -> list[bool]:

@@ -41,3 +41,10 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name, "10000")) <= rows:
         spark.conf.set(name, str(rows))
+
+
+def grouped_in_memory(spark: SparkSession, groups: int) -> None:
+    """Let lists be gathered in memory for so many groups of a task from now on, instead of 128; beyond that Spark sorts."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    if int(spark.conf.get(name)) < groups:
+        spark.conf.set(name, str(groups))
