@@ -171,8 +171,9 @@ def cutter(vocabulary: Vocabulary) -> Callable[[pa.Array], tuple[pa.Array, np.nd
     kind = np.zeros(0x110000, np.int32)
     kind[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
     width = len(chars) + 1
-    pairs = {(a, b) for p in vocabulary.scores for a, b in zip(p, p[1:], strict=False)}
+    whole = np.int32 if width * width < 1 << 31 else np.int64
     joint = np.zeros((width * width + 7) // 8, np.uint8)
+    pairs = {(a, b) for p in vocabulary.scores for a, b in zip(p, p[1:], strict=False)}
     key = np.array([int(kind[ord(a)]) * width + int(kind[ord(b)]) for a, b in pairs], np.int64)
     np.bitwise_or.at(joint, key >> 3, (1 << (key & 7)).astype(np.uint8))
 
@@ -188,13 +189,17 @@ def cutter(vocabulary: Vocabulary) -> Callable[[pa.Array], tuple[pa.Array, np.nd
             while stop < end and raw[stop] & 0xC0 == 0x80:
                 stop += 1
             part = raw[base:stop]
-            code = kind[np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)]
-            code = np.concatenate([[last], code]).astype(np.int64)
-            both = code[:-1] * width + code[1:]
-            apart = (joint[both >> 3] >> (both & 7).astype(np.uint8)) & 1 == 0
-            found.append(np.flatnonzero(part & 0xC0 != 0x80)[apart] + base)
-            base, last = stop, code[-1]
-        at = np.union1d(np.concatenate([edge[:0], *found]), edge)
+            starts = np.flatnonzero((part & 0xC0) != 0x80)
+            code = kind[np.frombuffer(part.tobytes().decode().encode("utf-32-le"), np.uint32)].astype(whole, copy=False)
+            both = code * whole(width)
+            both[1:] = both[:-1] + code[1:]
+            both[0] = last * width + code[0]
+            apart = ((joint[both >> 3] >> (both & 7).astype(np.uint8)) & 1) == 0
+            inside = edge[np.searchsorted(edge, base) : np.searchsorted(edge, stop)] - base
+            apart[np.searchsorted(starts, inside)] = True
+            found.append(starts[apart] + base)
+            base, last = stop, int(code[-1])
+        at = np.concatenate([*found, edge[-1:]])
         words = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), data])
         return words, np.searchsorted(at, edge[1:])
 
@@ -460,7 +465,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: t
     ids = segmented(pairs.groupBy("word").agg(F.min("chunk").alias("any")).where(F.col("any").isNotNull()).select("word"), vocabulary)
     lookup = pairs.join(ids, "word").select("chunk", "word", "ids").mapInArrow(_pack_words, "chunk long, blob binary")
     texts = base.mapInArrow(pack, "chunk long, blob binary")
-    both = lookup.withColumn("is_text", F.lit(False)).unionByName(texts.withColumn("is_text", F.lit(True)))
+    # texts come first in the union, so that their tasks have the numbers, and their chunks the names, that they have when their words are read
+    both = texts.withColumn("is_text", F.lit(True)).unionByName(lookup.withColumn("is_text", F.lit(False)))
     return both.select("chunk", "is_text", "blob").repartition("chunk").sortWithinPartitions("chunk", "is_text").mapInArrow(apply, schema)
 
 
@@ -468,8 +474,10 @@ def _same(words: pa.Array, ids: pa.ListArray, texts: pa.Array, spelled: list[byt
     """Of each text, whether its ids spell it; mostly one look at all of them is enough."""
     _, offsets, data = words.buffers()
     edge = np.frombuffer(offsets, np.int64)
-    whole = data.slice(int(edge[0]), int(edge[len(words)] - edge[0])).to_pybytes() if data else b""
-    if b"".join([spelled[i] for i in ids.values.to_pylist()]) == whole:
+    flat, size = ids.values.to_numpy(), np.array([len(x) for x in spelled], np.int64)
+    n = size[flat]
+    at = np.repeat((np.cumsum(size) - size)[flat] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    if np.array_equal(np.frombuffer(b"".join(spelled), np.uint8)[at], np.frombuffer(data or b"", np.uint8)[edge[0] : edge[len(words)]]):
         return [True] * len(texts)
     return [spell(i, spelled) == (t or "").replace(SPACE, " ") for i, t in zip(ids.to_pylist(), texts.to_pylist(), strict=True)]
 
