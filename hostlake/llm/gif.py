@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlake.llm.runtime import table
+from hostlake.llm.runtime import staged, table
 
 #: Frame geometry and timing of stored payloads.
-WIDTH, HEIGHT, DELAY_CS = 64, 256, 4
+WIDTH, HEIGHT, DELAY_CS = 64, 64, 4
 #: Bins of the colour histogram (of the mean of red, green and blue).
 BINS = 16
 #: Largest LZW code + 1.
 FULL = 4096
+#: Pixels of a canvas or image; a header that asks for more counts as damage.
+PIXELS = 1 << 24
 
 
 def _widths(first_bits: int, count: int) -> np.ndarray:
@@ -189,6 +191,8 @@ def _parsed(raw: bytes) -> tuple[tuple[int, int], list[tuple], list[tuple[bytes,
     if raw[:6] not in (b"GIF87a", b"GIF89a") or len(raw) < 13:
         return (0, 0), [], []
     w, h, flags, _, _ = struct.unpack_from("<HHBBB", raw, 6)
+    if w * h > PIXELS:
+        return (0, 0), [], []
     at, shared = 13, None
     if flags & 128:
         n = 2 << (flags & 7)
@@ -210,7 +214,7 @@ def _parsed(raw: bytes) -> tuple[tuple[int, int], list[tuple], list[tuple[bytes,
                 n = 2 << (f & 7)
                 own = np.frombuffer(raw[at : at + 3 * n].ljust(3 * n, b"\0"), np.uint8).reshape(n, 3)
                 at += 3 * n
-            if at >= len(raw) or not 1 <= raw[at] <= 8:
+            if at >= len(raw) or not 1 <= raw[at] <= 8 or iw * ih > PIXELS:
                 break
             size = raw[at]
             body, at = _sub_blocks(raw, at + 1)
@@ -259,15 +263,23 @@ def decode_gifs(raws: list[bytes]) -> list[list[Frame]]:
 
 #: The identity grey palette: sample i shows as colour (i, i, i).
 GREY = bytes(c for i in range(256) for c in (i, i, i))
+#: The palette of its own that every fourth frame has.
+WARM = bytes(c for i in range(256) for c in (i, i * 3 // 4, i // 2))
 
 
 def encode_gif(payload: bytes) -> bytes:
-    """A GIF89a whose frames hold ``payload`` (a positive multiple of 64 bytes) row by row as grey samples."""
+    """A GIF89a whose frames hold ``payload`` (a positive multiple of 64 bytes) row by row as samples.
+
+    Frames show what they hold in shades of grey, every fourth in a palette of its own. They stay, are cleared or give way to
+    what was before, in turn; the padding (byte 0) of the last frame is transparent. Samples are the same whatever a frame shows.
+    """
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(HEIGHT, len(payload) // WIDTH), 0xF7, 0, 0), GREY]
     for at in range(0, len(payload), WIDTH * HEIGHT):
-        part = payload[at : at + WIDTH * HEIGHT]
-        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, DELAY_CS, 0, 0))
-        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0) + b"\x08")
+        part, k = payload[at : at + WIDTH * HEIGHT], at // (WIDTH * HEIGHT)
+        last = at + len(part) == len(payload)
+        out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", (1 + k % 3) << 2 | last, DELAY_CS, 0, 0))
+        palette = WARM if k % 4 == 3 else b""
+        out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0x87 if palette else 0) + palette + b"\x08")
         codes = lzw_encode(part)
         out += [bytes([len(c)]) + c for c in (codes[i : i + 255] for i in range(0, len(codes), 255))]
         out.append(b"\0")
@@ -281,8 +293,8 @@ def padded(data: bytes) -> bytes:
 def stored_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Each whole text (null: empty) as a GIF: the id, ``n_bytes`` unpadded and ``media`` (binary).
 
-    The UTF-8 bytes, zero-padded to a positive multiple of 64, are the grey samples of frames
-    64 wide and up to 256 high. One output row per input row, ids may repeat or be null; an
+    The UTF-8 bytes, zero-padded to a positive multiple of 64, are the samples of frames
+    64 wide and up to 64 high. One output row per input row, ids may repeat or be null; an
     empty table gives an empty result and further columns are ignored.
     """
 
@@ -315,6 +327,10 @@ def _batches_by_bytes(sizes: list[int], most: int) -> Iterator[slice]:
 FRAME_COLUMNS = "frame int, start_cs long, delay_cs int, disposal int, transparent int, x int, y int, width int, height int, histogram array<long>, samples binary"
 
 
+#: Fields of a frame in a row of digests.
+FRAME = ("start_cs", "delay_cs", "disposal", "transparent", "x", "y", "width", "height", "histogram")
+
+
 def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount((canvas.astype(np.int64).sum(2) // 3 * BINS // 256).ravel(), minlength=BINS)
 
@@ -323,7 +339,8 @@ def gif_frames(media: DataFrame, id_col: str = "doc_id", content: str = "media")
     """One row per frame of every GIF: when it starts and how long it stays, its rectangle and
     own samples, and the colour histogram of the composed canvas (after disposal and transparency).
 
-    A null or damaged GIF gives the frames before the damage, perhaps none.
+    A null or damaged GIF gives the frames before the damage, perhaps none; a canvas or image of more than PIXELS counts as
+    damage. Ids may repeat or be null, an empty table gives an empty result and further columns are ignored.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,7 +365,10 @@ def gif_frames(media: DataFrame, id_col: str = "doc_id", content: str = "media")
 
 
 def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Digests of what :func:`stored_media` wrote, computed from the stored bytes read back."""
+    """Digests of what :func:`stored_media` wrote, computed from the stored bytes read back, and its timed ``frames`` with their colour histograms.
+
+    A row per row; a damaged GIF gives the payload of the frames before the damage. Ids may repeat or be null.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,18 +378,21 @@ def media_digests(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
                 for raw, frames in zip(raws[part], decode_gifs(raws[part]), strict=True):
                     payload = b"".join(f.samples.tobytes() for f in frames)
                     bins = sum((histogram(f.canvas) for f in frames), np.zeros(BINS, np.int64))
-                    time = sum(f.delay_cs for f in frames)
-                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={len(frames)};time_cs={time};grey={','.join(map(str, bins))}"))
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True))], names=names)
-
-    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                    starts = np.cumsum([0, *(f.delay_cs for f in frames)]).tolist()
+                    time = starts[-1]
+                    timed = [dict(zip(FRAME, (t, f.delay_cs, f.disposal, f.transparent, *f.box, histogram(f.canvas)), strict=True)) for t, f in zip(starts, frames, strict=False)]
+                    out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), f"frames={len(frames)};time_cs={time};grey={','.join(map(str, bins))}", timed))
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([(n, pa.int64() if n == "start_cs" else pa.list_(pa.int64()) if n == "histogram" else pa.int32()) for n in FRAME]))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True))], names=names)
+
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames"]
     kind = dict(media.dtypes)[id_col]
-    return media.select(id_col, "n_bytes", "media").mapInArrow(each, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    frame = ", ".join(f"{n}: {'bigint' if n == 'start_cs' else 'array<bigint>' if n == 'histogram' else 'int'}" for n in FRAME)
+    return media.select(id_col, "n_bytes", "media").mapInArrow(each, f"`{id_col}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, frames array<struct<{frame}>>")
 
 
 def op2_gif(spark, sf_dir: str) -> DataFrame:
-    return media_digests(stored_media(table(spark, sf_dir, "documents")))
+    return media_digests(staged(stored_media(table(spark, sf_dir, "documents"))))
 
 
 QUERIES = {"op2_gif": op2_gif}

@@ -21,6 +21,8 @@ from hostlake.llm.runtime import small_batches, table
 
 #: Texts per language that a model learns from, at most; those with the smallest hash of their id.
 SAMPLE = 3000
+#: Parts of a language that are sampled apart.
+PARTS = 64
 #: Cells that trigrams are hashed to.
 CELLS = 1 << 16
 #: Letters of a text that are looked at together; counts of slices add up.
@@ -73,16 +75,20 @@ def fit_languages(docs: DataFrame, keep: F.Column, text: str = "text", lang: str
 
     Rows with null text or language are left out. A sample reaches the driver as counts per language and cell only.
     """
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "t"))
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("h", "t"))
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & keep)
     bounded = (
         known.select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), F.xxhash64(text).alias("t"))
-        .withColumn("n", nth)
+        .distinct()
+        .withColumn("part", F.pmod("h", F.lit(PARTS)))
+        .withColumn("n", nth("lang", "part"))  # parts of a language are cut to the limit first, so that at most PARTS times it meet in a task
+        .where(F.col("n") <= limit)
+        .withColumn("n", nth("lang"))
         .where(F.col("n") <= limit)
         .select("lang", "h", "t")
-        .distinct()
     )
     chosen = known.select(F.col(lang).alias("lang"), F.xxhash64("doc_id").alias("h"), F.xxhash64(text).alias("t"), F.col(text).alias("text")).join(F.broadcast(bounded), ["lang", "h", "t"])
+    chosen = chosen.groupBy("lang", "h", "t").agg(F.min("text").alias("text"))  # rows that repeat count once
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

@@ -72,7 +72,7 @@ def schedule(spark, plan: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     slots = spark.range(count).select(F.col("id").alias("slot"), F.floor(van_der_corput(F.col("id")) * total).cast("long").alias("point"))
     placed = slots.withColumn("cell", F.expr(f"point div {width}")).join(cells, "cell").where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    ranked = running(placed.select("slot", "source_no"), ["source_no"], F.expr(f"slot div {RUN}"), [F.col("slot")], F.lit(1).cast("long"), "rank")
+    ranked = running(placed.select("slot", "source_no"), ["source_no"], [F.expr(f"slot div {RUN}")], [F.col("slot")], F.lit(1).cast("long"), "rank")
     need = plan.select("source_no", F.expr(f"(hi - lo + {block - 1}) div {block}").alias("blocks"))
     timely = ranked.join(need, "source_no").where(F.col("rank") < F.col("blocks")).select("slot", "source_no", "rank")
     have = ranked.groupBy("source_no").agg(F.count("*").alias("have"))
@@ -81,16 +81,13 @@ def schedule(spark, plan: DataFrame, block: int = BLOCK) -> DataFrame:
     return timely.unionByName(late.select((F.col("rank") * 0 + count).alias("slot"), "source_no", "rank"))
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """How many words of every document a mix takes.
+def mix_slots(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+    """The mix in its order, and what it is made from.
 
-    Returns one row per row of ``docs``: the id, ``size`` (words; null text: 0), ``source_size``, ``target`` and
-    ``taken`` (repeats counted, at most twice the size). The words taken from a source are its target, rounded;
-    they are the first so many words of the source's shuffled documents, begun again after the last.
-
-    The shuffle is a hash of the id, so reruns agree; rows that repeat an id follow one another and share
-    what falls to them in an order set by their text. A null source is a source of its own, the last one. An empty
-    table gives an empty result; other columns are ignored.
+    The first table has ``slot`` (the place in the mix), ``source_no``, ``rank`` (the source's block that fills it), and what the block
+    takes from one row: ``begin`` (which names the row within its source), ``turn`` (0: the first time that the mix
+    reads it), ``first`` and ``words`` (the words from that on). The second has the rows: ``id``, ``source_no``, ``begin`` (null without words), ``size``,
+    ``source_size`` and ``target``. See :func:`mixed` for the rules.
     """
     spark = docs.sparkSession
     rows = staged(
@@ -108,34 +105,52 @@ def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: s
         .withColumn("total", F.sum("quota").over(whole))
     )
     named = rows.join(plan.select(F.col("source").alias("own"), "source_no", "source_size", "target", "quota"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
-    filled = named.where(F.col("size") > 0)
     # the upper bits of a hash cut a source into even runs of its shuffled order
-    placed = running(filled, ["source_no"], F.shiftright("h", 50), [F.col("h"), F.col("id"), F.col("t")], F.col("size"), "begin")
+    placed = running(named.where(F.col("size") > 0), ["source_no"], [F.shiftright("h", 50)], [F.col("h"), F.col("id"), F.col("t")], F.col("size"), "begin")
     turns = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     spans = turns.withColumn("from", F.col("begin") + F.col("turn") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
     pieces = spans.where(F.col("to") > F.col("from")).withColumn("rank", F.explode(F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`to` - 1) div {block}"))))
-    taken = (
-        pieces.join(schedule(spark, plan, block), ["source_no", "rank"])
-        .withColumn("part", F.least("to", (F.col("rank") + 1) * block) - F.greatest("from", F.col("rank") * block))
-        .groupBy("source_no", "begin")
-        .agg(F.sum("part").alias("taken"))
+    start = F.greatest("from", F.col("rank") * block)
+    slots = pieces.join(schedule(spark, plan, block), ["source_no", "rank"]).select(
+        "slot", "source_no", "rank", "begin", "turn", (start - F.col("from")).alias("first"), (F.least("to", (F.col("rank") + 1) * block) - start).alias("words")
     )
-    some = placed.join(taken, ["source_no", "begin"], "left")
-    out = ["id", "size", "source_size", "target"]
-    both = some.select(*out, F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(named.where(F.col("size") == 0).select(*out, F.lit(0).cast("long").alias("taken")))
-    return both.withColumnRenamed("id", id_col)
+    empty = named.where(F.col("size") == 0).withColumn("begin", F.lit(None).cast("long"))
+    columns = ["id", "source_no", "begin", "size", "source_size", "target"]
+    return slots, placed.select(columns).unionByName(empty.select(columns))
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", block: int = BLOCK, seed: int = 17) -> DataFrame:
+    """How many words of every document a mix takes.
+
+    Returns one row per row of ``docs``: the id, ``size`` (words; null text: 0), ``source_size``, ``target``,
+    ``taken`` (repeats counted, at most twice the size) and ``slot``, the place in the mix where its words come first (null: taken 0). The words taken from a source are its target, rounded;
+    they are the first so many words of the source's shuffled documents, begun again after the last.
+
+    The shuffle is a hash of the id, so reruns agree; rows that repeat an id follow one another and share
+    what falls to them in an order set by their text. A null source is a source of its own, the last one. An empty
+    table gives an empty result; other columns are ignored.
+    """
+    slots, rows = mix_slots(docs, text, source, id_col, block, seed)
+    taken = slots.groupBy("source_no", "begin").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot"))
+    out = rows.join(taken, ["source_no", "begin"], "left").select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "slot")
+    return out.withColumnRenamed("id", id_col)
 
 
 def mixture_applied(docs: DataFrame) -> DataFrame:
-    """``docs`` as the mix reads them: a row as often as the mix begins it anew (0, 1 or 2 times).
+    """``docs`` as the mix reads them, in its order: a row as often as the mix begins it anew (0, 1 or 2 times).
 
-    A document that is taken in part counts whole. Documents without words take no part in
-    a mix and stay, as do rows without an id. Of rows that repeat an id the most taken one decides.
+    A document that is taken in part counts whole; its place is the slot where the mix begins it. Documents without words take no part in
+    a mix and stay, at its end, as do rows without an id. Of rows that repeat an id each comes as often, and where, as the first of them.
     """
-    taken = mixed(docs).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("taken").alias("__taken"), F.max("size").alias("__size"))
-    times = taken.select("doc_id", F.when(F.col("__size") == 0, 1).otherwise(F.ceil(F.col("__taken") / F.col("__size"))).cast("int").alias("__times"))
-    read = docs.join(times, "doc_id", "left").withColumn("__times", F.coalesce("__times", F.lit(1)))
-    return read.withColumn("__turn", F.explode(F.array_repeat(F.lit(1), F.col("__times")))).select(*docs.columns)
+    slots, rows = mix_slots(docs)
+    begun = slots.groupBy("source_no", "begin", "turn").agg(F.min("slot").alias("__slot"))
+    known = rows.where(F.col("id").isNotNull())
+    read = known.join(begun, ["source_no", "begin"]).groupBy("id", "turn").agg(F.min("__slot").alias("__slot"))
+    none = known.groupBy("id").agg(F.max("size").alias("most")).where(F.col("most") == 0).select("id", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("__slot"))
+    again = read.unionByName(none).select(F.col("id").alias("__id"), "__slot")
+    named = docs.where(F.col("doc_id").isNotNull()).join(again, F.col("doc_id") == F.col("__id"))
+    rest = docs.where(F.col("doc_id").isNull()).withColumn("__slot", F.lit(None).cast("long"))
+    return named.select(*docs.columns, "__slot").unionByName(rest).orderBy(F.col("__slot").asc_nulls_last(), "doc_id").select(*docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

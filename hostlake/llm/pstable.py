@@ -135,22 +135,6 @@ def vector_links(
                         names=["t", "key", "node", "gid"],
                     )
 
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in _groups(batches, 2):
-            size = np.diff(at)
-            rows, part, tile = [], [], []
-            for start, n in zip(at[:-1][size > 1], size[size > 1], strict=True):
-                sub = np.arange(n) // TILE
-                for other in range(sub[-1] + 1):
-                    rows.append(start + np.arange(n))
-                    part.append(sub)
-                    low, high = np.minimum(sub, other), np.maximum(sub, other)
-                    tile.append(high * (high + 1) // 2 + low)
-            if rows:
-                out = t.take(pa.array(np.concatenate(rows))).append_column("tile", pa.array(np.concatenate(tile).astype(np.int64)))
-                out = out.append_column("part", pa.array(np.concatenate(part).astype(np.int64)))
-                yield from out.combine_chunks().to_batches()
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in _groups(batches, 3):
             table_no, node, part, n = (t.column(c).to_numpy() for c in ("t", "node", "part", "n"))
@@ -185,8 +169,12 @@ def vector_links(
     groups = staged(
         rows.groupBy("label", "vec").agg(F.min("id").alias("node"), F.count("*").alias("n")).select("node", F.xxhash64("label", "vec").alias("gid"), "vec", F.xxhash64("label").alias("lh"), "label", "n")
     )
-    keyed = groups.select("node", "gid", "vec", "lh").mapInArrow(deal, "t int, key long, node long, gid long")
-    met = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "node").mapInArrow(tiles, "t int, key long, node long, gid long, tile long, part long")
+    keyed = staged(groups.select("node", "gid", "vec", "lh").mapInArrow(deal, "t int, key long, node long, gid long"))
+    # keys are counted before anything meets; the join can be split where a key is common, and its bucket is cut into parts, every two of which share a tile
+    shared = keyed.groupBy("t", "key").agg(F.count("*").alias("many")).where(F.col("many") > 1)
+    dealt = keyed.join(staged(shared), ["t", "key"]).withColumn("parts", F.expr(f"(many + {TILE - 1}) div {TILE}")).withColumn("part", F.pmod(F.xxhash64("node", "gid"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    met = dealt.withColumn("tile", F.greatest("part", "other") * F.col("parts") + F.least("part", "other"))
     whole = met.join(groups.select("node", "gid", "vec", "label", "n"), ["node", "gid"])
     found = staged(
         whole.select("t", "key", "tile", "node", "part", "n", "label", "vec")
@@ -204,7 +192,7 @@ def vector_links(
     )
     by_row = rows.join(by_group, ["label", "vec"]).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     own = F.col(id_col).cast("long")
-    out = vectors.select(id_col).join(by_row, own == F.col("id"), "left")
+    out = vectors.select(id_col).join(by_row.withColumnRenamed("id", "__id"), own == F.col("__id"), "left")
     component = F.coalesce("component_id", own)
     return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), own.eqNullSafe(component).alias("kept"))
 

@@ -179,20 +179,21 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
     return one.mapInArrow(each, schema)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep: F.Column, limit: int) -> DataFrame:
-    """Texts and 0/1 labels of at most ``limit`` labelled rows for which ``keep`` holds.
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, keep: F.Column, limit: int, further: tuple[str, ...] = ()) -> DataFrame:
+    """Texts and 0/1 labels (``y``), and ``further`` labels, of at most ``limit`` labelled rows for which ``keep`` holds.
 
     Rows with a null id or label, or a label other than 0 and 1, are left out; of repeated ids the smallest label counts.
-    The choice follows a hash of the id, so it is the same in every run and does not lean on any column.
+    Of documents that repeat an id the smallest text counts. The choice follows a hash of the id, so it is the same in every run and does not lean on any column.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & keep)
         .groupBy("doc_id")
-        .agg(F.min(target).alias("y"))
+        .agg(F.min(target).alias("y"), *(F.min(c).alias(c) for c in further))
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return met.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"), *(F.min(c).alias(c) for c in further))
 
 
 def held_out(doc_id: str = "doc_id", parts: int = 5, part: int = 0) -> F.Column:

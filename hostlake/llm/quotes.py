@@ -14,8 +14,10 @@ from hostlake.llm.ranking import running
 from hostlake.llm.runtime import staged, table
 
 #: Quote marks in front of a line, and the line that announces a quotation.
-MARKS = r"^[ \t]*(>[ \t]?)+"
+MARKS = r"^[ \t]*+(?:>[ \t]?+)++"
 ANNOUNCED = r"(?i)^[ \t]*on .{1,200} wrote:[ \t\r]*$"
+#: Turns whose order is found together.
+RUN = 1024
 
 
 def depth_of(line: Column) -> Column:
@@ -54,12 +56,17 @@ def quote_links(messages: DataFrame) -> DataFrame:
 
     ``messages`` has ``rid`` (unique), ``conv_id``, ``turn``, ``text``. Returns ``rid``, ``depth``, ``begin``, ``hash``
     and ``origin`` (the rid of the latest earlier message that has the passage in its own words, or null).
-    The window runs over one passage of one conversation, never over a conversation.
+    The windows run over ``RUN`` turns of one passage of one conversation; earlier runs come in by their latest message only.
     """
     found = passages(messages).join(messages.select("rid", "conv_id", "turn"), "rid")
-    before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    own = F.max(F.when(F.col("depth") == 0, F.struct("turn", "rid"))).over(before)
-    return found.where(F.col("turn").isNotNull()).withColumn("origin", own["rid"]).where(F.col("depth") > 0).select("rid", "depth", "begin", "hash", "origin")
+    found = found.where(F.col("turn").isNotNull()).withColumn("run", F.expr(f"turn div {RUN}")).withColumn("own", F.when(F.col("depth") == 0, F.struct("turn", "rid")))
+    before = Window.partitionBy("conv_id", "hash", "run").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("conv_id", "hash").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    latest = found.groupBy("conv_id", "hash", "run").agg(F.max("own").alias("last")).withColumn("last", F.max("last").over(earlier))
+    latest = latest.where(F.col("last").isNotNull()).select(F.col("conv_id").alias("c"), F.col("hash").alias("h"), F.col("run").alias("r"), "last")
+    on = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("hash") == F.col("h")) & (F.col("run") == F.col("r"))
+    both = found.withColumn("near", F.max("own").over(before)).where(F.col("depth") > 0).join(latest, on, "left")
+    return both.select("rid", "depth", "begin", "hash", F.coalesce("near", "last")["rid"].alias("origin"))
 
 
 def linked_conversations(conversations: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -108,7 +115,10 @@ def linked_conversations(conversations: DataFrame, max_rounds: int = 60) -> Data
             F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), F.xxhash64("role", "text").alias("tie"), "rid",
         )
     )
-    placed = running(full, ["conv_id"], F.coalesce(F.expr("root_turn div 1024"), F.lit(-1)), [F.col("root_turn"), F.col("turn"), F.col("tie"), F.col("rid")], F.lit(1).cast("long"), "position")
+    # threads of many roots, one thread of many turns, and turns that many rows share are all cut
+    chunks = [F.coalesce(F.expr(f"root_turn div {RUN}"), F.lit(-(1 << 62))), F.struct(F.coalesce("root_turn", F.lit(-(1 << 62))).alias("root"), F.coalesce(F.expr(f"turn div {RUN}"), F.lit(-(1 << 62))).alias("run"))]
+    chunks.append(F.struct(F.coalesce("turn", F.lit(-(1 << 62))).alias("turn"), F.shiftright("tie", 54).alias("part")))
+    placed = running(full, ["conv_id"], chunks, [F.col("root_turn"), F.col("turn"), F.col("tie"), F.col("rid")], F.lit(1).cast("long"), "position")
     return placed.drop("tie", "rid")
 
 

@@ -6,21 +6,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running(df: DataFrame, group: list[str], chunk: Column, order: list[Column], amount: Column, out: str) -> DataFrame:
+def running(df: DataFrame, group: list[str], chunks: list[Column], order: list[Column], amount: Column, out: str) -> DataFrame:
     """``df`` with ``out``: the sum of ``amount`` over the rows of ``group`` that come before.
 
-    ``chunk`` cuts each group into bounded runs that follow one another in ``order`` (a long
-    that never falls along the order). Only sums per chunk are ordered over a whole group; the rows of
-    a chunk are ordered among themselves. Groups may be null; ``amount`` must not be.
+    ``chunks``, coarse to fine, cut each group into runs that follow one another in ``order``: sorted by the chunks first, rows stay in
+    their order. Only the rows of a finest chunk are ordered among themselves; of chunks only their sums are, chunk by
+    coarser chunk. Groups may be null; ``amount`` and chunks must not be.
     """
-    keyed = df.withColumn("__chunk", chunk).withColumn("__amount", amount)
-    sums = keyed.groupBy(*group, "__chunk").agg(F.sum("__amount").alias("__sum"))
-    before = Window.partitionBy(*group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0)))
-    renamed = offsets.select(*(F.col(g).alias(f"__{g}") for g in group), F.col("__chunk").alias("__chunk_of"), "__offset")
-    on = F.col("__chunk") == F.col("__chunk_of")
-    for g in group:
-        on &= F.col(g).eqNullSafe(F.col(f"__{g}"))
-    local = Window.partitionBy(*group, "__chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("__local", F.coalesce(F.sum("__amount").over(local), F.lit(0))).join(renamed, on)
-    return placed.withColumn(out, F.col("__offset") + F.col("__local")).select(*df.columns, out)
+    names = [f"__chunk{i}" for i in range(len(chunks))]
+    keyed = df.withColumns({**dict(zip(names, chunks, strict=True)), "__amount": amount})
+    local = Window.partitionBy(*group, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("__local", F.coalesce(F.sum("__amount").over(local), F.lit(0)))
+    if not chunks:
+        return placed.withColumn(out, F.col("__local")).select(*df.columns, out)
+    sums = keyed.groupBy(*group, *names).agg(F.sum("__amount").alias("__sum"))
+    at = [F.col(n) for n in names]
+    offsets = running(sums, group, at[:-1], at, F.col("__sum"), "__offset")
+    renamed = offsets.select(*(F.col(c).alias(f"{c}_of") for c in (*group, *names)), "__offset")
+    on = F.lit(True)
+    for c in group:
+        on &= F.col(c).eqNullSafe(F.col(f"{c}_of"))
+    for c in names:
+        on &= F.col(c) == F.col(f"{c}_of")
+    return placed.join(renamed, on).withColumn(out, F.col("__offset") + F.col("__local")).select(*df.columns, out)

@@ -215,7 +215,7 @@ def repeats_removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     """
     names = ("removed_spans", "n_units", "n_removed")
     base = docs.drop(*names)
-    keyed = base.join(earlier_units(docs, text, id_col).withColumnRenamed("id", "__id"), F.col(id_col) == F.col("__id"), "left").drop("__id")
+    keyed = base.join(earlier_units(docs, text, id_col).select(F.col("id").alias("__id"), F.col("earlier").alias("__earlier")), F.col(id_col) == F.col("__id"), "left").drop("__id")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*base.schema.fields, T.StructField(names[0], span), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.IntegerType())])
     at_text, at_id = base.columns.index(text), base.columns.index(id_col)
@@ -240,12 +240,18 @@ def repeats_removed(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(all_spans, kind), pa.array(counts, pa.int32()), pa.array(gone, pa.int32())], names=schema.names)
 
-    return keyed.select(*base.columns, "earlier").mapInArrow(each, schema)
+    return keyed.select(*base.columns, "__earlier").mapInArrow(each, schema)
 
 
 def repeats_applied(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeats gone from ``text`` and ``n_chars`` brought up to date; rows and columns stay."""
-    return repeats_removed(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """``docs`` with the repeats gone from ``text`` and ``n_chars``, where there is one, brought up to date; rows and columns stay.
+
+    Nulls, repeated ids and empty tables as in :func:`repeats_removed`; columns that have the names it adds stay as they are.
+    """
+    short = [c for c in docs.columns if c not in ("removed_spans", "n_units", "n_removed")]
+    done = repeats_removed(docs.select(*short, *(F.col(c).alias(f"__{c}") for c in docs.columns if c not in short)))
+    done = done.select(*(F.col(c if c in short else f"__{c}").alias(c) for c in docs.columns))
+    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def op9_substring(spark, sf_dir: str) -> DataFrame:

@@ -21,10 +21,8 @@ from hostlake.llm.runtime import staged, table
 
 #: Labelled rows that the chain learns from, words that it looks at, and folds.
 SAMPLE, WORDS, FOLDS = 8000, 400, 5
-#: A marker is a word in at least this share of the toxic texts and so many times as common there as elsewhere.
-MARKER_SHARE, MARKER_LIFT = 0.004, 12.0
-#: The chain of the query: any marker in a toxic text, three or more, and the label itself.
-CATEGORIES = ("marked", "heavily_marked", "toxic")
+#: The chain of the query. The labels hold one category of toxicity and a mark of quality: poor texts first, then toxic ones, then those that are both.
+CATEGORIES = ("poor", "toxic", "toxic_and_poor")
 EDGES = ".,;:!?\"'()[]{}<>*_-…«»“”¡¿"
 
 
@@ -79,15 +77,19 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12
     return w
 
 
-def fit_chain(x: np.ndarray, targets: np.ndarray, folds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Weights of a chain for the columns of ``targets`` in order; ``folds`` numbers the fold of every row."""
+def fit_chain(x: np.ndarray, targets: np.ndarray, folds: np.ndarray, columns: dict[int, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """Weights of a chain for the columns of ``targets`` in order; ``folds`` numbers the fold of every row.
+
+    ``columns`` tells which columns of ``x`` may be looked at where a fold is left out, and under -1 by the models themselves (all without it).
+    """
+    columns = columns or dict.fromkeys([-1, *folds.tolist()], np.arange(x.shape[1]))
     done = np.zeros((len(x), 0))
     out = []
     for y in targets.T:
-        seen = np.column_stack([x, done])
-        out.append(fit_linear(seen, y))
+        out.append(fit_linear(np.column_stack([x[:, columns[-1]], done]), y))
         apart = np.zeros(len(x))
-        for f in np.unique(folds):
+        for f in np.unique(folds).tolist():
+            seen = np.column_stack([x[:, columns[f]], done])
             w = fit_linear(seen[folds != f], y[folds != f])
             apart[folds == f] = _sigmoid(seen[folds == f] @ w[1:] + w[0])
         done = np.column_stack([done, apart])
@@ -97,42 +99,48 @@ def fit_chain(x: np.ndarray, targets: np.ndarray, folds: np.ndarray) -> tuple[np
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Chain:
     """The chain from a bounded sample of labelled texts outside the held-out part.
 
-    The words are those whose share of toxic and other sample texts differs most; counted by
-    Spark, only the best ``WORDS`` reach the driver. Without labels every text scores 0.5 or less.
+    The words are those whose share of toxic and other texts differs most; counted by Spark, only the best ``WORDS`` reach the
+    driver. They are chosen anew without each fold, so that a probability out of fold doesn't know its text through
+    them either. Texts without a mark of quality count as good. Without labels every text scores 0.5 or less.
     """
-    sample = staged(labelled_sample(docs, labels, "toxic", ~held_out(), limit))
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")
+    sample = staged(labelled_sample(docs, labels, "toxic", ~held_out(), limit, ("quality",)).withColumn("fold", fold))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, t in enumerate(batch.column(1).to_pylist()):
+            for y, f, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 some = sorted(words_of(t))
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([batch.column(0)[i].as_py()] * len(some), pa.int32())], names=["word", "y"])
-
-    sizes = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
-    bad, good = sizes.get(1, 0), sizes.get(0, 0)
-    counted = sample.select(F.col("y").cast("int").alias("y"), "text").mapInArrow(spread, "word string, y int").groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
-    p, q = (F.col("bad") + 0.5) / (bad + 1.0), (F.col("good") + 0.5) / (good + 1.0)
-    pooled = (F.col("bad") + F.col("good") + 1.0) / (bad + good + 2.0)
-    scored = counted.where(F.col("bad") + F.col("good") >= 3).withColumn("gap", F.abs(p - q) / F.sqrt(pooled * (1 - pooled)))
-    top = [(r["word"], r["p"], r["q"]) for r in scored.orderBy(F.desc("gap"), "word").limit(WORDS).select("word", p.alias("p"), q.alias("q")).collect()]
-    words = {w: i for i, (w, _, _) in enumerate(top)}
-    markers = np.array([p >= MARKER_SHARE and p >= MARKER_LIFT * q for _, p, q in top], bool)
-    blank = Chain(CATEGORIES, words, ())
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([y] * len(some), pa.int32()), pa.array([f] * len(some), pa.int32())], names=["word", "y", "fold"])
+
+    sizes = {(r["y"], r["fold"]): r["count"] for r in sample.groupBy("y", "fold").count().collect()}
+    counted = staged(sample.select(F.col("y").cast("int").alias("y"), "fold", "text").mapInArrow(spread, "word string, y int, fold int").groupBy("word", "fold").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good")))
+
+    def chosen(without: int) -> list[str]:
+        bad, good = (sum(n for (label, f), n in sizes.items() if label == y and f != without) for y in (1, 0))
+        summed = counted.where(F.col("fold") != without).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        p, q = (F.col("bad") + 0.5) / (bad + 1.0), (F.col("good") + 0.5) / (good + 1.0)
+        pooled = (F.col("bad") + F.col("good") + 1.0) / (bad + good + 2.0)
+        scored = summed.where(F.col("bad") + F.col("good") >= 3).withColumn("gap", F.abs(p - q) / F.sqrt(pooled * (1 - pooled)))
+        return [r["word"] for r in scored.orderBy(F.desc("gap"), "word").limit(WORDS).select("word").collect()]
+
+    choices = {f: chosen(f) for f in (-1, *range(FOLDS))}
+    every = {w: i for i, w in enumerate(dict.fromkeys(w for f in choices for w in choices[f]))}
+    blank = Chain(CATEGORIES, every, ())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = blank.features(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([np.flatnonzero(r) for r in x], pa.list_(pa.int64()))], names=["doc_id", "y", "on"])
-
-    rows = sorted((r.doc_id, r.y, r.on) for r in sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), "text").mapInArrow(encode, "doc_id long, y int, on array<long>").toLocalIterator())
-    x = np.zeros((len(rows), len(words)))
-    for i, (_, _, on) in enumerate(rows):
-        x[i, on] = 1
-    y = np.array([r[1] for r in rows], float)
-    hits = x[:, markers].sum(1) if len(words) else np.zeros(len(rows))
-    targets = np.column_stack([y * (hits >= 1), y * (hits >= 3), y])
-    folds = np.arange(len(rows)) % FOLDS
-    return Chain(CATEGORIES, words, fit_chain(x, targets, folds))
+            x = blank.features(batch.column(4).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([np.flatnonzero(r) for r in x], pa.list_(pa.int64()))], names=["doc_id", "y", "quality", "fold", "on"])
+
+    columns = sample.select(F.col("doc_id").cast("long"), F.col("y").cast("int"), F.coalesce(F.col("quality").cast("int"), F.lit(1)).alias("quality"), "fold", "text")
+    rows = sorted(tuple(r) for r in columns.mapInArrow(encode, "doc_id long, y int, quality int, fold int, on array<long>").toLocalIterator())
+    x = np.zeros((len(rows), len(every)))
+    for i, r in enumerate(rows):
+        x[i, r[4]] = 1
+    y, good, folds = (np.array([r[k] for r in rows], float) for k in (1, 2, 3))
+    targets = np.column_stack([1 - good, y, y * (1 - good)])
+    places = {f: np.array([every[w] for w in choices[f]], np.int64) for f in choices}
+    return Chain(CATEGORIES, {w: i for i, w in enumerate(choices[-1])}, fit_chain(x, targets, folds, places))
 
 
 def toxicity_scores(docs: DataFrame, chain: Chain, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -86,6 +86,28 @@ def test_palettes_disposal_transparency_interlace():
     assert len(gif.decode_gifs([raw[:-6]])[0]) <= 1
 
 
+def test_huge_canvas_is_damage():
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0) + block(0, 0, 1, 1, [0]) + b"\x3b"
+    image = b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0, 0, 0) + block(0, 0, 65535, 65535, [0]) + b"\x3b"
+    assert gif.decode_gifs([bomb, image]) == [[], []]
+
+
+def test_stored_frames_use_palettes_disposal_and_transparency(spark):
+    text = "".join(chr(32 + i * i % 90) for i in range(5 * gif.WIDTH * gif.HEIGHT - 10))
+    docs = spark.createDataFrame([(1, text), (1, text), (None, None)], "doc_id long, text string")
+    media = gif.stored_media(docs)
+    frames = sorted(gif.gif_frames(media.where("doc_id = 1").limit(1)).collect(), key=lambda f: f.frame)
+    assert [f.disposal for f in frames] == [1, 2, 3, 1, 2] and [f.transparent for f in frames] == [-1] * 4 + [0]
+    assert b"".join(f.samples for f in frames).rstrip(b"\0").decode() == text
+    rows = [r for r in gif.media_digests(media).collect() if r.doc_id == 1]
+    assert len(rows) == 2 and rows[0] == rows[1]
+    assert [(f.start_cs, f.disposal, f.transparent, f.histogram) for f in rows[0].frames] == [(f.start_cs, f.disposal, f.transparent, f.histogram) for f in frames]
+    # the fourth frame shows in its own palette, the third gave way to what the second had left: nothing
+    warm = np.frombuffer(gif.WARM, np.uint8).reshape(-1, 3)[np.frombuffer(frames[3].samples, np.uint8)]
+    assert frames[3].histogram == gif.histogram(warm[None]).tolist()
+    assert frames[4].histogram[0] == 0
+
+
 def test_query_rows(spark, sf, tmp_path):
     rows = [(1, "héllo", "x"), (2, None, "x"), (3, "", "x"), (None, "a" * 64, "x"), (3, "b" * 200_000 + "é", None)]
     spark.createDataFrame(rows, "doc_id long, text string, media string").write.parquet(f"{tmp_path}/documents.parquet")

@@ -67,6 +67,32 @@ def test_edges(spark):
     assert sum(r[4] for r in run(spark, rows)) == 11  # 10.5 rounded
 
 
+def test_slots_order_the_mix(spark):
+    """Every word a source gives is in one slot, blocks follow their ranks, and any stretch of the mix has about the target shares."""
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "abc"[i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    slots, known = mixing.mix_slots(docs, block=64)
+    slots = slots.collect()
+    got = {r.doc_id: r for r in mixing.mixed(docs, block=64).collect()}
+    assert sum(r.words for r in slots) == sum(r.taken for r in got.values())
+    first = {}
+    for r in slots:
+        first[r.source_no, r.begin] = min(first.get((r.source_no, r.begin), r.slot), r.slot)
+    assert sorted(v for v in first.values()) == sorted(r.slot for r in got.values() if r.taken)
+    by_rank = {}
+    for r in slots:
+        assert by_rank.setdefault((r.source_no, r.rank), r.slot) == r.slot
+    for s in (1, 2, 3):
+        ranks = [k for _, k in sorted((slot, rank) for (n, rank), slot in by_rank.items() if n == s)]
+        assert ranks == sorted(ranks)
+    last = max(r.slot for r in slots)
+    for lo in range(0, last - 64, 64):
+        part = [r for r in slots if lo <= r.slot < lo + 64]
+        for s in (1, 2, 3):
+            share = sum(r.words for r in slots if r.source_no == s) / sum(r.words for r in slots)
+            assert abs(sum(r.words for r in part if r.source_no == s) / sum(r.words for r in part) - share) < 0.08
+
+
 def test_van_der_corput(spark):
     got = [r[0] for r in spark.range(64).select(mixing.van_der_corput(F.col("id"))).collect()]
     assert got == [int(f"{i:06b}"[::-1], 2) / 64 for i in range(64)]

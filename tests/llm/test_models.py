@@ -122,6 +122,18 @@ def test_toxicity_held_out(spark, truth, marked):
     assert np.mean([r.toxic == marked[r.doc_id].toxic for r in out]) > 0.95
 
 
+def test_chain_against_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    chain = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in toxicity.toxicity_scores(docs, chain).collect():
+        words = {w.strip(toxicity.EDGES) for w in (texts[r.doc_id] or "").lower().split()}
+        seen = [1.0 if w in words else 0.0 for w in sorted(chain.words, key=chain.words.get)]
+        for c, w in zip(chain.categories, chain.weights, strict=True):
+            seen.append(1 / (1 + np.exp(-min(max(w[0] + sum(a * b for a, b in zip(w[1:], seen, strict=True)), -30), 30))))
+            assert r[f"p_{c}"] == pytest.approx(seen[-1], abs=1e-9)
+
+
 def test_chain_uses_out_of_fold_probabilities():
     rng = np.random.default_rng(5)
     x = (rng.random((500, 60)) < 0.3).astype(float)

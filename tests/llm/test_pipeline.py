@@ -6,7 +6,7 @@ from collections import Counter
 
 import corpus_pipeline
 import sentencepiece
-from hostlake.llm import language, mixing, pieces, simhash, substring
+from hostlake.llm import language, mixing, pieces, substring
 from pyspark.sql import functions as F
 
 
@@ -17,14 +17,13 @@ def test_stages_against_brute_force(spark, sf):
     model = language.fit_languages(docs, F.lit(True))
     kept = {i: r.text for i, r in rows.items() if next(iter(language.infer(model, r.text).values()), 0) >= 0.5}
 
-    fp = {i: int.from_bytes(simhash.fingerprint(t.encode(), 5, 256)) for i, t in kept.items()}
-    comp = {i: i for i in fp}
-    for _ in fp:
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i, t in kept.items() for w in [t.encode().lower().split()]}
+    comp = {i: i for i in shingles}
+    near = [(a, b) for a in shingles for b in shingles if a < b and 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])]
+    for _ in shingles:
         before = dict(comp)
-        for a in fp:
-            for b in fp:
-                if (fp[a] ^ fp[b]).bit_count() <= 38:
-                    comp[a] = comp[b] = min(comp[a], comp[b])
+        for a, b in near:
+            comp[a] = comp[b] = min(comp[a], comp[b])
         if comp == before:
             break
     want_gone = {i for i in kept if comp[i] != i}

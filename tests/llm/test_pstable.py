@@ -49,6 +49,13 @@ def test_against_brute_force(spark, monkeypatch):
         assert {i: c for i, (_, c) in got.items()} == {i: c for i, (_, c) in want.items()}
 
 
+def test_names_that_clash(spark):
+    rows = [(i, [1.0, 0.001 * i], "a", i, 0.5) for i in range(5)]
+    docs = spark.createDataFrame(rows, "id long, embedding array<double>, label string, component_id long, n_links double")
+    got = {r.id: r for r in pstable.vector_links(docs, id_col="id").collect()}
+    assert len(got) == 5 and all(r.component_id == 0 and r.n_links == 4 for r in got.values())
+
+
 def test_edge_cases(spark):
     assert run(spark, []) == []
     v = [1.0, 0.5, 0.25]

@@ -101,6 +101,29 @@ def test_matches_brute_force(spark):
     assert run(spark, rows) == slow(rows)
 
 
+def test_many_marks_and_long_lines(spark):
+    many = ">" * 100_000 + " deep words"
+    rows = [("c", 1, "u", "deep words"), ("c", 2, "u", many), ("c", 3, "u", "> " * 50_000), ("c", None, "u", "x " * 200_000)]
+    got = {r.turn: r for r in quotes.linked_conversations(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()}
+    assert got[2].parent_turn == 1 and got[2].n_linked == 1 and got[3].n_quotes == 0 and len(got) == 4
+
+
+def test_long_threads_and_repeated_turns(spark, monkeypatch):
+    """Positions and origins with runs of three turns, against an ordering of everything at once."""
+    monkeypatch.setattr(quotes, "RUN", 3)
+    rows = [("c", t, "u", f"line {t % 4}" if t % 3 else f"> line {t % 4}\nown {t}") for t in range(20)] + [("c", 5, "u", f"again {i}") for i in range(6)] + [("d", None, "u", str(i)) for i in range(5)]
+    got = quotes.linked_conversations(spark.createDataFrame(rows, "conv_id string, turn int, role string, text string")).collect()
+    for c in "cd":
+        own = sorted((r for r in got if r.conv_id == c), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(len(own)))
+        key = [(r.root_turn if r.root_turn is not None else -1, r.turn if r.turn is not None else -1) for r in own]
+        assert key == sorted(key)
+    for r in got:
+        if r.conv_id == "c" and r.turn % 3 == 0:
+            before = [t for t in range(r.turn) if t % 3 and t % 4 == r.turn % 4]
+            assert r.parent_turn == (before[-1] if before else None)
+
+
 def test_edges(spark):
     assert run(spark, []) == {}
     got = run(spark, [(1, 0, None, None), (None, 0, "user", "> x\ny"), (1, 5, "user", ""), (2, 1, "user", "> z\n" * 20_000)])

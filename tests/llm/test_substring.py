@@ -62,6 +62,15 @@ def test_matches_brute_force(spark):
         assert r.text.encode() == (substring._without(text.encode(), spans))
 
 
+def test_names_that_clash(spark):
+    line = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, line, "e", "s", 7), (2, line + "\nmore", "f", None, 8)], "doc_id long, text string, earlier string, removed_spans string, id int")
+    got = {r.doc_id: r for r in substring.repeats_applied(docs).collect()}
+    assert [got[i].text for i in (1, 2)] == [line, "more"] and [got[i].earlier for i in (1, 2)] == ["e", "f"]
+    assert got[1].removed_spans == "s" and got[2].id == 8
+    assert substring.repeats_removed(docs).columns[-3:] == ["removed_spans", "n_units", "n_removed"]
+
+
 def test_edges(spark):
     long = "word " * 50_000
     line = "one two three four five six seven eight nine"
