@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlake.llm.runtime import staged
@@ -13,6 +13,17 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def hooked(edges: DataFrame, child: str, root: str) -> DataFrame:
+    """Edges ``u``, ``v`` with the same components as those of many forests, in which a node is a child of one root per forest.
+
+    A child stays with the smallest of its roots, and the others are tied to that one. Children of a large group have
+    much the same few roots, so what is left is about an edge per child; no key has more rows than there are forests.
+    """
+    low = F.min(root).over(Window.partitionBy(child))
+    tied = staged(edges.select(F.col(child).alias("c"), F.col(root).alias("r"), low.alias("m")))
+    return tied.select(F.col("c").alias("u"), F.col("m").alias("v")).unionByName(tied.where(F.col("r") != F.col("m")).select(F.col("r").alias("u"), F.col("m").alias("v"))).distinct()
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
     """Component of every node that has an edge.
 

@@ -45,7 +45,7 @@ PACKED = 1 << 17
 #: Words of one task whose edges are gathered in memory; of more they are sorted.
 GROUPS = 1 << 16
 #: Characters that a prefix has, by which the lengths of the pieces that begin with it are known.
-PREFIX = 3
+PREFIX = 4
 
 
 @dataclass(frozen=True)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hostlake.llm.components import connected_components
+from hostlake.llm.components import connected_components, hooked
 from hostlake.llm.runtime import staged, table
 
 #: Seed of the shingle hash.
@@ -367,7 +367,7 @@ def near_duplicates_removed(docs: DataFrame) -> DataFrame:
     marked = staged(with_sets(docs.select("doc_id", "text"), 5, 256))
     row = F.struct(F.col("doc_id").cast("long").alias("id"), "content", "fp")
     reps = staged(marked.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(row).alias("row")).select("node", "row.*"))
-    groups = connected_components(similar_fingerprints(reps, 60, sampled_tables(256, 128, 16), 256), "a", "b")
+    groups = connected_components(hooked(similar_fingerprints(reps, 60, sampled_tables(256, 128, 16), 256), "a", "b"), "u", "v")
     members = reps.join(groups, "node").select("node", "component", "id", "content")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("content"), "text")
     members = members.join(texts, ["id", "content"]).groupBy("component", "node").agg(F.first("text").alias("text"))
