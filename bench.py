@@ -34,7 +34,7 @@ def main() -> None:
 
     def score():
         edges = graph.edges(cut)
-        return graph.provenance_score(graph.meta(cut, edges), edges)
+        return graph.provenance_score(cut, edges)
 
     plans = {
         "triage": lambda: sequence.triage(events),

@@ -55,15 +55,23 @@ def edges(windows: DataFrame) -> DataFrame:
 
 def meta(windows: DataFrame, graph: DataFrame | None = None) -> DataFrame:
     """One row per window with the graph's eight figures."""
+    return _figures(windows, graph).drop("odd")
+
+
+def _figures(windows: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """:func:`meta` and ``odd``: an external connection of a server or of a process that isn't a known daemon."""
     graph = edges(windows) if graph is None else graph
-    by_node = windows.groupBy(*KEY).agg(F.count_distinct("comm", rtype(F.col("sc_type"))).alias("n_nodes"), F.bool_or(~F.lower("comm").isin(*C.DAEMONS)).alias("unusual_comm"))
+    distinct = windows.select(*KEY, "comm", rtype(F.col("sc_type")).alias("rtype")).distinct()
+    by_node = distinct.groupBy(*KEY).agg(F.count("*").alias("n_nodes"), F.bool_or(~F.lower("comm").isin(*C.DAEMONS)).alias("unusual_comm"))
     staged_exec = (F.col("label") == "execve") & F.coalesce(_starts(F.col("resource")), F.lit(False))
+    source = F.lower("src_comm")
     by_edge = graph.groupBy(*KEY).agg(
         F.count("*").alias("n_edges"),
         F.count_if("external").alias("outbound_ext"),
         F.count_if((F.col("label") == "openat(R)") & F.col("sensitive")).alias("sensitive_reads"),
         F.bool_or(staged_exec).alias("tmp_exec"),
         F.coalesce(F.min(F.when(F.col("label") == "connect", F.col("ord"))) < F.max(F.when(F.col("label") == "execve", F.col("ord"))), F.lit(False)).alias("exec_after_net"),
+        F.bool_or(F.col("external") & (source.isin(*C.SERVERS) | ~source.isin(*C.DAEMONS))).alias("odd"),
     )
     return by_node.join(by_edge, KEY).withColumn("external_connect", F.col("outbound_ext") > 0)
 
@@ -72,10 +80,8 @@ def _starts(resource: Column) -> Column:
     return F.startswith(resource, F.lit(C.STAGED_EXEC_PREFIXES[0])) | F.startswith(resource, F.lit(C.STAGED_EXEC_PREFIXES[1])) | F.startswith(resource, F.lit(C.STAGED_EXEC_PREFIXES[2]))
 
 
-def provenance_score(figures: DataFrame, graph: DataFrame) -> DataFrame:
-    """Adds ``score`` (0 to 1) to the figures of :func:`meta`."""
-    source = F.lower("src_comm")
-    odd = graph.groupBy(*KEY).agg(F.bool_or(F.col("external") & (source.isin(*C.SERVERS) | ~source.isin(*C.DAEMONS))).alias("odd"))
+def provenance_score(windows: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+    """The figures of :func:`meta` with ``score`` (0 to 1); nodes and edges are gone through once."""
     raw = (
         F.when(F.col("tmp_exec"), 0.75).otherwise(0.0)
         + F.when(F.col("odd"), 0.80).otherwise(0.0)
@@ -83,7 +89,7 @@ def provenance_score(figures: DataFrame, graph: DataFrame) -> DataFrame:
         + F.when(F.col("exec_after_net"), 0.30).otherwise(0.0)
         + F.when(F.col("unusual_comm"), 0.15).otherwise(0.0)
     )
-    return figures.join(odd, KEY).withColumn("score", F.round(F.least(raw, F.lit(1.0)), 6)).drop("odd")
+    return _figures(windows, graph).withColumn("score", F.round(F.least(raw, F.lit(1.0)), 6)).drop("odd")
 
 
 def serialized(windows: DataFrame) -> DataFrame:

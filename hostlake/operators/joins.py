@@ -65,11 +65,11 @@ def call_sites(events: DataFrame, sites: DataFrame, load_addr: int = 0) -> DataF
     both = asked.select("addr", F.lit(None).cast("long").alias("site")).unionByName(sites.select("addr", F.col("addr").alias("site")))
     page = F.floor(F.col("addr") / 65536)
     low = Window.partitionBy("page").orderBy("addr").rangeBetween(Window.unboundedPreceding, 0)
-    high = Window.partitionBy("page").orderBy("addr").rangeBetween(0, Window.unboundedFollowing)
+    high = Window.partitionBy("page").orderBy(F.desc("addr")).rangeBetween(Window.unboundedPreceding, 0)
     edges = sites.groupBy(page.alias("page")).agg(F.min("addr").alias("first"), F.max("addr").alias("last"))
     pages = both.select(page.alias("page")).distinct().join(edges, "page", "left")
-    over = Window.orderBy("page")
-    pages = pages.select("page", F.last("last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    up, down = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.col("page"), F.desc("page")))
+    pages = pages.select("page", F.last("last", True).over(up).alias("before"), F.last("first", True).over(down).alias("after"))
     near = both.withColumn("page", page).withColumn("a", F.max("site").over(low)).withColumn("b", F.min("site").over(high)).where(F.col("site").isNull()).join(pages, "page")
     gap = F.least(F.col("addr") - F.coalesce("a", "before"), F.coalesce("b", "after") - F.col("addr"))
     distance = near.join(F.broadcast(bounds)).select("addr", F.coalesce(gap, F.least(F.abs(F.col("addr") - F.col("lo")), F.abs(F.col("addr") - F.col("hi")))).alias("distance"))

@@ -57,45 +57,59 @@ def default_sequels() -> list[Sequel]:
 OUT = ["trace_id", "pid", "g", "at_g", "axiom", "severity"]
 
 
+def _found(events: DataFrame, forbidden: list[Forbidden] = (), following: list[Sequel] = (), staged: bool = False, strict: bool = False) -> DataFrame:
+    """Violations of any rules in one pass: events are put in order once, later ones first, so that every frame only grows."""
+    later = Window.partitionBy("trace_id", "pid").orderBy(F.desc("g"))
+    after = later.rowsBetween(Window.unboundedPreceding, -1)
+    seen, found = in_trace_order(events), []
+    names: dict[str, Column] = {}
+
+    def violation(rule: str, severity: str, g: Column, at_g: Column) -> Column:
+        return F.struct(g.alias("g"), at_g.alias("at_g"), F.lit(rule).alias("axiom"), F.lit(severity).alias("severity"))
+
+    for i, rule in enumerate(forbidden):
+        names[f"__f{i}"] = F.min(F.when(rule.forbidden, F.col("g"))).over(after)
+        at = F.col(f"__f{i}")
+        near = at.isNotNull() if rule.window == 0 else at - F.col("g") <= rule.window
+        found.append(F.when(rule.trigger & near, F.array(violation(rule.name, rule.severity, F.col("g"), at))))
+    for i, rule in enumerate(following):
+        names[f"__s{i}"] = F.min(F.when(rule.sequel, F.col("g"))).over(after)
+        at = F.col(f"__s{i}")
+        if rule.negate:
+            bad = at.isNotNull() & ((at - F.col("g") <= rule.window) if strict else F.lit(True))
+        else:
+            bad = at.isNull() & (F.col("trace_len") - F.col("g") + 1 > rule.window)
+        found.append(F.when(rule.trigger & bad, F.array(violation(rule.name, rule.severity, F.col("g"), at))))
+    if staged:
+        hit = E.execve("/tmp/") | E.execve("/dev/shm/")
+        # of later events first, the next row is the one before
+        names["__again"] = F.coalesce((F.lead("g").over(later) == F.col("g") - 1) & ~F.lead(hit).over(later), F.lit(False))
+        once = violation("AX-4", "HIGH", F.col("g"), F.col("g"))
+        both = F.array(once) if strict else F.when(F.col("__again"), F.array(once, violation("AX-4", "HIGH", F.col("g") - 1, F.col("g")))).otherwise(F.array(once))
+        found.append(F.when(hit, both))
+    rows = seen.withColumns(names).select("trace_id", "pid", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("v"))
+    return rows.select("trace_id", "pid", "v.*").select(*OUT)
+
+
 def forbidden_sequences(events: DataFrame, rule: Forbidden) -> DataFrame:
     """Violations: ``g`` of the trigger and ``at_g``, the g of the first later forbidden event of the same process, if near enough."""
-    later = Window.partitionBy("trace_id", "pid").orderBy("g").rowsBetween(1, Window.unboundedFollowing)
-    hit = in_trace_order(events).withColumn("at_g", F.min(F.when(rule.forbidden, F.col("g"))).over(later)).where(rule.trigger & F.col("at_g").isNotNull())
-    near = hit if rule.window == 0 else hit.where(F.col("at_g") - F.col("g") <= rule.window)
-    return near.withColumn("axiom", F.lit(rule.name)).withColumn("severity", F.lit(rule.severity)).select(*OUT)
+    return _found(events, [rule])
 
 
 def staged_execution(events: DataFrame, strict: bool = False) -> DataFrame:
     """AX-4: execution under /tmp/ or /dev/shm/. An event counts again if the trace's event just before is of the same
     process and isn't such an execution itself; ``strict`` counts it once."""
-    hit = E.execve("/tmp/") | E.execve("/dev/shm/")
-    order = Window.partitionBy("trace_id", "pid").orderBy("g")
-    seen = in_trace_order(events).withColumn("hit", hit)
-    seen = seen.withColumn("again", F.coalesce((F.lag("g").over(order) == F.col("g") - 1) & ~F.lag("hit").over(order), F.lit(False)))
-    triggers = F.array(F.col("g")) if strict else F.when(F.col("again"), F.array(F.col("g"), F.col("g") - 1)).otherwise(F.array(F.col("g")))
-    rows = seen.where("hit").select("trace_id", "pid", F.explode(triggers).alias("from"), F.col("g").alias("at_g"))
-    return rows.withColumnRenamed("from", "g").withColumn("axiom", F.lit("AX-4")).withColumn("severity", F.lit("HIGH")).select(*OUT)
+    return _found(events, staged=True, strict=strict)
 
 
 def sequels(events: DataFrame, rule: Sequel, strict: bool = False) -> DataFrame:
     """Violations of a sequel rule; ``at_g`` is null where nothing followed. ``strict`` heeds the window of negated rules, too."""
-    later = Window.partitionBy("trace_id", "pid").orderBy("g").rowsBetween(1, Window.unboundedFollowing)
-    seen = in_trace_order(events).withColumn("at_g", F.min(F.when(rule.sequel, F.col("g"))).over(later)).where(rule.trigger)
-    if rule.negate:
-        bad = F.col("at_g").isNotNull() & ((F.col("at_g") - F.col("g") <= rule.window) if strict else F.lit(True))
-    else:
-        bad = F.col("at_g").isNull() & (F.col("trace_len") - F.col("g") + 1 > rule.window)
-    return seen.where(bad).withColumn("axiom", F.lit(rule.name)).withColumn("severity", F.lit(rule.severity)).select(*OUT)
+    return _found(events, following=[rule], strict=strict)
 
 
 def violations(events: DataFrame) -> DataFrame:
     """All default rules of either kind."""
-    out = staged_execution(events)
-    for rule in default_rules():
-        out = out.unionByName(forbidden_sequences(events, rule))
-    for rule in default_sequels():
-        out = out.unionByName(sequels(events, rule))
-    return out
+    return _found(events, default_rules(), default_sequels(), staged=True)
 
 
 def violation_summary(found: DataFrame) -> DataFrame:

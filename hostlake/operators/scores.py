@@ -93,7 +93,7 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
     """Decisions from JSON answers: missing or malformed parts get BENIGN, 0.5 and no techniques."""
     made = F.from_json("response", "label string, confidence double, mitre_ttps array<string>")
     label = F.upper(made["label"])
-    return responses.select(*KEY, F.when(label == "MALICIOUS", label).otherwise("BENIGN").alias("label"), F.coalesce(F.least(F.greatest(made["confidence"], F.lit(0.0)), F.lit(1.0)), F.lit(0.5)).alias("confidence"), F.coalesce(made["mitre_ttps"], F.array().cast("array<string>")).alias("ttps"))
+    return responses.select(*KEY, F.when(label == "MALICIOUS", label).otherwise("BENIGN").alias("label"), F.when(made["confidence"].isNull(), 0.5).otherwise(F.least(F.greatest(made["confidence"], F.lit(0.0)), F.lit(1.0))).alias("confidence"), F.coalesce(made["mitre_ttps"], F.array().cast("array<string>")).alias("ttps"))
 
 
 def call_site_score(windows_with_sites: DataFrame) -> DataFrame:

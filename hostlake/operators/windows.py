@@ -42,12 +42,21 @@ def stitch_parents(windows: DataFrame, events: DataFrame, max_parent: int = 5) -
     events are known once they have happened.
     """
     by = ["pid", "wid"]
-    ends = windows.groupBy(*by).agg(F.min_by("ppid", "idx").alias("parent"), F.max("ts_us").alias("end_us"))
-    seen = events.select(F.col("pid").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in ("event_id", "ts_us", "sc_type", "resource")])
-    before = ends.where(F.col("parent") != F.col("pid")).join(seen, "parent").where(F.col("p_ts_us") <= F.col("end_us"))
-    latest = Window.partitionBy(*by).orderBy(F.desc("p_ts_us"), F.desc("p_event_id"))
-    added = before.withColumn("r", F.row_number().over(latest)).where(F.col("r") <= max_parent)
-    added = added.select(*by, (-F.col("r")).cast("int").alias("idx"), F.col("p_event_id").alias("event_id"), F.col("p_sc_type").alias("sc_type"), F.col("p_resource").alias("resource"), F.lit(True).alias("from_parent"))
+    ends = windows.groupBy(*by).agg(F.min_by("ppid", "idx").alias("parent"), F.max("ts_us").alias("end_us")).where(F.col("parent") != F.col("pid"))
+    # ends of windows take their place among the parent's events, each after the events of its time
+    seen = events.join(ends.select(F.col("parent").alias("pid")).distinct(), "pid", "left_semi")
+    told = F.struct("event_id", "sc_type", "resource")
+    none = F.lit(None)
+    rows = seen.select(F.col("pid").alias("parent"), F.col("ts_us").alias("t"), F.lit(0).alias("is_end"), F.col("event_id").alias("o"), told.alias("e"), none.cast("long").alias("child"), none.cast("long").alias("wid"))
+    marks = ends.select("parent", F.col("end_us").alias("t"), F.lit(1).alias("is_end"), F.lit(0).cast("long").alias("o"), none.cast(rows.schema["e"].dataType).alias("e"), F.col("pid").cast("long").alias("child"), F.col("wid").cast("long").alias("wid"))
+    order = Window.partitionBy("parent").orderBy("t", "is_end", "o")
+    # every event is numbered; a mark holds the number of the last one before it
+    numbered = rows.unionByName(marks).withColumn("n", F.sum(1 - F.col("is_end")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = numbered.where("is_end = 1").select("parent", "child", "wid", F.explode(F.sequence(F.lit(1), F.lit(max_parent).cast("long"))).alias("r"), F.col("n").alias("upto"))
+    wanted = wanted.where(F.col("upto") >= F.col("r")).withColumn("n", F.col("upto") - F.col("r") + 1)
+    added = wanted.join(numbered.where("is_end = 0").select("parent", "n", "e"), ["parent", "n"])
+    kinds = dict(windows.dtypes)
+    added = added.select(F.col("child").cast(kinds["pid"]).alias("pid"), F.col("wid").cast(kinds["wid"]).alias("wid"), (-F.col("r")).cast("int").alias("idx"), "e.event_id", "e.sc_type", "e.resource", F.lit(True).alias("from_parent"))
     return windows.select(*by, "idx", "event_id", "sc_type", "resource", F.lit(False).alias("from_parent")).unionByName(added)
 
 
@@ -55,7 +64,18 @@ def drop_unresolved(events: DataFrame) -> DataFrame:
     return events.where(F.col("pid") != 0)
 
 
-def in_trace_order(events: DataFrame) -> DataFrame:
-    """Adds ``g``, the place of an event in its whole trace (from 1), and ``trace_len``."""
-    by = Window.partitionBy("trace_id")
-    return events.withColumn("g", F.row_number().over(by.orderBy(*ORDER)).cast("long")).withColumn("trace_len", F.count("*").over(by))
+def in_trace_order(events: DataFrame, span_us: int = 3_600_000_000) -> DataFrame:
+    """Adds ``g``, the place of an event in its whole trace (from 1), and ``trace_len``.
+
+    A trace may be a whole host, so its events are ordered within spans of time; only the counts of the spans are
+    added up over the trace.
+    """
+    span = F.expr(f"ts_us div {span_us}")
+    counts = events.groupBy("trace_id", span.alias("__span")).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy("trace_id").orderBy("__span")
+    before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.select(F.col("trace_id").alias("__trace"), F.col("__span").alias("__of"), before.alias("__before"), F.sum("__n").over(Window.partitionBy("trace_id")).alias("trace_len"))
+    local = F.row_number().over(Window.partitionBy("trace_id", "__span").orderBy(*ORDER))
+    both = events.withColumn("__span", span).withColumn("__local", local)
+    met = both.join(placed, F.col("trace_id").eqNullSafe(F.col("__trace")) & F.col("__span").eqNullSafe(F.col("__of")))
+    return met.withColumn("g", F.col("__before") + F.col("__local")).drop("__trace", "__of", "__span", "__before", "__local").select(*events.columns, "g", "trace_len")

@@ -397,3 +397,62 @@ put("s108b_worst_scenarios", "SELECT scenario, count(*) AS windows, count(*) FIL
 put("s114_corpus_summary", f"SELECT {WORKLOAD} AS workload, hits >= 3 AS malicious, count(*) AS windows, count(DISTINCT pid) AS processes FROM truth JOIN named USING (pid, wid) GROUP BY ALL")
 put("s063_claimed_resource", f"SELECT doc_id, {claimed('text')} AS resource FROM documents")
 put("s092_tempered", "SELECT pid, CAST(wid AS BIGINT) AS wid, round(1 / (1 + exp(-ln(p / (1 - p)) / 1.5::DOUBLE)), 4) AS confidence FROM (SELECT pid, wid, least(greatest(confidence, 1e-6), 1 - 1e-6) AS p FROM judged) q")
+
+# the facts that tiers are computed from
+CTES["viol"] = "SELECT w.pid, w.wid, count(*) AS n_violations, count(*) FILTER (b.severity = 'CRITICAL') AS n_critical, max(CASE b.severity WHEN 'CRITICAL' THEN 0.95::DOUBLE WHEN 'HIGH' THEN 0.85::DOUBLE ELSE 0.65::DOUBLE END) AS severity FROM broken b JOIN win w ON w.trace_id = b.trace_id AND w.g = b.g GROUP BY ALL"
+CTES["tail64"] = "SELECT a.pid, a.wid, a.ts_us, b.sc_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY a.pid, a.wid) AS total FROM win a JOIN ev b ON a.pid = b.pid AND b.i BETWEEN a.i - 63 AND a.i WHERE a.idx = 19 GROUP BY a.pid, a.wid, a.ts_us, b.sc_type"
+CTES["ended"] = f"SELECT pid, wid, any_value(ts_us) AS ts_us, round(sum({PARTS}), 6) + 0.0 AS entropy FROM tail64 GROUP BY pid, wid"
+CTES["called"] = "SELECT pid, wid, 0.55::DOUBLE * max(CAST(ip <> 0 AND distance > 0 AS INT)) AS callsite_score FROM win JOIN placed USING (ip) GROUP BY ALL"
+CTES["known"] = """SELECT r.*, s.n_nodes, s.n_edges, s.score AS graph_score, coalesce(v.n_violations, 0) AS n_violations, coalesce(v.n_critical, 0) AS n_critical, coalesce(v.severity, 0) AS severity, c.callsite_score, e.entropy, e.ts_us,
+  CASE WHEN r.label = 'MALICIOUS' THEN r.confidence ELSE 1 - r.confidence END AS signed FROM report r JOIN score s USING (pid, wid) LEFT JOIN viol v USING (pid, wid) JOIN called c USING (pid, wid) JOIN ended e USING (pid, wid)"""
+CTES["facts"] = """SELECT *, round(greatest(0, least(0.4::DOUBLE * signed + 0.25::DOUBLE * signed * (1 - hallucination_rate) + 0.2::DOUBLE * least(0.25::DOUBLE * n_critical, 1) + 0.1::DOUBLE * least(n_edges / greatest(n_nodes, 1) / 5.0::DOUBLE, 1) + 0.05::DOUBLE * least(entropy / 4.0::DOUBLE, 1), 1)), 6) AS escalation,
+  CASE WHEN round(confidence, 6) < 0.3 THEN 0 WHEN round(confidence, 6) < 0.5 THEN 1 WHEN round(confidence, 6) < 0.7 THEN 2 WHEN round(confidence, 6) < 0.85 THEN 3 ELSE 4 END AS band FROM known"""
+CTES["audit"] = "SELECT *, CASE WHEN label = 'MALICIOUS' OR round(callsite_score, 6) >= 0.4 THEN band ELSE 0 END AS tier FROM facts"
+CTES["quiet"] = "SELECT escalation FROM facts JOIN truth USING (pid, wid) WHERE hits < 3"
+CTES["bound"] = "SELECT CASE WHEN n >= 10 THEN s[least(ceil((n + 1) * 0.9), n)::INT] END AS q FROM (SELECT count(*) AS n, list_sort(list(escalation)) AS s FROM quiet) z"
+CTES["capped"] = "SELECT f.*, CASE WHEN q IS NULL THEN 0 WHEN escalation <= q THEN 1 ELSE 4 END AS cap FROM facts f, bound"
+CTES["gated"] = """SELECT *, CASE WHEN label = 'MALICIOUS' AND hallucination_rate > 0.5 THEN 0 WHEN label = 'MALICIOUS' AND verified = 0 THEN 1 ELSE 4 END AS cove_cap, CASE WHEN n_critical > 0 AND NOT hallucination_rate > 0.5 THEN 1 ELSE 0 END AS floor,
+  CASE WHEN label = 'MALICIOUS' THEN band ELSE 0 END AS tier0 FROM capped"""
+KEYS = "pid, CAST(wid AS BIGINT) AS wid"
+COVE = "CASE WHEN hallucination_rate > 0.5 THEN 0.29::DOUBLE END"
+put("s068_explainability", f"SELECT r.pid, CAST(r.wid AS BIGINT) AS wid, round(verified / greatest(total, 1) * CASE WHEN n_violations > 0 THEN 1.0 ELSE 0.5 END, 4) AS explainability FROM report r LEFT JOIN viol v USING (pid, wid)")
+FUSED = f"round(least(greatest(graph_score, callsite_score, CASE WHEN severity >= 0.7 THEN severity ELSE 0 END, CASE WHEN label = 'MALICIOUS' THEN confidence ELSE 0 END), coalesce({COVE}, 1e9)), 6)"
+put("s085_fused", f"SELECT *, CASE WHEN fused >= 0.5 THEN 'MALICIOUS' ELSE 'BENIGN' END AS fused_label FROM (SELECT {KEYS}, {FUSED} AS fused FROM facts) q")
+put("s086_audit_adjust", f"SELECT {KEYS}, round(least(verified_confidence + CASE WHEN label = 'MALICIOUS' THEN least(0.1::DOUBLE * n_violations, 0.2::DOUBLE) ELSE 0 END, 1), 6) AS adjusted, {COVE} AS cove_cap FROM facts")
+put("s087_tiers", f"SELECT {KEYS}, tier FROM audit")
+put("s088_escalation", f"SELECT {KEYS}, escalation FROM facts")
+put("s089_calibrated_caps", f"SELECT {KEYS}, cap FROM capped")
+put("s090_pvalues", f"SELECT {KEYS}, round(((SELECT count(*) FROM quiet b WHERE b.escalation >= f.escalation) + 1) / ((SELECT count(*) FROM quiet) + 1), 6) AS p FROM facts f")
+put(
+    "s091_gates",
+    f"""SELECT {KEYS}, cove_cap, floor, least(greatest(least(tier0, cove_cap), floor), cap) AS tier, CASE WHEN cap < greatest(least(tier0, cove_cap), floor) THEN 'calibration' WHEN floor > least(tier0, cove_cap) THEN 'ltl' WHEN cove_cap < tier0 THEN 'cove' END AS capped_by FROM gated""",
+)
+CTES["warm"] = "SELECT i / 10.0::DOUBLE AS t, malicious = flagged_m AS correct, round(1 / (1 + exp(-ln(p / (1 - p)) / (i / 10.0::DOUBLE))), 4) AS c FROM (SELECT *, least(greatest(confidence, 1e-6), 1 - 1e-6) AS p FROM judged) j, range(5, 31) r(i)"
+put(
+    "s093_fitted_temperature",
+    """SELECT t, ece FROM (SELECT t, round(sum(n / total * abs(acc - conf)), 6) AS ece FROM (SELECT t, least(floor(round(c * 10, 6)), 9) AS b, count(*) AS n, sum(count(*)) OVER (PARTITION BY t) AS total, avg(CAST(correct AS DOUBLE)) AS acc, avg(c) AS conf FROM warm GROUP BY t, b) q GROUP BY t) z ORDER BY ece, t LIMIT 1""",
+)
+CTES["bins"] = "SELECT least(floor(round(confidence * 10, 6)), 9) AS b, count(*) AS n, round(abs(round(avg(CAST(malicious = flagged_m AS DOUBLE)), 6) - round(avg(confidence), 6)), 6) AS gap FROM judged GROUP BY ALL"
+put(
+    "s103b_calibration_error",
+    """SELECT ece, CASE WHEN ece < 0.05 THEN 'well calibrated' WHEN ece < 0.1 THEN 'acceptable' WHEN ece < 0.2 THEN 'poor' ELSE 'unreliable' END AS verdict, (SELECT count(*) FROM judged WHERE confidence > 0.8 AND malicious <> flagged_m) AS sure_errors FROM (SELECT round(sum(n * gap) / sum(n), 6) AS ece FROM bins) q""",
+)
+put("s115b_threat_rates", "SELECT ts_us - ts_us % 86400000000 AS start_us, ttp, count(*) AS n FROM (SELECT a.ts_us, unnest(string_split(s.ttps, ',')) AS ttp FROM audit a JOIN said s USING (pid, wid) WHERE a.label = 'MALICIOUS' AND s.ttps <> '') q GROUP BY ALL")
+put("s116b_tier_usage", "SELECT ts_us - ts_us % 86400000000 AS start_us, tier, count(*) AS n FROM audit GROUP BY ALL")
+put("s118_recent", f"SELECT {KEYS}, label, tier, ts_us FROM audit ORDER BY ts_us DESC, pid DESC LIMIT 100")
+put("s118b_status", "SELECT count(*) AS decisions, count(*) FILTER (label = 'MALICIOUS') AS malicious, count(*) FILTER (tier >= 3) AS isolated, max(ts_us) AS last_us FROM audit")
+
+# what a model might have said, requests and answers
+CTES["entity"] = "SELECT pid, wid, unnest(['/etc/shadow', concat('/tmp/stage', pid), concat('185.220.101.', pid % 20, ':4444')]) AS x, unnest([0, 1, 2]) AS k FROM said"
+put("s064_reasoning_claims", f"SELECT {KEYS}, CAST(k AS INT) AS claim_id, x AS event_desc, CASE k WHEN 0 THEN 'T1003' ELSE 'T1071.001' END AS supports, round(1.0::DOUBLE / greatest(CASE WHEN ttps = '' THEN 0 ELSE len(string_split(ttps, ',')) END, 1) / 3, 4) AS contribution FROM entity JOIN said USING (pid, wid)")
+CTES["backed"] = "SELECT e.pid, e.wid, e.x, bool_or(contains(w.resource, x) OR (starts_with(x, '/') AND ends_with(x, w.comm))) AS ok FROM entity e JOIN win w ON e.pid = w.pid AND e.wid = w.wid GROUP BY ALL"
+put(
+    "s067_entity_audit",
+    f"""SELECT {KEYS}, CASE WHEN label = 'BENIGN' OR missing = 0 THEN label ELSE 'BENIGN' END AS label, CASE WHEN label = 'BENIGN' OR missing = 0 THEN confidence ELSE 0 END AS confidence, CAST(entities AS INT) AS entities, CAST(missing AS INT) AS missing
+    FROM said JOIN (SELECT pid, wid, count(*) AS entities, count(*) FILTER (NOT ok) AS missing FROM backed GROUP BY ALL) b USING (pid, wid)""",
+)
+put("s080_requests", f"SELECT {KEYS}, CAST(length(CAST(to_json([{{'role': 'system', 'content': 'Classify the process graph.'}}, {{'role': 'user', 'content': text}}]) AS VARCHAR)) AS INT) AS size, text AS content FROM text")
+put("s080b_responses", f"SELECT {KEYS}, CASE WHEN pid % 5 = 0 THEN 'BENIGN' ELSE label END AS label, CASE WHEN pid % 5 = 0 THEN 0.5::DOUBLE ELSE score END AS confidence FROM said")
+CTES["coord"] = "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"
+CTES["centre"] = "SELECT i, avg(x) FILTER (label = 1) AS m, avg(x) FILTER (label <> 1) AS o FROM coord GROUP BY i"
+put("s083_centroid_divergence", "SELECT vec_id, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0.5 END, 6) AS divergence FROM (SELECT vec_id, sqrt(sum((x - m) * (x - m))) AS a, sqrt(sum((x - o) * (x - o))) AS b FROM coord JOIN centre USING (i) GROUP BY vec_id) q")

@@ -89,7 +89,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored windows with their true label: the flagship."""
     w = windows.tumbling_windows(kernel_events(spark, sf_dir))
     edges = graph.edges(w)
-    found = graph.provenance_score(graph.meta(w, edges), edges)
+    found = graph.provenance_score(w, edges)
     return found.join(joins.window_truth(w, attack_windows(spark)), graph.KEY)
 
 
@@ -125,7 +125,7 @@ class Chain:
 
     def scored(self) -> DataFrame:
         edges = graph.edges(self.windows)
-        return graph.provenance_score(graph.meta(self.windows, edges), edges)
+        return graph.provenance_score(self.windows, edges)
 
     def texts(self) -> DataFrame:
         return graph.serialized(self.windows)
