@@ -211,7 +211,7 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     ``words`` has distinct, non-null ``word``s of at most LATTICE characters. An edge goes from character ``s`` to ``e``. For unigram
     all single characters have an edge, too, and an edge has its ``gain``. For bpe the array is in the order of merges, ``m`` is where the
-    two halves of a piece meet, and words without pieces of two characters or more are left out.
+    two halves of a piece meet, and words without pieces of two characters or more, or with more than MERGES, are left out.
     """
     spark = words.sparkSession
     bpe = vocabulary.kind == "bpe"
@@ -241,7 +241,7 @@ def lattice(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return met.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
     # an edge travels as one long, in the order of merges: rank (19 bits), place (7), end (7), begin from behind (7), length of the left half (5), id (18)
     packed = F.expr("shiftleft(rank, 44) + shiftleft(s + place, 37) + shiftleft(CAST(s + n AS BIGINT), 30) + shiftleft(127L - s, 23) + shiftleft(half, 18) + id")
-    held = named.join(piece_table, "piece").groupBy("word").agg(F.sort_array(F.collect_list(packed)).alias("packed"))
+    held = named.join(piece_table, "piece").groupBy("word").agg(F.sort_array(F.collect_list(packed)).alias("packed")).where(F.size("packed") <= MERGES)
     begin = "CAST(127 - (shiftright(x, 23) & 127) AS INT)"
     fields = f"""transform(packed, x -> named_struct('s', {begin}, 'e', CAST(shiftright(x, 30) & 127 AS INT),
         'm', {begin} + CAST(shiftright(x, 18) & 31 AS INT), 'id', CAST(x & 262143 AS INT)))"""
@@ -297,7 +297,7 @@ def segmented(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     point = lambda e: -F.ascii(F.substring(F.col("word"), e, F.lit(1))) - 1
     single = F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda e: F.struct(e.alias("e"), (e - 1).alias("s"), F.lit(0).cast("long").alias("gain"), point(e).alias("id")))
     every = F.sort_array(F.concat(single, _once(F.col("edges"), _with_gains)))
-    return cut.where(F.size("edges") <= MERGES).select("word", _viterbi(every, F.lit(0).cast("long")).alias("ids"))
+    return cut.select("word", _viterbi(every, F.lit(0).cast("long")).alias("ids"))
 
 
 def resolved(ids: pa.ListArray, vocabulary: Vocabulary) -> pa.ListArray:
