@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,20 +70,27 @@ def with_rates(counts: DataFrame) -> DataFrame:
 
 
 def bootstrap_interval(results: DataFrame, resamples: int = 1000, seed: int = 42, level: float = 0.95) -> DataFrame:
-    """Percentile intervals of tpr, fpr and accuracy.
+    """Percentile intervals of tpr, fpr, precision, f1 and accuracy over resamples of the rows, drawn with replacement.
 
-    The rows are first counted into the four cells; each resample reweighs the cells by normal approximations of Poisson
-    counts, so the work doesn't grow with the rows.
+    A resample of n rows is a multinomial draw of n over the four cells, so only the cells (one row) are resampled and the work
+    doesn't grow with the rows. Each resample has its own generator, so the result is the same on any partitioning.
     """
     cells = confusion(results).select("tp", "fp", "tn", "fn")
-    ids = results.sparkSession.range(resamples)
-    draw = lambda c, k: F.greatest(F.lit(0.0), F.col(c) + F.sqrt(F.col(c).cast("double")) * F.randn(seed + k)).alias(c)
-    drawn = ids.join(F.broadcast(cells)).select("id", *(draw(c, k) for k, c in enumerate(("tp", "fp", "tn", "fn"))))
-    total = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
-    values = {"tpr": F.col("tp") / F.greatest(F.col("tp") + F.col("fn"), F.lit(1e-9)), "fpr": F.col("fp") / F.greatest(F.col("fp") + F.col("tn"), F.lit(1e-9)), "accuracy": (F.col("tp") + F.col("tn")) / F.greatest(total, F.lit(1e-9))}
-    long = drawn.select("id", *(v.alias(n) for n, v in values.items())).unpivot(["id"], list(values), "metric", "value")
+
+    def drawn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for i, *counts in batch[["id", "tp", "fp", "tn", "fn"]].itertuples(index=False):
+                n = sum(counts)
+                rows.append((i, *np.random.default_rng([seed, i]).multinomial(n, [c / n for c in counts] if n else [0.25] * 4)))
+            yield pd.DataFrame(rows, columns=["id", "tp", "fp", "tn", "fn"])
+
+    # one row against a fixed number of resamples
+    ids = results.sparkSession.range(resamples).join(F.broadcast(cells))
+    rates = with_rates(ids.mapInPandas(drawn, "id long, tp long, fp long, tn long, fn long"))
+    long = rates.unpivot(["id"], ["tpr", "fpr", "precision", "f1", "accuracy"], "metric", "value")
     tail = (1 - level) / 2
-    return long.groupBy("metric").agg(F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"))
+    return long.groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"), F.percentile("value", tail).alias("low"), F.percentile("value", 1 - tail).alias("high"))
 
 
 def reliability(results: DataFrame) -> DataFrame:
