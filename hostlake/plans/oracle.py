@@ -123,11 +123,9 @@ put(
       FROM (SELECT pid, wid, arg_min(ppid, idx) AS parent, max(ts_us) AS end_us FROM win GROUP BY ALL) e JOIN ev p ON p.pid = e.parent AND p.ts_us <= e.end_us WHERE e.parent <> e.pid) q WHERE r <= 5""",
 )
 put("s019_drop_unresolved", "SELECT event_id FROM ke WHERE pid <> 0")
-put(
-    "s020_sliding_max_entropy",
-    f"""SELECT trace_id, round(max(h), 6) + 0.0 AS max_entropy FROM (SELECT trace_id, g, sum({PARTS}) AS h FROM (SELECT a.trace_id, a.g, b.sc_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY a.trace_id, a.g) AS total
-    FROM ev a JOIN ev b ON a.trace_id = b.trace_id AND b.g BETWEEN a.g - 19 AND a.g WHERE a.g >= least(a.trace_len, 20) GROUP BY a.trace_id, a.g, b.sc_type) q GROUP BY ALL) z GROUP BY trace_id""",
-)
+CTES["sliding"] = f"""SELECT trace_id, round(max(h), 6) + 0.0 AS max_entropy FROM (SELECT trace_id, g, sum({PARTS}) AS h FROM (SELECT a.trace_id, a.g, b.sc_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY a.trace_id, a.g) AS total
+    FROM ev a JOIN ev b ON a.trace_id = b.trace_id AND b.g BETWEEN a.g - 19 AND a.g WHERE a.g >= least(a.trace_len, 20) GROUP BY a.trace_id, a.g, b.sc_type) q GROUP BY ALL) z GROUP BY trace_id"""
+put("s020_sliding_max_entropy", "SELECT * FROM sliding")
 put("s021_rtype", f"SELECT {RTYPE} AS rtype, sc_type, count(*) AS n FROM ke GROUP BY ALL")
 put("s022_syscall_label", f"SELECT {LABEL} AS label, sc_type, count(*) AS n FROM ke GROUP BY ALL")
 put("s023_external_routable", f"SELECT resource, {external('resource')} AS external, count(*) AS n FROM ke GROUP BY ALL")
@@ -135,11 +133,9 @@ put("s024_sensitive", f"SELECT event_id FROM ke WHERE {starts('resource', C.SENS
 put("s025_hard_trigger", f"SELECT event_id, sc_type = 10 AS renamed FROM ke WHERE {has_any('resource', C.HARD_TRIGGERS)} OR sc_type = 10")
 put("s026_semantic", f"SELECT event_id, {SEM_LABEL} AS label, {SEM_TTPS} AS ttps, {SEM_RISK} AS risk, {SEM_BENIGN} AS benign FROM ke")
 put("s027_semantic_compact", f"SELECT {COMPACT} AS line, count(*) AS n FROM ke GROUP BY ALL")
-put(
-    "s028_resource_category",
-    """SELECT event_id, CASE WHEN sc_type IN (3, 4) THEN 2 WHEN sc_type = 0 THEN 3 WHEN sc_type IN (8, 9) THEN 4 WHEN regexp_matches(resource, '/etc/shadow|/etc/passwd|/\\.ssh/|/proc/self') THEN 5
-    WHEN regexp_matches(resource, '/tmp/|/dev/shm/') THEN 6 WHEN sc_type = 1 THEN 0 WHEN sc_type = 2 THEN 1 ELSE 7 END AS category FROM ke""",
-)
+CATEGORY = """CASE WHEN sc_type IN (3, 4) THEN 2 WHEN sc_type = 0 THEN 3 WHEN sc_type IN (8, 9) THEN 4 WHEN regexp_matches(resource, '/etc/shadow|/etc/passwd|/\\.ssh/|/proc/self') THEN 5
+    WHEN regexp_matches(resource, '/tmp/|/dev/shm/') THEN 6 WHEN sc_type = 1 THEN 0 WHEN sc_type = 2 THEN 1 ELSE 7 END"""
+put("s028_resource_category", f"SELECT event_id, {CATEGORY} AS category FROM ke")
 put("s029_ip_region", "SELECT CASE WHEN ip = 0 THEN 'UNKNOWN' WHEN ip >= 4194304 AND ip < 4195304 THEN 'TEXT' WHEN ip BETWEEN 27021597764222976 AND 36028797018963967 THEN 'HEAP_MMAP' ELSE 'UNKNOWN' END AS region, ip, count(*) AS n FROM ke GROUP BY ALL")
 put(
     "s030_predicates",
@@ -456,3 +452,41 @@ put("s080b_responses", f"SELECT {KEYS}, CASE WHEN pid % 5 = 0 THEN 'BENIGN' ELSE
 CTES["coord"] = "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings"
 CTES["centre"] = "SELECT i, avg(x) FILTER (label = 1) AS m, avg(x) FILTER (label <> 1) AS o FROM coord GROUP BY i"
 put("s083_centroid_divergence", "SELECT vec_id, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0.5 END, 6) AS divergence FROM (SELECT vec_id, sqrt(sum((x - m) * (x - m))) AS a, sqrt(sum((x - o) * (x - o))) AS b FROM coord JOIN centre USING (i) GROUP BY vec_id) q")
+
+# labels, samples and comparisons of classifiers
+CTES["tag"] = f"SELECT *, split_part(resource, ':', 1) IN ('185.220.101.4', '185.220.101.7') AS c2, {has_any('resource', C.MALWARE_PATHS)} AS bad FROM hit"
+CTES["c2pid"] = "SELECT DISTINCT pid FROM tag WHERE c2"
+CTES["above"] = " UNION ".join(
+    f"SELECT p{d}.ppid AS pid FROM c2pid f " + " ".join(f"JOIN up p{i} ON p{i}.pid = {'f.pid' if i == 1 else f'p{i - 1}.ppid'} AND p{i}.ppid <> p{i}.pid" for i in range(1, d + 1)) for d in range(1, 9)
+)
+CTES["seen_in"] = "SELECT pid, wid, count(attack) AS hits, arg_min(attack, idx) FILTER (attack IS NOT NULL) AS attack, lower(arg_min(comm, idx)) AS comm, bool_or(c2) AS c2, bool_or(bad) AS malware FROM tag GROUP BY ALL"
+CTES["labelled"] = f"""SELECT {KEYS}, hits, comm, c2, malware, malicious, CASE WHEN malicious THEN coalesce(attack, CASE WHEN c2 THEN 'c2_detected' WHEN malware THEN 'malware_detected' ELSE '' END) ELSE '' END AS name
+  FROM (SELECT *, c2 OR malware OR hits >= 3 AND comm IN ('nginx', 'vugefal') AS malicious FROM (SELECT * REPLACE (c2 OR NOT malware AND pid IN (SELECT pid FROM above) AS c2) FROM seen_in) q) z"""
+put("s099_label_windows", "SELECT * FROM labelled")
+put(
+    "s100_stratified_sample",
+    "SELECT pid, wid, malicious, name FROM labelled QUALIFY row_number() OVER (PARTITION BY malicious ORDER BY CASE name WHEN 'c2_detected' THEN 0 WHEN 'malware_detected' THEN 1 ELSE 3 END, pid, wid) <= 50",
+)
+CTES["two_ways"] = "SELECT count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c FROM (SELECT malicious = flagged_m AS x, (r.score >= 0.3) = malicious AS y FROM judged j JOIN ruled r USING (pid, wid)) q"
+put(
+    "s104_mcnemar",
+    "SELECT b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) FROM range(100000) r(i) WHERE i <= least(b, c))) END, 6) AS p FROM two_ways",
+)
+CTES["of_trace"] = "SELECT trace_id, bool_or(malicious) AS malicious, bool_or(flagged_m) AS flagged FROM judged JOIN (SELECT DISTINCT pid, wid, trace_id FROM win) w USING (pid, wid) GROUP BY ALL"
+put(
+    "s107_entropy_sweep",
+    f"SELECT *, {RATES} FROM (SELECT threshold, {CELLS.format('f')}, count(*) FILTER (skipped) AS skipped FROM (SELECT threshold, malicious, flagged AND max_entropy >= threshold AS f, max_entropy < threshold AS skipped FROM of_trace JOIN sliding USING (trace_id) CROSS JOIN (VALUES (1.2::DOUBLE), (1.5::DOUBLE), (2.0::DOUBLE)) v(threshold)) q GROUP BY ALL) z",
+)
+CTES["ablated"] = """SELECT s.pid, s.wid, s.score, h.label = 'MALICIOUS' AS outside, t.hits >= 3 AS malicious, coalesce(v.n_violations, 0) > 0 AS violated, r.hallucination_rate > 0.1 AS unsure, c.callsite_score >= 0.4 AS astray, s.score > 0.15 AND s.score < 0.55 AS gray,
+  CASE WHEN s.score >= 0.55 THEN true WHEN s.score <= 0.15 THEN false ELSE h.label = 'MALICIOUS' END AS hybrid FROM score s JOIN said h USING (pid, wid) JOIN truth t USING (pid, wid) LEFT JOIN viol v USING (pid, wid) JOIN report r USING (pid, wid) JOIN called c USING (pid, wid)"""
+CTES["modes"] = """SELECT 'llm_only' AS mode, malicious, outside AS f, true AS asked FROM ablated UNION ALL SELECT 'graph_only', malicious, score >= 0.5, false FROM ablated UNION ALL SELECT 'hybrid', malicious, hybrid, gray FROM ablated
+  UNION ALL SELECT 'hybrid_ltl', malicious, hybrid OR violated, gray FROM ablated UNION ALL SELECT 'full', malicious, (hybrid OR violated) AND NOT (gray AND unsure), gray FROM ablated"""
+put("s109_ablation", f"SELECT *, {RATES} FROM (SELECT mode, {CELLS.format('f')}, count(*) FILTER (asked) AS calls FROM modes GROUP BY ALL) q")
+put(
+    "s110_layered",
+    "SELECT count(*) AS attacks, count(*) FILTER (outside OR violated OR astray) AS found, count(*) FILTER (outside AND NOT violated AND NOT astray) AS model_only, count(*) FILTER (violated AND NOT outside AND NOT astray) AS rules_only, count(*) FILTER (astray AND NOT outside AND NOT violated) AS callsite_only FROM ablated WHERE malicious",
+)
+CTES["figures"] = f"SELECT {RATES} FROM (SELECT {CELLS.format('flagged_m')} FROM judged) q"
+CTES["claims_of"] = "SELECT 'tpr' AS metric, round(tpr, 3) AS value, tpr AS found, 3 AS digits FROM figures UNION ALL SELECT 'fpr', fpr + 0.2::DOUBLE, fpr, 3 FROM figures UNION ALL SELECT 'accuracy', round(accuracy, 2), accuracy, 2 FROM figures UNION ALL SELECT 'other', 0.5::DOUBLE, NULL, 2"
+put("s113_reconciled", "SELECT metric, value, found, coalesce(floor(found * power(10, digits) + 0.5) = floor(value * power(10, digits) + 0.5), false) AS passed FROM claims_of")
+put("s082_behaviour_vectors", f"SELECT {KEYS}, round(avg((sc_type % 16) / 16), 6) AS v1, round(avg(ln(distance + 1.0::DOUBLE) / 30), 6) AS v2, round(avg(({CATEGORY}) / 8), 6) AS v3 FROM win JOIN placed USING (ip) GROUP BY ALL")

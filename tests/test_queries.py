@@ -7,7 +7,7 @@ import pytest
 from hostlake.plans.oracle import ORACLE
 from hostlake.plans.queries import QUERIES
 
-LIGHT = [n for n in ORACLE if n[:4] in {"s001", "s002", "s004", "s014", "s015", "s016", "s018", "s020", "s023", "s025", "s026", "s028", "s032", "s033", "s034", "s035", "s036", "s038", "s039", "s043", "s045", "s046", "s048", "s057", "s062", "s067", "s069", "s071", "s072", "s075", "s076", "s080", "s085", "s094", "s095", "s096", "s117"}]
+LIGHT = [n for n in ORACLE if n[:4] in {"s001", "s002", "s004", "s014", "s015", "s016", "s018", "s020", "s023", "s025", "s026", "s028", "s032", "s033", "s034", "s035", "s036", "s038", "s039", "s043", "s045", "s046", "s048", "s057", "s062", "s067", "s069", "s071", "s072", "s075", "s076", "s080", "s085", "s094", "s095", "s096", "s099", "s100", "s104", "s109", "s113", "s117"}]
 
 
 def plain(v):
