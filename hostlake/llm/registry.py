@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("simhash", "gif", "toxicity", "quotes", "pstable", "pieces", "language", "mixing", "substring", "quality", "repair", "divergence")
+MODULES = ("simhash", "gif", "toxicity", "quotes", "pstable", "pieces", "language", "mixing", "substring", "quality", "repair", "divergence", "blocks")
 
 
 def _gather(name: str) -> dict:
