@@ -214,16 +214,16 @@ def distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
     """``lang``, ``source``, ``item``, ``value``: for each two sources of a language, the sum over all kept terms of the difference of their shares.
 
     ``shares``: ``lang``, ``source``, ``ordinal``, ``p`` of terms that occur; ``groups``: ``lang``, ``source``, ``kinds`` and ``p0``, the share of a term that doesn't.
+    Both have ``sources``, the number of sources of the language.
     A block of ordinals of one language meets in a task as a bounded matrix; rows are compared with a tile of rows at a time.
     """
-    sources = groups.groupBy("lang").agg(F.count("*").alias("sources"))
-    wide = groups.join(sources, "lang").withColumn("block_size", F.greatest(F.lit(64), F.least(F.lit(4096), F.floor(F.lit(CELLS) / F.col("sources")))))
-    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / TILE)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
-    members = wide.withColumn("no", place).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("kinds") - 1) / F.col("block_size"))))))
-    members = members.withColumn("tile", tiles).select("lang", "block", "tile", "source", "no", "kinds", "block_size", F.lit(-1).cast("long").alias("ordinal"), F.col("p0").alias("p"))
-    sizes = wide.groupBy("lang").agg(F.first("block_size").alias("block_size"), F.first("sources").alias("sources"))
-    cells = shares.join(sizes, "lang").withColumn("block", F.floor(F.col("ordinal") / F.col("block_size"))).withColumn("tile", tiles)
+    size = F.greatest(F.lit(64), F.least(F.lit(4096), F.floor(F.lit(CELLS) / F.col("sources")))).alias("block_size")
+    tiles = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / TILE))).alias("tile")
+    place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("no")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("kinds") - 1) / F.col("block_size"))))).alias("block")
+    members = groups.select("*", size, place).select("*", blocks).select("*", tiles)
+    members = members.select("lang", "block", "tile", "source", "no", "kinds", "block_size", F.lit(-1).cast("long").alias("ordinal"), F.col("p0").alias("p"))
+    cells = shares.select("*", size).withColumn("block", F.floor(F.col("ordinal") / F.col("block_size"))).select("*", tiles)
     none = F.lit(None).cast("long")
     cells = cells.select("lang", "block", "tile", "source", none.alias("no"), none.alias("kinds"), "block_size", "ordinal", "p")
 
@@ -266,11 +266,12 @@ def source_audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, run: i
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     kinds = words.groupBy("lang").agg(F.sum("n").alias("kinds"))
     groups = clean.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(kinds, "lang", "left").na.fill(0, ["total", "kinds"])
-    groups = staged(groups.withColumn("total_lang", F.sum("total").over(Window.partitionBy("lang"))))
+    of_lang = Window.partitionBy("lang")
+    groups = staged(groups.withColumn("total_lang", F.sum("total").over(of_lang)).withColumn("sources", F.count("*").over(of_lang)))
     p0 = F.when(F.col("kinds") > 0, share(F.lit(0), F.col("total"), F.col("kinds"))).otherwise(0)
     shares = counts.join(groups, ["lang", "source"]).withColumn("p", share(F.col("n"), F.col("total"), F.col("kinds")))
     order = Window.partitionBy("lang", "source")
-    pairs = distances(shares.select("lang", "source", "ordinal", "p"), groups.withColumn("p0", p0))
+    pairs = distances(shares.select("lang", "source", "ordinal", "p", "sources"), groups.withColumn("p0", p0))
     pairs = pairs.withColumn("rank", F.row_number().over(order.orderBy(F.desc("value"), "item"))).withColumn("part", F.lit("pair"))
     above = shares.withColumn("value", F.col("p") - share(F.col("n_lang"), F.col("total_lang"), F.col("kinds"))).where("n > 0 AND value > 0").select("lang", "source", "ordinal", "value")
     top = above.withColumn("rank", F.row_number().over(order.orderBy(F.desc("value"), "ordinal"))).where(F.col("rank") <= ranks)
