@@ -54,6 +54,11 @@ def default_sequels() -> list[Sequel]:
     ]
 
 
+def staged_hit() -> Column:
+    """Execution from a place where anyone may write."""
+    return E.execve("/tmp/") | E.execve("/dev/shm/")
+
+
 OUT = ["trace_id", "pid", "g", "at_g", "axiom", "severity"]
 
 
@@ -81,7 +86,7 @@ def _found(events: DataFrame, forbidden: list[Forbidden] = (), following: list[S
             bad = at.isNull() & (F.col("trace_len") - F.col("g") + 1 > rule.window)
         found.append(F.when(rule.trigger & bad, F.array(violation(rule.name, rule.severity, F.col("g"), at))))
     if staged:
-        hit = E.execve("/tmp/") | E.execve("/dev/shm/")
+        hit = staged_hit()
         # of later events first, the next row is the one before
         names["__again"] = F.coalesce((F.lead("g").over(later) == F.col("g") - 1) & ~F.lead(hit).over(later), F.lit(False))
         once = violation("AX-4", "HIGH", F.col("g"), F.col("g"))

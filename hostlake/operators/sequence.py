@@ -65,6 +65,18 @@ def first_seen(events: DataFrame, keys: list[str], out: str) -> DataFrame:
     return events.join(renamed, on).withColumn(out, F.struct(*ORDER) == F.col("__first")).drop("__first", *(f"__{k}" for k in keys))
 
 
+def early_trigger(bad_site, flagged):
+    """What speaks for an event before its process's window is looked at, or null."""
+    return F.when(bad_site, "callsite").when(is_hard_trigger(F.col("resource")), "hard_trigger").when(flagged, "flagged_parent")
+
+
+def late_trigger(config=DEFAULT):
+    """What entropies and novelty say of an event that reaches them."""
+    low = F.col("entropy") < config.entropy_low
+    quiet = low & (F.col("markov_entropy") < config.entropy_low) & ~F.col("novel_edge") & ~F.col("novel_transition")
+    return F.when(quiet, "skip").when(F.col("novel_transition"), "novel_transition").when(F.col("novel_edge"), "novel_edge").when(low, "markov").otherwise("entropy")
+
+
 def triage(events: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFrame | None = None, config=DEFAULT, legacy: bool = False) -> DataFrame:
     """The gate: adds ``entropy``, ``markov_entropy``, ``novel_edge``, ``novel_transition`` and ``trigger`` ('skip' where nothing speaks for the event).
 
@@ -79,17 +91,12 @@ def triage(events: DataFrame, flagged: DataFrame | None = None, bad_sites: DataF
             seen = seen.withColumn(name, F.lit(False))
         else:
             seen = seen.join(table.select("event_id", F.lit(True).alias(name)).distinct(), "event_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
-    early = F.when(F.col("bad_site"), "callsite").when(is_hard_trigger(F.col("resource")), "hard_trigger").when(F.col("flagged"), "flagged_parent").when(F.col("filled") < config.window, "skip")
+    early = F.coalesce(early_trigger(F.col("bad_site"), F.col("flagged")), F.when(F.col("filled") < config.window, "skip"))
     seen = seen.withColumn("early", early)
     reached = seen.where(F.col("early").isNull())
     novel = first_seen(first_seen(reached, ["comm", "sc_type"], "novel_edge"), ["comm", "prev", "sc_type"], "novel_transition").select("event_id", "novel_edge", "novel_transition")
     both = seen.join(novel, "event_id", "left").na.fill(False, ["novel_edge", "novel_transition"])
-    low = F.col("entropy") < config.entropy_low
-    if legacy:
-        late = F.when(low, "skip").otherwise("entropy")
-    else:
-        quiet = low & (F.col("markov_entropy") < config.entropy_low) & ~F.col("novel_edge") & ~F.col("novel_transition")
-        late = F.when(quiet, "skip").when(F.col("novel_transition"), "novel_transition").when(F.col("novel_edge"), "novel_edge").when(low, "markov").otherwise("entropy")
+    late = F.when(F.col("entropy") < config.entropy_low, "skip").otherwise("entropy") if legacy else late_trigger(config)
     return both.withColumn("trigger", F.coalesce("early", late)).drop("early", "filled", "flagged", "bad_site", "transition")
 
 

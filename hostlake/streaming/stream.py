@@ -1,20 +1,11 @@
-"""Structured Streaming jobs: keyed statistics, rollups with late data, and the audit sink."""
+"""Structured Streaming jobs without state of their own making: source, rollups, first-seen sets, flags and the audit sink. See ``stateful`` for the others."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
-from math import log2
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from hostlake.operators import graph, scores, tiers, windows
-from hostlake.operators.rules import Forbidden
-
 
 def rollup(events: DataFrame, minutes: int = 60, late: str = "10 minutes") -> DataFrame:
     """Events per interval and class; ``events`` has ``ts`` (timestamp) and ``sc_type``. Intervals close once the watermark has passed."""
@@ -26,87 +17,6 @@ def source(spark: SparkSession, path: str, schema: StructType, files_per_trigger
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _bits(values: list) -> float:
-    return -sum(c / len(values) * log2(c / len(values)) for c in Counter(values).values())
-
-
-def entropies(events: DataFrame, w: int = 64, window: int = 20, idle: str = "1 hour") -> DataFrame:
-    """Per event: ``prev`` (class before), bits of the class over the pid's last ``w`` events, the entropy rate of its last
-    ``w`` transitions, and ``filled`` (how many of the last ``window`` events there are).
-
-    The state of a pid is its last ``w`` + 1 classes; it goes when the pid has been idle (event time, by ``ts`` and a watermark set by the caller).
-    Within a batch events are sorted by (ts_us, event_id).
-    """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts_us", "event_id"])
-        recent = list(state.get[0]) if state.exists else []
-        out = []
-        for sc in rows["sc_type"].tolist():
-            recent = [*recent, int(sc)][-(w + 1) :]
-            pairs = list(zip(recent, recent[1:], strict=False))
-            # H(next | class) = H(pairs) - H(first of a pair)
-            rate = _bits(pairs) - _bits([a for a, _ in pairs]) if pairs else 0.0
-            out.append((recent[-2] if len(recent) > 1 else None, round(_bits(recent[-w:]), 6) + 0.0, round(rate, 6) + 0.0, min(len(recent), window)))
-        state.update((recent,))
-        state.setTimeoutTimestamp(max(int(rows["ts_us"].max() // 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        prev, bits, rates, filled = zip(*out, strict=True)
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "pid": key[0], "prev": pd.array(prev, "Int32"), "entropy": bits, "markov_entropy": rates, "filled": filled})
-
-    schema = "event_id long, pid long, prev int, entropy double, markov_entropy double, filled int"
-    return events.groupBy("pid").applyInPandasWithState(step, schema, "recent array<int>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def monitor(events: DataFrame, rules: list[Forbidden], idle: str = "1 hour") -> DataFrame:
-    """Violations of ``rules`` as they happen: what rules.forbidden_sequences finds in the whole trace.
-
-    ``events`` has ``g``, the event's place in its trace, given by its source; a process's events arrive in that order from batch to
-    batch (within one they are sorted). The state of a process holds the triggers that still wait; those out of their rule's window are dropped,
-    and all of them when the process has been idle (event time, by ``ts`` and a watermark set by the caller).
-    """
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-    spans, names, grades = [r.window for r in rules], [r.name for r in rules], [r.severity for r in rules]
-    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
-    sides = lambda side: F.array(*(flag(getattr(r, side)) for r in rules))
-    # only events that some rule names reach Python
-    marked = events.select("trace_id", "pid", "g", "ts", sides("trigger").alias("starts"), sides("forbidden").alias("ends"))
-    marked = marked.where(F.array_contains("starts", 1) | F.array_contains("ends", 1))
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("g")
-        waiting: list[list[int]] = [[] for _ in spans]
-        if state.exists:
-            for rule, g in zip(*state.get, strict=True):
-                waiting[rule].append(g)
-        found = []
-        for g, starts, ends in zip(rows["g"].tolist(), rows["starts"], rows["ends"], strict=True):
-            for i, span in enumerate(spans):
-                if span:
-                    waiting[i] = [at for at in waiting[i] if g - at <= span]
-                if ends[i]:
-                    found += [(at, g, names[i], grades[i]) for at in waiting[i]]
-                    waiting[i] = []
-                if starts[i]:
-                    waiting[i].append(g)
-        state.update(([i for i, held in enumerate(waiting) for _ in held], [g for held in waiting for g in held]))
-        state.setTimeoutTimestamp(max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle_ms)
-        out = pd.DataFrame(found, columns=["g", "at_g", "axiom", "severity"])
-        out.insert(0, "pid", key[1])
-        out.insert(0, "trace_id", key[0])
-        yield out
-
-    kind = events.schema["trace_id"].dataType.simpleString()
-    schema = f"trace_id {kind}, pid long, g long, at_g long, axiom string, severity string"
-    return marked.groupBy("trace_id", "pid").applyInPandasWithState(step, schema, "rule array<int>, g array<long>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def first_seen(events: DataFrame, keys: tuple[str, ...] = ("comm", "sc_type"), late: str = "10 minutes") -> DataFrame:
     """The first event of each value of ``keys`` within the watermark."""
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
@@ -121,20 +31,6 @@ def flagged(events: DataFrame, verdicts: DataFrame, seconds: int = 120, late: st
     return left.join(right, on).drop("bad_pid", "bad_ts", "__who").dropDuplicatesWithinWatermark(["event_id"])
 
 
-def staged(events: DataFrame, path: str, checkpoint: str):
-    """A query that cuts each batch into windows, scores, classifies and routes them, and appends decisions with their tier as JSON under
-    ``path``/decisions, once per batch. A window doesn't reach over batches, and events that don't fill one are not decided."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        cut = windows.tumbling_windows(batch)
-        scored = graph.provenance_score(cut, graph.edges(cut))
-        decided = scores.routed(scored, scores.heuristic(graph.serialized(cut)))
-        tier = tiers.tier_of(F.col("confidence"), F.col("label"))
-        decided.withColumn("tier", tier).write.mode("overwrite").json(f"{path}/decisions/batch={batch_id}")
-
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def audit_sink(audit: DataFrame, path: str, checkpoint: str):
     """A query that appends audit records as JSON and incidents beside them, once per batch: the batch id is part of the path, so a repeated batch replaces itself."""
 

@@ -4,7 +4,7 @@ import json
 import time
 
 import numpy as np
-from hostlake.operators import evaluate, graph, rules, scores, sequence, windows
+from hostlake.operators import evaluate
 from hostlake.sources import readers
 from hostlake.sources.adapter import kernel_events
 from hostlake.streaming import stream
@@ -78,12 +78,6 @@ def test_streams_equal_batch(spark, sf, tmp_path):
         query.awaitTermination()
         return spark.table(name)
 
-    got = {r.event_id: r.entropy for r in run(stream.entropies(source.withWatermark("ts", "1 day")), "entropies").collect()}
-    want = {r.event_id: r.entropy for r in sequence.marginal_entropy(events).collect()}
-    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in got) < 2e-6
-    rates = {r.event_id: r for r in spark.table("entropies").collect()}
-    batch = sequence.markov_entropy(events).collect()
-    assert all(rates[r.event_id].prev == r.prev and abs(rates[r.event_id].markov_entropy - r.markov_entropy) < 2e-6 for r in batch)
     rolled = run(stream.rollup(source), "rolled")
     whole = events.groupBy(F.window("ts", "60 minutes")["start"].alias("start"), "sc_type").agg(F.count("*").alias("n"))
     assert rolled.count() > 0 and rolled.join(whole, ["start", "sc_type", "n"], "left_anti").count() == 0
@@ -108,20 +102,6 @@ def finished(df, name, folder):
     return df.sparkSession.table(name).collect()
 
 
-def test_monitor_equals_batch_rules(spark, tmp_path):
-    kinds = [("nginx", 0, "/bin/bash"), ("x", 10, ""), ("x", 1, "/etc/shadow"), ("x", 7, "uid=1000->0"), ("x", 3, "1.2.3.4:80"), ("x", 1, "/var/a")]
-    schema = "event_id long, ts_us long, trace_id string, pid long, ppid long, comm string, sc_type int, resource string"
-    rows = [(i, 10**12 + i * 1000, "ab"[i % 2], i * i % 3, 1, *kinds[i * i * 31 // 7 % len(kinds)]) for i in range(300)]
-    events = spark.createDataFrame(rows, schema)
-    placed = windows.in_trace_order(events).withColumn("ts", F.timestamp_micros("ts_us"))
-    live = stream.monitor(replayed(spark, placed, f"{tmp_path}/in", "g", 4).withWatermark("ts", "1 day"), rules.default_rules())
-    found = rules.forbidden_sequences(events, rules.default_rules()[0])
-    for rule in rules.default_rules()[1:]:
-        found = found.unionByName(rules.forbidden_sequences(events, rule))
-    got = finished(live, "monitor", tmp_path)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, found.collect())) and len({r.axiom for r in got}) == 3
-
-
 def test_flags_reach_children(spark, tmp_path):
     events = spark.createDataFrame([(1, 5, 1, 10), (2, 6, 5, 20), (3, 7, 1, 20), (4, 5, 1, 200), (5, 5, 5, 30)], "event_id long, pid long, ppid long, s long").withColumn("ts", F.timestamp_seconds("s"))
     verdicts = spark.createDataFrame([(5, 5), (5, 8)], "bad_pid long, s long").select("bad_pid", F.timestamp_seconds("s").alias("bad_ts"))
@@ -129,16 +109,6 @@ def test_flags_reach_children(spark, tmp_path):
     assert sorted(r.event_id for r in finished(live, "flags", tmp_path)) == [1, 2, 5]
 
 
-def test_staged_query_decides_as_batch(spark, sf, tmp_path):
-    events = kernel_events(spark, sf).withColumn("ts", F.timestamp_micros("ts_us"))
-    events.coalesce(1).write.parquet(f"{tmp_path}/e")
-    stream.staged(stream.source(spark, f"{tmp_path}/e", events.schema), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    cut = windows.tumbling_windows(events)
-    want = scores.routed(graph.provenance_score(cut, graph.edges(cut)), scores.heuristic(graph.serialized(cut)))
-    got = spark.read.json(f"{tmp_path}/out/decisions")
-    assert sorted((r.pid, r.wid, r.label) for r in got.collect()) == sorted((r.pid, r.wid, r.label) for r in want.collect())
-
-
 def test_bootstrap_against_rows_drawn_one_by_one(spark):
     pairs = [(True, True)] * 6 + [(False, True)] + [(False, False)] * 30 + [(True, False)] * 3
     table = spark.createDataFrame(pairs, "malicious boolean, flagged boolean")
