@@ -24,8 +24,8 @@ from hostlake.llm.transducer import Transducer, build
 LEAST, SMOOTH, RANKS = 30, 5, 50
 #: Terms of one transducer; bytes of the transducers that are sent to tasks at a time (more take further passes over the texts).
 RUN, PACK = 100_000, 64 << 20
-#: Bytes of text that are counted at once; sums that a task holds before it hands them on; cells (sources by terms) compared at once; sources of a tile.
-SLICE, HELD, CELLS, TILE = 4 << 20, 400_000, 1 << 20, 128
+#: Bytes of text that are counted at once; sums that a task holds before it hands them on; least terms of a block; cells (sources by terms) compared at once; sources of a tile.
+SLICE, HELD, LEAST_BLOCK, CELLS, TILE = 4 << 20, 400_000, 512, 1 << 20, 128
 
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 _LETTER = np.array([not (b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F) for b in range(256)])
@@ -217,7 +217,7 @@ def distances(shares: DataFrame, groups: DataFrame) -> DataFrame:
     Both have ``sources``, the number of sources of the language.
     A block of ordinals of one language meets in a task as a bounded matrix; rows are compared with a tile of rows at a time.
     """
-    size = F.greatest(F.lit(64), F.least(F.lit(4096), F.floor(F.lit(CELLS) / F.col("sources")))).alias("block_size")
+    size = F.greatest(F.lit(LEAST_BLOCK), F.least(F.col("sources"), F.floor(F.lit(CELLS) / F.col("sources")))).alias("block_size")
     tiles = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / TILE))).alias("tile")
     place = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("no")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), F.floor((F.col("kinds") - 1) / F.col("block_size"))))).alias("block")

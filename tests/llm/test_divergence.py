@@ -72,7 +72,7 @@ def test_matches_dictionaries(spark, run_size, pack):
 
 def test_tiles_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(divergence, "TILE", 2)
-    monkeypatch.setattr(divergence, "CELLS", 1)
+    monkeypatch.setattr(divergence, "LEAST_BLOCK", 64)
     rows = [(i, " ".join(chr(97 + j % 26) + chr(97 + (i * j) % 26) for j in range(200)), "en", f"s{i % 5}") for i in range(40)]
     assert run(spark, rows, least=2) == slow(rows, 2, 50)
 
