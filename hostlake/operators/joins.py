@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlake.operators.windows import ORDER
+from hostlake.staging import staged
 
 
 def attack_names(events: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -42,15 +43,18 @@ def ancestors(flagged: DataFrame, parents: DataFrame, hops: int = 8) -> DataFram
     """``pid``, ``resource``: every ancestor, within ``hops``, of a flagged process, with the resource of the first such descendant.
 
     ``flagged``: pid, resource, ``flag_order``; ``parents``: pid, ppid (one row per pid). A walk ends at 0 or at a
-    process that is its own parent. Each hop is one equality join on the frontier, which loses pairs already walked.
+    process that is its own parent. Pairs of process and ancestor double their reach with every join and are staged in between;
+    a process has at most ``hops`` of them.
     """
     up = parents.where((F.col("ppid") != 0) & (F.col("ppid") != F.col("pid")))
-    frontier = flagged.select("pid", "resource", "flag_order")
-    found = None
-    for _ in range(hops):
-        frontier = frontier.join(up, "pid").select(F.col("ppid").alias("pid"), "resource", "flag_order").distinct()
-        found = frontier if found is None else found.unionByName(frontier)
-    return found.groupBy("pid").agg(F.min_by("resource", "flag_order").alias("resource"))
+    pairs = staged(up.select("pid", F.col("ppid").alias("ancestor"), F.lit(1).alias("far")))
+    reach = 1
+    while reach < hops:
+        further = pairs.select(F.col("pid").alias("ancestor"), F.col("ancestor").alias("next"), F.col("far").alias("more"))
+        met = pairs.join(further, "ancestor").select("pid", F.col("next").alias("ancestor"), (F.col("far") + F.col("more")).alias("far"))
+        pairs = staged(pairs.unionByName(met.where(F.col("far") <= hops)).groupBy("pid", "ancestor").agg(F.min("far").alias("far")))
+        reach *= 2
+    return flagged.join(pairs, "pid").groupBy(F.col("ancestor").alias("pid")).agg(F.min_by("resource", "flag_order").alias("resource"))
 
 
 def call_sites(events: DataFrame, sites: DataFrame, load_addr: int = 0) -> DataFrame:

@@ -77,15 +77,14 @@ def late_trigger(config=DEFAULT):
     return F.when(quiet, "skip").when(F.col("novel_transition"), "novel_transition").when(F.col("novel_edge"), "novel_edge").when(low, "markov").otherwise("entropy")
 
 
-def triage(events: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFrame | None = None, config=DEFAULT, legacy: bool = False) -> DataFrame:
-    """The gate: adds ``entropy``, ``markov_entropy``, ``novel_edge``, ``novel_transition`` and ``trigger`` ('skip' where nothing speaks for the event).
-
-    Precedence: call site outside the known ones, hard trigger, flagged parent, incomplete window, then entropy and novelty.
-    ``flagged`` and ``bad_sites`` hold the ``event_id`` s that earlier stages marked. Only events that
-    reach the entropy layer count for novelty. ``legacy`` knows marginal entropy only.
-    """
+def gate_inputs(events: DataFrame, config=DEFAULT) -> DataFrame:
+    """What the gate knows of an event whatever earlier stages say: ``entropy``, ``markov_entropy``, ``prev``, ``filled``."""
     seen = marginal_entropy(markov_entropy(events, config.entropy_window), config.entropy_window)
-    seen = seen.withColumn("filled", F.count("*").over(_by_pid().rowsBetween(-(config.window - 1), 0)))
+    return seen.withColumn("filled", F.count("*").over(_by_pid().rowsBetween(-(config.window - 1), 0)))
+
+
+def gated(seen: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFrame | None = None, config=DEFAULT, legacy: bool = False) -> DataFrame:
+    """The gate over gate_inputs."""
     for table, name in ((flagged, "flagged"), (bad_sites, "bad_site")):
         if table is None:
             seen = seen.withColumn(name, F.lit(False))
@@ -100,6 +99,16 @@ def triage(events: DataFrame, flagged: DataFrame | None = None, bad_sites: DataF
     return both.withColumn("trigger", F.coalesce("early", late)).drop("early", "filled", "flagged", "bad_site", "transition")
 
 
+def triage(events: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFrame | None = None, config=DEFAULT, legacy: bool = False) -> DataFrame:
+    """The gate: adds ``entropy``, ``markov_entropy``, ``novel_edge``, ``novel_transition`` and ``trigger`` ('skip' where nothing speaks for the event).
+
+    Precedence: call site outside the known ones, hard trigger, flagged parent, incomplete window, then entropy and novelty.
+    ``flagged`` and ``bad_sites`` hold the ``event_id`` s that earlier stages marked. Only events that
+    reach the entropy layer count for novelty. ``legacy`` knows marginal entropy only.
+    """
+    return gated(gate_inputs(events, config), flagged, bad_sites, config, legacy)
+
+
 def gate_stats(triaged: DataFrame) -> DataFrame:
     """Events by ``trigger``, and the total with the rate of signals under the name 'total'."""
     by = triaged.groupBy("trigger").agg(F.count("*").alias("n"))

@@ -318,6 +318,18 @@ put("s076_heuristic", "SELECT pid, CAST(wid AS BIGINT) AS wid, score, label, con
 CTES["route"] = """SELECT s.pid, s.wid, CASE WHEN s.score >= 0.55 THEN 'MALICIOUS' WHEN s.score <= 0.15 THEN 'BENIGN' ELSE h.label END AS label, round(CASE WHEN s.score >= 0.55 THEN s.score WHEN s.score <= 0.15 THEN 1 - s.score ELSE h.confidence END, 4) AS confidence,
   CASE WHEN s.score >= 0.55 OR s.score <= 0.15 THEN 'graph' ELSE 'model' END AS route FROM score s JOIN said h USING (pid, wid)"""
 put("s077_graph_route", "SELECT pid, CAST(wid AS BIGINT) AS wid, label, confidence, route FROM route")
+
+# the loop of flags, eight rounds written out; verdicts of a round come from windows that the flags of the one before let pass
+CTES["bad"] = "SELECT w.pid, w.wid, max(w.ts_us) AS ts_us FROM win w JOIN route r ON r.pid = w.pid AND r.wid = w.wid WHERE r.label = 'MALICIOUS' GROUP BY ALL"
+LOOP = """WITH {needs}, told0 AS (SELECT * FROM bad WHERE false), {rounds}
+SELECT g.event_id, g."trigger", coalesce(t.pid IS NOT NULL, false) AS verdict FROM passed8 g LEFT JOIN told8 t ON t.pid = g.pid AND t.wid = g.wid"""
+ROUND = """say{n} AS MATERIALIZED (SELECT g.*, CASE WHEN first_say = 'hard_trigger' THEN first_say WHEN EXISTS (SELECT 1 FROM told{p} v WHERE v.pid IN (g.pid, g.ppid) AND g.ts_us > v.ts_us AND g.ts_us <= v.ts_us + 7200000000) THEN 'flagged_parent' ELSE first_say END AS say FROM early g),
+late{n} AS (SELECT *, row_number() OVER (PARTITION BY comm, sc_type ORDER BY ts_us, event_id) = 1 AS novel_edge, row_number() OVER (PARTITION BY comm, prev, sc_type ORDER BY ts_us, event_id) = 1 AS novel_transition FROM say{n} WHERE say IS NULL),
+passed{n} AS MATERIALIZED (SELECT s.event_id, s.pid, w.wid, coalesce(s.say, CASE WHEN l.entropy < 1.2 AND l.markov_entropy < 1.2 AND NOT novel_edge AND NOT novel_transition THEN 'skip' WHEN novel_transition THEN 'novel_transition'
+  WHEN novel_edge THEN 'novel_edge' WHEN l.entropy < 1.2 THEN 'markov' ELSE 'entropy' END) AS "trigger" FROM say{n} s LEFT JOIN late{n} l USING (event_id) LEFT JOIN win w USING (event_id)),
+told{n} AS MATERIALIZED (SELECT * FROM bad WHERE (pid, wid) IN (SELECT (pid, wid) FROM passed{n} WHERE "trigger" <> 'skip' AND wid IS NOT NULL))"""
+NEEDS = sql("SELECT 1 FROM early JOIN bad ON true JOIN win ON true").removeprefix("WITH ").removesuffix(" SELECT 1 FROM early JOIN bad ON true JOIN win ON true")
+ORACLE["s038b_flagging_loop"] = LOOP.format(needs=NEEDS.replace("early AS (", "early AS MATERIALIZED (").replace("bad AS (", "bad AS MATERIALIZED ("), rounds=",\n".join(ROUND.format(n=n, p=n - 1) for n in range(1, 9)))
 CTES["report"] = """SELECT r.pid, r.wid, r.label, r.confidence, m.total, m.verified, m.total - m.verified AS unverified, round((m.total - m.verified) / m.total, 4) AS hallucination_rate, round(greatest(0, least(1, round(r.confidence - m.lost, 6))), 4) AS verified_confidence,
   CASE WHEN m.total = m.verified THEN 'CLEAN' WHEN (m.total - m.verified) / m.total < 0.5 THEN 'PARTIAL' ELSE 'HALLUCINATED' END AS verdict, round((m.total - m.verified) / m.total, 4) < 0.1 AS trustworthy
   FROM route r JOIN (SELECT pid, wid, count(*) AS total, count(*) FILTER (verified) AS verified, coalesce(sum(contribution) FILTER (NOT verified), 0) AS lost FROM matched GROUP BY ALL) m USING (pid, wid)"""

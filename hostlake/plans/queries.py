@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hostlake.functions import events as E
 from hostlake.functions import constants as C
-from hostlake.operators import evaluate, evidence, graph, joins, rollups, rules, scores, sequence, tiers, windows
+from hostlake.operators import evaluate, evidence, flagging, graph, joins, rollups, rules, scores, sequence, tiers, windows
 from hostlake.sources import readers
 from hostlake.sources.adapter import attack_windows, kernel_events, threat_ips, valid_call_sites
 
@@ -143,6 +143,9 @@ class Chain:
     def routed(self) -> DataFrame:
         return scores.routed(self.scored(), self.full())
 
+    def looped(self) -> DataFrame:
+        return flagging.flagging_loop(self.events, self.windows, self.routed(), 7200)
+
     def decided(self) -> DataFrame:
         """Windows with truth, prediction, confidence and whether it is correct."""
         both = self.routed().join(self.truth(), graph.KEY).withColumn("flagged", F.col("label") == "MALICIOUS")
@@ -321,3 +324,5 @@ def strace_lines(e: DataFrame) -> DataFrame:
 
 over_events("s001_strace", lambda e: readers.strace_events(strace_lines(e)).groupBy("trace", "pid", "sc_type", "resource").agg(F.count("*").alias("n")))
 over_events("s002_exec_names", lambda e: readers.strace_events(strace_lines(e)).groupBy("pid", "comm").agg(F.count("*").alias("n")))
+
+QUERIES["s038b_flagging_loop"] = lambda spark, sf_dir: Chain(spark, sf_dir).looped().select("event_id", "trigger", "verdict")
