@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hostlake.staging import staged
+
 ORDER = ("ts_us", "event_id")
 
 
@@ -19,6 +21,30 @@ def tumbling_windows(events: DataFrame, n: int = 20, by: tuple[str, ...] = ("pid
     return cut.withColumn("__n", size).where(F.col("__n") >= (n if min_len is None else min_len)).drop("__i", "__n")
 
 
+def in_whole_order(rows: DataFrame, *order: str, out: str = "place") -> DataFrame:
+    """Adds ``out``, the row's place (from 0) in the whole table by ``order``, without bringing the table together.
+
+    Ranges of ``order`` are sorted in tasks and staged; a range's rows are numbered from how many come before it, one count per range. Rows that agree in ``order`` keep together.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", at))
+    part = F.shiftright("__at", 33)
+    counts = sorted((r["part"], r["n"]) for r in ranged.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())  # as many as there are ranges
+    offsets, before = [], 0
+    for p, n in counts:
+        offsets.append((p, before))
+        before += n
+    held = rows.sparkSession.createDataFrame(offsets, "__part long, __before long")
+    met = ranged.withColumn("__part", part).join(F.broadcast(held), "__part")
+    return met.withColumn(out, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).select(*rows.columns, out)
+
+
+def whole_windows(rows: DataFrame, *order: str, n: int = 20) -> DataFrame:
+    """Windows of ``n`` consecutive rows of the whole table: ``wid`` and ``idx``; the last one may be shorter."""
+    placed = in_whole_order(rows, *order, out="__place")
+    return placed.withColumn("wid", F.floor(F.col("__place") / n)).withColumn("idx", (F.col("__place") % n).cast("int")).drop("__place")
+
+
 def sliding_last(events: DataFrame, n: int = 20, keep=None) -> DataFrame:
     """The last ``n`` events of the pid up to each event: ``filled`` (how many) and ``recent`` (array of class and resource).
 

@@ -502,3 +502,34 @@ CTES["figures"] = f"SELECT {RATES} FROM (SELECT {CELLS.format('flagged_m')} FROM
 CTES["claims_of"] = "SELECT 'tpr' AS metric, round(tpr, 3) AS value, tpr AS found, 3 AS digits FROM figures UNION ALL SELECT 'fpr', fpr + 0.2::DOUBLE, fpr, 3 FROM figures UNION ALL SELECT 'accuracy', round(accuracy, 2), accuracy, 2 FROM figures UNION ALL SELECT 'other', 0.5::DOUBLE, NULL, 2"
 put("s113_reconciled", "SELECT metric, value, found, coalesce(floor(found * power(10, digits) + 0.5) = floor(value * power(10, digits) + 0.5), false) AS passed FROM claims_of")
 put("s082_behaviour_vectors", f"SELECT {KEYS}, round(avg((sc_type % 16) / 16), 6) AS v1, round(avg(ln(distance + 1.0::DOUBLE) / 30), 6) AS v2, round(avg(({CATEGORY}) / 8), 6) AS v3 FROM win JOIN placed USING (ip) GROUP BY ALL")
+
+# readers over rendered records
+CTES["subject"] = "SELECT DISTINCT pid AS cid, ppid AS parent, comm AS name FROM ke"
+CTES["act"] = """SELECT e.*, event_id AS seq, s.cid, s.parent, s.name, CASE WHEN sc_type = 0 AND k % 3 = 0 THEN concat(resource, '.run') END AS named, CASE WHEN sc_type = 0 AND k % 3 = 1 THEN concat(comm, '-by-its-own-name') END AS exec,
+  CASE WHEN sc_type < 3 OR (sc_type = 3 AND k % 5 <> 4) THEN resource ELSE '' END AS object FROM ke e LEFT JOIN subject s ON s.cid = e.pid AND e.event_id % 50 <> 0"""
+put(
+    "s003_provenance_events",
+    """SELECT seq, ts_us, coalesce(cid, 0) AS pid, CASE WHEN parent IN (SELECT pid FROM ke) THEN parent ELSE 0 END AS ppid, substr(coalesce(exec, name, 'unknown'), 1, 15) AS comm, CAST(CASE WHEN sc_type IN (9, 10) THEN 15 ELSE sc_type END AS INT) AS sc_type,
+    coalesce(named, CASE WHEN object = '' AND sc_type = 3 THEN resource ELSE object END) AS resource FROM act WHERE sc_type <> 15""",
+)
+put(
+    "s006_whole_windows",
+    """SELECT seq, (place - 1) // 20 AS wid, CAST((place - 1) % 20 AS INT) AS idx, coalesce(cid, 0) AS pid, substr(CASE WHEN cid IS NULL THEN coalesce(exec, 'unknown') ELSE coalesce(so_far, lite_name) END, 1, 15) AS comm, CAST(sc_type AS INT) AS sc_type,
+    coalesce(named, CASE WHEN object = '' AND sc_type = 3 AND k % 2 = 0 THEN split_part(resource, ':', 1) ELSE object END) AS resource
+    FROM (SELECT *, CASE WHEN pid % 4 <> 0 THEN name ELSE 'unknown' END AS lite_name, row_number() OVER (ORDER BY seq) AS place, last_value(exec IGNORE NULLS) OVER (PARTITION BY cid ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS so_far FROM act WHERE sc_type IN (0, 1, 2, 3)) q""",
+)
+CTES["numbers"] = """SELECT *, concat('/root/', CASE pid % 4 WHEN 0 THEN concat('Attack_Data_Master/Web_Shell_', pid) WHEN 1 THEN concat('Attack_Data_Master/Adduser_', pid) ELSE 'Training_Data_Master' END, '/', pid, '.txt') AS path FROM ke WHERE sc_type IN (0, 1, 2, 3, 4, 5, 7, 8, 9, 10)"""
+put(
+    "s007_call_numbers",
+    f"""SELECT 39999 + dense_rank() OVER (ORDER BY path) AS pid, (row_number() OVER (PARTITION BY path ORDER BY event_id) - 1) * 1000 AS ts_us, CAST(sc_type AS INT) AS sc_type, {case("sc_type", C.CALL_RESOURCES, "[other]")} AS resource,
+    CASE pid % 4 WHEN 0 THEN 'Web_Shell' WHEN 1 THEN 'Adduser' END AS attack_type, CASE pid % 4 WHEN 0 THEN 'T1505' WHEN 1 THEN 'T1136' END AS technique, CASE WHEN pid % 4 < 2 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label FROM numbers""",
+)
+put("s008_call_number_summary", "SELECT CASE WHEN pid % 4 < 2 THEN 'MALICIOUS' ELSE 'BENIGN' END AS label, CASE pid % 4 WHEN 0 THEN 'Web_Shell' WHEN 1 THEN 'Adduser' END AS attack_type, count(DISTINCT path) AS traces FROM numbers GROUP BY ALL")
+CTES["parted"] = "SELECT ppid % 7 AS scenario, ts_us // 21600000000 AS file, event_id AS seq, CAST(sc_type IN (0, 2, 3, 7) AS INT) AS hit FROM ke"
+CTES["part_ends"] = "SELECT scenario, file FROM parted UNION SELECT scenario, file + 1 FROM parted"
+put(
+    "s010_file_end_windows",
+    """SELECT scenario, file, CAST(attacks AS INT) AS attacks, CASE WHEN attacks >= 3 THEN 1 ELSE 0 END AS label, CASE WHEN attacks > 4 THEN 1 ELSE 0 END AS predicted, round(CASE WHEN attacks > 4 THEN attacks / 20 ELSE 1 - attacks / 20 END, 6) AS confidence
+    FROM (SELECT scenario, file, sum(hit) AS attacks, count(*) AS held FROM (SELECT e.scenario, e.file, p.hit, row_number() OVER (PARTITION BY e.scenario, e.file ORDER BY p.file DESC, p.seq DESC) AS r
+    FROM part_ends e JOIN parted p ON p.scenario = e.scenario AND p.file <= e.file) t WHERE r <= 20 GROUP BY ALL) q WHERE held = 20""",
+)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from hostlake.functions import events as E
 from hostlake.functions import constants as C
 from hostlake.operators import evaluate, evidence, flagging, graph, joins, rollups, rules, scores, sequence, tiers, windows
-from hostlake.sources import readers
+from hostlake.plans import rendered
+from hostlake.sources import provenance, readers
 from hostlake.sources.adapter import attack_windows, kernel_events, threat_ips, valid_call_sites
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,3 +327,12 @@ over_events("s001_strace", lambda e: readers.strace_events(strace_lines(e)).grou
 over_events("s002_exec_names", lambda e: readers.strace_events(strace_lines(e)).groupBy("pid", "comm").agg(F.count("*").alias("n")))
 
 QUERIES["s038b_flagging_loop"] = lambda spark, sf_dir: Chain(spark, sf_dir).looped().select("event_id", "trigger", "verdict")
+
+#: Event types that count as an attack. fixed values
+ATTACK_TYPES = ("SHELL-COMMAND", "PROCESS-CREATE", "FILE-WRITE", "NETWORK-CONNECT", "PRIVILEGE-ESCALATE", "CREDENTIAL-ACCESS")
+
+over_events("s003_provenance_events", lambda e: provenance.provenance_events(rendered.provenance_lines(e)))
+over_events("s006_whole_windows", lambda e: windows.whole_windows(provenance.lite_provenance_events(rendered.provenance_lines(e)), "seq").drop("ts_us", "ppid"))
+over_events("s007_call_numbers", lambda e: readers.call_numbers(rendered.call_number_lines(e)).drop("path"))
+over_events("s008_call_number_summary", lambda e: readers.call_number_summary(readers.call_numbers(rendered.call_number_lines(e))))
+over_events("s010_file_end_windows", lambda e: provenance.file_end_windows(rendered.file_acts(e), ATTACK_TYPES))

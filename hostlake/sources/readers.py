@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hostlake.functions import constants as C
 from hostlake.functions.events import mapped
+from hostlake.operators.windows import in_whole_order
 
 LINE = r"^\s*\[?(\d+)\]?\s+(\d+):(\d+):(\d+)\.(\d+)\s+(\w+)\s*\((.*)\)\s*=\s*(-?\d+|0x[0-9a-f]+)"
 
@@ -53,55 +54,32 @@ def read_strace(spark: SparkSession, path: str, default_comm: str = "unknown") -
 
 def read_call_numbers(spark: SparkSession, path: str) -> DataFrame:
     """Traces of one call number per line; the folder names say what a trace is (Attack_Data_Master/<type>, else benign)."""
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.trim("value").alias("value"), F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"))
-    number = F.try_to_number("value", F.lit("999999")).cast("int")
-    rows = lines.where(F.col("value").rlike(r"^\d{1,6}$")).withColumn("number", number)
+    return call_numbers(spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("seq"), "value"))
+
+
+def call_numbers(lines: DataFrame) -> DataFrame:
+    """Events of lines (``path``, ``seq``, ``value``). pid is 40000 plus the place of the file among all files by path; lines that are no number are skipped.
+
+    ``technique`` is what the attack's type hints at, null for benign traces.
+    """
+    rows = lines.withColumn("value", F.trim("value")).where(F.col("value").rlike(r"^\d{1,6}$")).withColumn("number", F.col("value").cast("int"))
     code = F
     for n, sc in C.CALL_NUMBERS.items():
         code = code.when(F.col("number") == n, sc)
     kind = F.regexp_extract("path", r"Attack_Data_Master/([^/]+?)(?:_\d+)?/", 1)
     place = F.row_number().over(Window.partitionBy("path").orderBy("seq")) - 1
-    files = rows.select("path").distinct().withColumn("pid", 40000 + F.dense_rank().over(Window.orderBy("path")) - 1)
+    files = in_whole_order(rows.select("path").distinct(), "path").select("path", (F.col("place") + 40000).alias("pid"))
     out = rows.withColumn("sc_type", code.otherwise(C.OTHER)).withColumn("ts_us", place * 1000).withColumn("attack_type", F.when(kind != "", kind)).join(files, "path")
-    return out.withColumn("resource", mapped(F.col("sc_type"), C.CALL_RESOURCES, "[other]")).select("path", "pid", "ts_us", "sc_type", "resource", "attack_type", F.when(F.col("attack_type").isNotNull(), "MALICIOUS").otherwise("BENIGN").alias("label"))
+    technique = F
+    for name, hint in C.ATTACK_TECHNIQUES.items():
+        technique = technique.when(F.lower(F.replace("attack_type", F.lit("_"), F.lit(""))) == name.replace("_", ""), hint)
+    return out.withColumn("resource", mapped(F.col("sc_type"), C.CALL_RESOURCES, "[other]")).select("path", "pid", "ts_us", "sc_type", "resource", "attack_type", technique.otherwise(None).alias("technique"), F.when(F.col("attack_type").isNotNull(), "MALICIOUS").otherwise("BENIGN").alias("label"))
 
 
 def call_number_summary(traces: DataFrame) -> DataFrame:
     return traces.groupBy("label", "attack_type").agg(F.count_distinct("path").alias("traces"))
 
 
-def provenance_events(lines: DataFrame) -> DataFrame:
-    """Events from provenance records, JSON objects (``value``, ``seq``) whose ``datum`` is keyed by the record's type.
-
-    Subjects and objects are resolved by joins; of a repeated uuid the last record counts. Malformed lines and
-    unknown event types are skipped.
-    """
-    kind = F.regexp_extract("value", r'"datum"\s*:\s*\{\s*"([\w.]+)"', 1)
-    # the datum has one key, the type; its value is the record
-    record = F.element_at(F.map_values(F.from_json(F.get_json_object("value", "$.datum"), "map<string,string>")), 1)
-    one = lines.withColumn("kind", F.substring_index(kind, ".", -1)).where(F.col("kind") != "").withColumn("body", F.coalesce(record, F.lit("{}")))
-    at = lambda p: F.get_json_object("body", f"$.{p}")
-    base = one
-    latest = lambda rows, *cols: rows.groupBy("uuid").agg(*(F.max_by(c, "seq").alias(c) for c in cols))
-    first_word = F.substring_index(F.substring_index(at("cmdLine.string"), " ", 1), "/", -1)
-    subjects = latest(base.where("kind = 'Subject'").select("seq", at("uuid").alias("uuid"), at("cid").cast("long").alias("pid"), F.coalesce(at("parentSubject.UUID"), at("parentSubject")).alias("parent"), F.substring(F.coalesce(at("properties.map.name"), first_word, F.lit("")), 1, 15).alias("name")), "pid", "parent", "name")
-    files = base.where("kind IN ('FileObject', 'UnnamedPipeObject', 'RegistryKeyObject', 'PacketSocketObject')").select("seq", at("uuid").alias("uuid"), F.coalesce(at("baseObject.properties.map.path"), at("baseObject.properties.map.filename"), F.lit("")).alias("path"))
-    address = lambda side: F.concat(at(f"{side}Address"), F.coalesce(F.concat(F.lit(":"), at(f"{side}Port")), F.lit("")))
-    flows = base.where("kind = 'NetFlowObject'").select("seq", at("uuid").alias("uuid"), F.coalesce(address("remote"), address("local"), F.lit("")).alias("path"))
-    objects = latest(files.unionByName(flows), "path")
-    code = F
-    for name, sc in C.PROVENANCE_TYPES.items():
-        code = code.when(at("type") == name, sc)
-    acts = base.where("kind = 'Event'").select("seq", code.alias("sc_type"), at("timestampNanos").cast("long").alias("ts_ns"), F.coalesce(at("subject.UUID"), at("subject")).alias("subject"), F.coalesce(at("predicateObject.UUID"), at("predicateObject")).alias("object"), at("predicateObjectPath.string").alias("named"), at("properties.map.exec").alias("exec"), at("properties.map.address").alias("address"), at("properties.map.port").alias("port")).where(F.col("sc_type").isNotNull())
-    parents = subjects.select(F.col("uuid").alias("parent"), F.col("pid").alias("ppid"))
-    out = acts.join(subjects.withColumnRenamed("uuid", "subject"), "subject", "left").join(parents, "parent", "left").join(objects.withColumnRenamed("uuid", "object"), "object", "left")
-    fallback = F.concat(F.col("address"), F.coalesce(F.concat(F.lit(":"), "port"), F.lit("")))
-    resource = F.coalesce("named", "path", F.lit(""))
-    resource = F.when((F.col("sc_type") == C.NET_CON) & (resource == ""), F.coalesce(fallback, F.lit(""))).otherwise(resource)
-    comm = F.coalesce(F.nullif("exec", F.lit("")), F.nullif("name", F.lit("")), F.lit("unknown"))
-    return out.select("seq", F.floor(F.col("ts_ns") / 1000).alias("ts_us"), F.coalesce("pid", F.lit(0)).alias("pid"), F.coalesce("ppid", F.lit(0)).alias("ppid"), comm.alias("comm"), F.col("sc_type").cast("int").alias("sc_type"), resource.alias("resource"))
-
-
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Ground truth beside traces: one JSON document per trace."""
     return spark.read.schema("trace string, ground_truth string, technique string, command string, label_source string, capture_mode string, label_rationale string").option("multiLine", "true").json(path)

@@ -5,7 +5,7 @@ import time
 
 import numpy as np
 from hostlake.operators import evaluate
-from hostlake.sources import readers
+from hostlake.sources import provenance, readers
 from hostlake.sources.adapter import kernel_events
 from hostlake.streaming import stream
 from pyspark.sql import functions as F
@@ -35,18 +35,18 @@ def test_strace(spark, tmp_path):
 def test_provenance(spark):
     pre = "com.bbn.tc.schema.avro.cdm18."
     records = [
-        {"datum": {pre + "Event": {"type": "EVENT_READ", "timestampNanos": 5000, "subject": {"UUID": "s1"}, "predicateObject": {"UUID": "f1"}}}},
+        {"datum": {pre + "Event": {"type": "EVENT_READ", "timestampNanos": 5000, "subject": {pre + "UUID": "s1"}, "predicateObject": {pre + "UUID": "f1"}}}},
         {"datum": {pre + "Subject": {"uuid": "s0", "cid": 7}}},
-        {"datum": {pre + "Subject": {"uuid": "s1", "cid": 8, "parentSubject": {"UUID": "s0"}, "cmdLine": {"string": "/usr/bin/vim x"}}}},
+        {"datum": {pre + "Subject": {"uuid": "s1", "cid": 8, "parentSubject": {pre + "UUID": "s0"}, "cmdLine": {"string": "/usr/bin/vim x"}}}},
         {"datum": {pre + "FileObject": {"uuid": "f1", "baseObject": {"properties": {"map": {"filename": "/old"}}}}}},
         {"datum": {pre + "FileObject": {"uuid": "f1", "baseObject": {"properties": {"map": {"path": "/etc/passwd"}}}}}},
         {"datum": {pre + "NetFlowObject": {"uuid": "n1", "remoteAddress": "9.9.9.9", "remotePort": 80}}},
-        {"datum": {pre + "Event": {"type": "EVENT_CONNECT", "timestampNanos": 6000, "subject": {"UUID": "s9"}, "predicateObject": {"UUID": "n1"}, "properties": {"map": {"exec": "curl"}}}}},
+        {"datum": {pre + "Event": {"type": "EVENT_CONNECT", "timestampNanos": 6000, "subject": {pre + "UUID": "s9"}, "predicateObject": {pre + "UUID": "n1"}, "properties": {"map": {"exec": "curl"}}}}},
         {"datum": {pre + "Event": {"type": "EVENT_CONNECT", "timestampNanos": 7000, "properties": {"map": {"address": "4.4.4.4", "port": "53"}}}}},
         {"datum": {pre + "Event": {"type": "EVENT_OTHER", "timestampNanos": 8000}}},
     ]
     lines = [(i, json.dumps(r)) for i, r in enumerate(records)] + [(99, "{bad")]
-    rows = readers.provenance_events(spark.createDataFrame(lines, "seq long, value string")).orderBy("seq").collect()
+    rows = provenance.provenance_events(spark.createDataFrame(lines, "seq long, value string")).orderBy("seq").collect()
     assert [(r.ts_us, r.pid, r.ppid, r.comm, r.sc_type, r.resource) for r in rows] == [(5, 8, 7, "vim", 1, "/etc/passwd"), (6, 0, 0, "curl", 3, "9.9.9.9:80"), (7, 0, 0, "unknown", 3, "4.4.4.4:53")]
 
 
