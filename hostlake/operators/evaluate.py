@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from hostlake.functions.events import attack_family, workload_type
 from hostlake.operators.joins import ancestors, attack_names
+from hostlake.operators.windows import in_whole_order
 
 KEY = ["pid", "wid"]
 
@@ -133,20 +134,46 @@ def cohens_d(rows: DataFrame, value: str, group: Column) -> DataFrame:
     return by.select(F.round(F.when(ok, (F.col("ma") - F.col("mb")) / pooled).otherwise(float("nan")), 6).alias("d"))
 
 
+def ranked(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """``by``, ``value``, ``r`` (place of the value in its group, from 0) and ``n`` (values of the group), nulls left out.
+
+    Places come from the order of the whole table, so a group is sorted by as many tasks as its size asks for.
+    """
+    placed = in_whole_order(rows.where(F.col(value).isNotNull()).select(*by, value), *by, value, out="r")
+    groups = placed.groupBy(*by).agg(F.min("r").alias("__first"), F.count("*").alias("n"))
+    on = F.lit(True)
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    met = placed.join(groups.select(*(F.col(c).alias(f"__{c}") for c in by), "__first", "n"), on)
+    return met.select(*by, value, (F.col("r") - F.col("__first")).alias("r"), "n")
+
+
+PERCENTS = (50, 95, 99)
+
+
 def latency_summary(rows: DataFrame, value: str, *by: str) -> DataFrame:
     """Mean, extremes, deviation and percentiles (50, 95, 99) by linear interpolation."""
-    return rows.groupBy(*by).agg(
+    at = lambda p: (F.col("n") - 1) * (p / 100)
+    low, high = lambda p: F.col("r") == F.floor(at(p)), lambda p: F.col("r") == F.ceil(at(p))
+    between = lambda p: F.max(F.when(low(p), F.col(value))) * (1 - F.max(at(p) - F.floor(at(p)))) + F.max(F.when(high(p), F.col(value))) * F.max(at(p) - F.floor(at(p)))
+    return ranked(rows, value, *by).groupBy(*by).agg(
         F.round(F.avg(value), 4).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.stddev_samp(value), 4).alias("sd"),
-        *(F.round(F.percentile(value, p / 100), 4).alias(f"p{p}") for p in (50, 95, 99)),
+        *(F.round(between(p), 4).alias(f"p{p}") for p in PERCENTS),
     )
 
 
 def nth_percentiles(rows: DataFrame, value: str, by: str) -> DataFrame:
     """The other convention: the sorted values at index int(n p / 100) - 1, at least 0."""
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = rows.select(by, value, F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    at = lambda p: F.greatest(F.floor(F.col("n") * p / 100), F.lit(1))
-    return ranked.groupBy(by).agg(*(F.max(F.when(F.col("r") == at(p), F.col(value))).alias(f"p{p}") for p in (50, 95, 99)))
+    at = lambda p: F.greatest(F.floor(F.col("n") * p / 100), F.lit(1)) - 1
+    return ranked(rows, value, by).groupBy(by).agg(*(F.max(F.when(F.col("r") == at(p), F.col(value))).alias(f"p{p}") for p in PERCENTS))
+
+
+def area_under_curve(scored: DataFrame) -> DataFrame:
+    """One row: ``auc`` of ``score`` (rounded to six places, so its values are bounded in number) against ``malicious``; null where one class is missing."""
+    by = scored.groupBy(F.round("score", 6).alias("v")).agg(F.count_if("malicious").alias("bad"), F.count_if(~F.col("malicious")).alias("good"))
+    below = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    wins = by.withColumn("under", F.coalesce(F.sum("good").over(below), F.lit(0))).agg(F.sum(F.col("bad") * (F.col("under") + F.col("good") / 2)).alias("w"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    return wins.select(F.round(F.try_divide("w", F.col("bad") * F.col("good")), 6).alias("auc"))
 
 
 def entropy_sweep(results: DataFrame, thresholds: tuple[float, ...] = (1.2, 1.5, 2.0)) -> DataFrame:

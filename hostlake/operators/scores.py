@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hostlake.functions import constants as C
 from hostlake.functions.events import any_of, contains_any, resource_category
+from hostlake.staging import staged
 
 KEY = ["pid", "wid"]
 
@@ -197,39 +198,79 @@ def ngram_counts(windows: DataFrame) -> DataFrame:
     return paired.select(*KEY, F.explode(grams).alias("gram")).groupBy(*KEY, "gram").agg(F.count("*").alias("n"))
 
 
-def ngram_model(windows: DataFrame, truth: DataFrame):
-    """A balanced logistic regression over unigrams and bigrams of classes; returns the fitted pipeline and its input."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import CountVectorizer
+def _cross_fitted(rows: DataFrame, pipeline, folds: int) -> DataFrame:
+    """``rows`` (with ``y``) scored by models that haven't learnt from the row's process: ``score`` and ``fold``. A fold whose others have one class only gets 0.0."""
+    from pyspark.ml.functions import vector_to_array
 
+    held = staged(rows.withColumn("fold", F.pmod(F.xxhash64("pid"), F.lit(folds)).cast("int")))
+    out = None
+    for fold in range(folds):
+        learn, told = held.where(F.col("fold") != fold), held.where(F.col("fold") == fold)
+        if learn.agg(F.count_distinct("y")).first()[0] < 2:
+            part = told.withColumn("score", F.lit(0.0))
+        else:
+            part = pipeline(learn).fit(learn).transform(told).withColumn("score", F.round(vector_to_array("probability")[1], 6))
+        part = part.select(*KEY, "score", "fold")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _gram_rows(windows: DataFrame, truth: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "sc_type"))), lambda e: e["sc_type"].cast("string"))
     single = windows.groupBy(*KEY).agg(ordered.alias("one"))
     pairs = F.zip_with(F.slice("one", 1, F.size("one") - 1), F.slice("one", 2, F.size("one") - 1), lambda a, b: F.concat_ws(" ", a, b))
-    rows = single.withColumn("grams", F.concat("one", pairs)).join(truth.select(*KEY, F.col("malicious").cast("double").alias("y")), KEY)
-    share = rows.agg(F.avg("y")).first()[0] or 0.0
-    balanced = rows.withColumn("weight", F.when(F.col("y") > 0, 0.5 / max(share, 1e-9)).otherwise(0.5 / max(1 - share, 1e-9)))
-    stages = [CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=400), LogisticRegression(featuresCol="counts", labelCol="y", weightCol="weight", maxIter=50)]
-    return Pipeline(stages=stages).fit(balanced), balanced
+    return single.withColumn("grams", F.concat("one", pairs)).join(truth.select(*KEY, F.col("malicious").cast("double").alias("y")), KEY)
 
 
-def ngram_scores(windows: DataFrame, truth: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
+def ngram_scores(windows: DataFrame, truth: DataFrame, folds: int = 3) -> DataFrame:
+    """``score``, ``label`` and ``fold``: a balanced logistic regression over unigrams and bigrams of classes, fitted out of fold by process."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import CountVectorizer, SQLTransformer
 
-    model, rows = ngram_model(windows, truth)
-    out = model.transform(rows)
-    return out.select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"), F.when(F.col("prediction") > 0, "MALICIOUS").otherwise("BENIGN").alias("label"))
+    def pipeline(learn: DataFrame) -> Pipeline:
+        share = learn.agg(F.avg("y")).first()[0]
+        balance = SQLTransformer(statement=f"SELECT *, IF(y > 0, {0.5 / max(share, 1e-9)}, {0.5 / max(1 - share, 1e-9)}) AS weight FROM __THIS__")
+        return Pipeline(stages=[balance, CountVectorizer(inputCol="grams", outputCol="counts", vocabSize=400), LogisticRegression(featuresCol="counts", labelCol="y", weightCol="weight", maxIter=50)])
 
+    out = _cross_fitted(_gram_rows(windows, truth), pipeline, folds)
+    return out.select(*KEY, "score", F.when(F.col("score") >= 0.5, "MALICIOUS").otherwise("BENIGN").alias("label"), "fold")
 
-def boosted_scores(features: DataFrame, truth: DataFrame | None) -> DataFrame:
-    """Boosted-tree probabilities over the window features; 0.0 throughout without training labels."""
-    if truth is None:
-        return features.select(*KEY, F.lit(0.0).alias("score"))
+
+def _boosting(names: list[str]):
+    from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
 
+    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="features"), GBTClassifier(labelCol="y", maxIter=10, maxDepth=4, seed=7)])
+
+
+def _labelled(features: DataFrame, truth: DataFrame) -> DataFrame:
+    return features.join(truth.select(*KEY, F.col("malicious").cast("double").alias("y")), KEY)
+
+
+def boosted_scores(features: DataFrame, truth: DataFrame, folds: int = 3) -> DataFrame:
+    """``score`` and ``fold``: boosted-tree probabilities over the window features, fitted out of fold by process."""
     names = [c for c in features.columns if c not in KEY]
-    rows = VectorAssembler(inputCols=names, outputCol="features").transform(features.join(truth.select(*KEY, F.col("malicious").cast("double").alias("y")), KEY))
-    model = GBTClassifier(labelCol="y", maxIter=10, maxDepth=4, seed=7).fit(rows)
-    return model.transform(rows).select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"))
+    return _cross_fitted(_labelled(features, truth), lambda _: _boosting(names), folds)
+
+
+def store_boosted(features: DataFrame, truth: DataFrame, path: str) -> None:
+    """Fit boosted trees to all labelled windows and write the model to ``path``."""
+    _boosting([c for c in features.columns if c not in KEY]).fit(_labelled(features, truth)).write().overwrite().save(path)
+
+
+def stored_scores(features: DataFrame, path: str) -> DataFrame:
+    """``score`` of the model at ``path``; 0.0 throughout where there is none."""
+    from pyspark.errors import AnalysisException
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+    from py4j.protocol import Py4JJavaError
+
+    try:
+        model = PipelineModel.load(path)
+    except (AnalysisException, Py4JJavaError) as missing:
+        if "does not exist" not in str(missing) and "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return features.select(*KEY, F.lit(0.0).alias("score"))
+    return model.transform(features).select(*KEY, F.round(vector_to_array("probability")[1], 6).alias("score"))

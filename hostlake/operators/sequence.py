@@ -8,28 +8,28 @@ from pyspark.sql import functions as F
 from hostlake.config import DEFAULT
 from hostlake.functions import constants as C
 from hostlake.functions.events import entropy, is_hard_trigger
-from hostlake.operators.windows import ORDER
+from hostlake.operators.windows import ORDER, in_blocks
 
 
-def _by_pid():
-    return Window.partitionBy("pid").orderBy(*ORDER)
+def _by_pid(by: tuple[str, ...] = ("pid",)):
+    return Window.partitionBy(*by).orderBy(*ORDER)
 
 
-def marginal_entropy(events: DataFrame, w: int = 64) -> DataFrame:
+def marginal_entropy(events: DataFrame, w: int = 64, by: tuple[str, ...] = ("pid",)) -> DataFrame:
     """Adds ``entropy``: bits of the class over the pid's last ``w`` events. One window specification, twelve running counts."""
-    frame = _by_pid().rowsBetween(-(w - 1), 0)
+    frame = _by_pid(by).rowsBetween(-(w - 1), 0)
     names = [f"__c{c}" for c in C.CLASSES]
     counted = events.select("*", *(F.sum((F.col("sc_type") == c).cast("int")).over(frame).alias(n) for c, n in zip(C.CLASSES, names, strict=True)), F.count("*").over(frame).alias("__n"))
     return counted.withColumn("entropy", F.round(entropy([F.col(n) for n in names], F.col("__n")), 6) + 0.0).drop(*names, "__n")
 
 
-def markov_entropy(events: DataFrame, w: int = 64) -> DataFrame:
+def markov_entropy(events: DataFrame, w: int = 64, by: tuple[str, ...] = ("pid",)) -> DataFrame:
     """Adds ``markov_entropy``: the entropy rate of the pid's last ``w`` transitions, ``prev`` and ``transition`` (prev * 16 + class).
 
     The frame holds at most ``w`` small integers; one fold over its sorted values gives pair and row totals.
     """
-    frame = _by_pid().rowsBetween(-(w - 1), 0)
-    paired = events.withColumn("prev", F.lag("sc_type").over(_by_pid())).withColumn("transition", F.col("prev") * 16 + F.col("sc_type"))
+    frame = _by_pid(by).rowsBetween(-(w - 1), 0)
+    paired = events.withColumn("prev", F.lag("sc_type").over(_by_pid(by))).withColumn("transition", F.col("prev") * 16 + F.col("sc_type"))
     held = paired.withColumn("__codes", F.array_sort(F.collect_list("transition").over(frame)))
     xlogx = lambda n: n * F.log(2.0, n)
     row = lambda c: F.floor(c / 16)
@@ -77,10 +77,19 @@ def late_trigger(config=DEFAULT):
     return F.when(quiet, "skip").when(F.col("novel_transition"), "novel_transition").when(F.col("novel_edge"), "novel_edge").when(low, "markov").otherwise("entropy")
 
 
-def gate_inputs(events: DataFrame, config=DEFAULT) -> DataFrame:
-    """What the gate knows of an event whatever earlier stages say: ``entropy``, ``markov_entropy``, ``prev``, ``filled``."""
-    seen = marginal_entropy(markov_entropy(events, config.entropy_window), config.entropy_window)
-    return seen.withColumn("filled", F.count("*").over(_by_pid().rowsBetween(-(config.window - 1), 0)))
+def gate_inputs(events: DataFrame, config=DEFAULT, block: int | None = None) -> DataFrame:
+    """What the gate knows of an event whatever earlier stages say: ``entropy``, ``markov_entropy``, ``prev``, ``filled``.
+
+    With ``block`` pids are cut into blocks of so many events, each with the events before that its frames reach back to, so that no task has to sort
+    a whole pid; it costs one more exchange.
+    """
+    by, back = ("pid",), config.entropy_window + 1
+    columns = events.columns
+    if block is not None:
+        events, by = in_blocks(events, back, block), ("pid", "block")
+    seen = marginal_entropy(markov_entropy(events, config.entropy_window, by), config.entropy_window, by)
+    seen = seen.withColumn("filled", F.count("*").over(_by_pid(by).rowsBetween(-(config.window - 1), 0)))
+    return seen if block is None else seen.where("NOT halo").select(*columns, "prev", "transition", "entropy", "markov_entropy", "filled")
 
 
 def gated(seen: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFrame | None = None, config=DEFAULT, legacy: bool = False) -> DataFrame:
@@ -99,14 +108,14 @@ def gated(seen: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFram
     return both.withColumn("trigger", F.coalesce("early", late)).drop("early", "filled", "flagged", "bad_site", "transition")
 
 
-def triage(events: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFrame | None = None, config=DEFAULT, legacy: bool = False) -> DataFrame:
+def triage(events: DataFrame, flagged: DataFrame | None = None, bad_sites: DataFrame | None = None, config=DEFAULT, legacy: bool = False, block: int | None = None) -> DataFrame:
     """The gate: adds ``entropy``, ``markov_entropy``, ``novel_edge``, ``novel_transition`` and ``trigger`` ('skip' where nothing speaks for the event).
 
     Precedence: call site outside the known ones, hard trigger, flagged parent, incomplete window, then entropy and novelty.
     ``flagged`` and ``bad_sites`` hold the ``event_id`` s that earlier stages marked. Only events that
-    reach the entropy layer count for novelty. ``legacy`` knows marginal entropy only.
+    reach the entropy layer count for novelty. ``legacy`` knows marginal entropy only. ``block``: see gate_inputs.
     """
-    return gated(gate_inputs(events, config), flagged, bad_sites, config, legacy)
+    return gated(gate_inputs(events, config, block), flagged, bad_sites, config, legacy)
 
 
 def gate_stats(triaged: DataFrame) -> DataFrame:

@@ -45,6 +45,26 @@ def whole_windows(rows: DataFrame, *order: str, n: int = 20) -> DataFrame:
     return placed.withColumn("wid", F.floor(F.col("__place") / n)).withColumn("idx", (F.col("__place") % n).cast("int")).drop("__place")
 
 
+def in_blocks(events: DataFrame, halo: int, size: int = 4096, span_us: int = 3_600_000_000) -> DataFrame:
+    """Events of each pid cut into blocks of ``size``, so that a pid of any size is spread: adds ``block``, ``place`` (in the pid, from 0), ``pid_len`` and ``halo``.
+
+    A block also has the last ``halo`` events of the one before, marked, so that frames of up to ``halo`` rows back are whole inside it.
+    Places come from counts per span of time; only those counts are added up over a pid.
+    """
+    placed = _placed(events, "pid", span_us).withColumn("place", F.col("__place") - 1).drop("__place").withColumnRenamed("__len", "pid_len")
+    own = F.floor(F.col("place") / size)
+    near_end = (F.col("place") % size >= size - halo) & (F.col("place") < F.floor((F.col("pid_len") - 1) / size) * size)
+    copies = F.when(near_end, F.array(F.struct(own.alias("block"), F.lit(False).alias("halo")), F.struct((own + 1).alias("block"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(own.alias("block"), F.lit(False).alias("halo"))))
+    return placed.withColumn("__at", F.explode(copies)).select("*", "__at.*").drop("__at")
+
+
+def tumbling_in_blocks(events: DataFrame, n: int = 20) -> DataFrame:
+    """tumbling_windows of pids of any size: a place in the pid says which window an event is in, and the pid's length which windows are whole."""
+    placed = _placed(events, "pid", 3_600_000_000)
+    cut = placed.withColumn("wid", F.floor((F.col("__place") - 1) / n)).withColumn("idx", ((F.col("__place") - 1) % n).cast("int"))
+    return cut.where((F.col("wid") + 1) * n <= F.col("__len")).drop("__place", "__len")
+
+
 def sliding_last(events: DataFrame, n: int = 20, keep=None) -> DataFrame:
     """The last ``n`` events of the pid up to each event: ``filled`` (how many) and ``recent`` (array of class and resource).
 
@@ -96,12 +116,17 @@ def in_trace_order(events: DataFrame, span_us: int = 3_600_000_000) -> DataFrame
     A trace may be a whole host, so its events are ordered within spans of time; only the counts of the spans are
     added up over the trace.
     """
+    return _placed(events, "trace_id", span_us).withColumnsRenamed({"__place": "g", "__len": "trace_len"})
+
+
+def _placed(events: DataFrame, by: str, span_us: int) -> DataFrame:
+    """Adds ``__place`` of an event among all of ``by`` (from 1) and ``__len``, how many there are."""
     span = F.expr(f"ts_us div {span_us}")
-    counts = events.groupBy("trace_id", span.alias("__span")).agg(F.count("*").alias("__n"))
-    order = Window.partitionBy("trace_id").orderBy("__span")
+    counts = events.groupBy(F.col(by).alias("__by"), span.alias("__of")).agg(F.count("*").alias("__n"))
+    order = Window.partitionBy("__by").orderBy("__of")
     before = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.select(F.col("trace_id").alias("__trace"), F.col("__span").alias("__of"), before.alias("__before"), F.sum("__n").over(Window.partitionBy("trace_id")).alias("trace_len"))
-    local = F.row_number().over(Window.partitionBy("trace_id", "__span").orderBy(*ORDER))
+    offsets = counts.select("__by", "__of", before.alias("__before"), F.sum("__n").over(Window.partitionBy("__by")).alias("__len"))
+    local = F.row_number().over(Window.partitionBy(by, "__span").orderBy(*ORDER))
     both = events.withColumn("__span", span).withColumn("__local", local)
-    met = both.join(placed, F.col("trace_id").eqNullSafe(F.col("__trace")) & F.col("__span").eqNullSafe(F.col("__of")))
-    return met.withColumn("g", F.col("__before") + F.col("__local")).drop("__trace", "__of", "__span", "__before", "__local").select(*events.columns, "g", "trace_len")
+    met = both.join(offsets, F.col(by).eqNullSafe(F.col("__by")) & F.col("__span").eqNullSafe(F.col("__of")))
+    return met.withColumn("__place", F.col("__before") + F.col("__local")).select(*events.columns, "__place", "__len")

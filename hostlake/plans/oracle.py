@@ -114,7 +114,7 @@ def put(name: str, select: str) -> None:
 EV = "event_id"
 put("s014_tumbling_windows", "SELECT event_id, pid, CAST(wid AS BIGINT) AS wid, idx FROM win")
 put("s015_windows_with_tail", "SELECT event_id, trace_id, CAST((g - 1) // 20 AS BIGINT) AS wid, CAST((g - 1) % 20 AS INT) AS idx FROM ev QUALIFY count(*) OVER (PARTITION BY trace_id, (g - 1) // 20) >= 2")
-put("s016_sliding_last", "SELECT a.event_id, least(a.i, 20) AS filled, string_agg(b.sc_type, ',' ORDER BY b.i) AS recent FROM ev a JOIN ev b ON a.pid = b.pid AND b.i BETWEEN a.i - 19 AND a.i WHERE a.sc_type = 9 GROUP BY ALL")
+put("s016_sliding_last", "SELECT a.event_id, least(a.i, 20) AS filled, string_agg(b.sc_type, ',' ORDER BY b.i) AS recent FROM ev a JOIN ev b ON a.pid = b.pid AND b.i BETWEEN a.i - 19 AND a.i GROUP BY ALL")
 put("s017_last_per_trace", "SELECT event_id, trace_id FROM ev WHERE g > trace_len - 20")
 put(
     "s018_stitched_parents",
@@ -195,7 +195,7 @@ put(
     """SELECT pid, CAST(wid AS BIGINT) AS wid, string_agg(concat('PROC[', src_comm, '/', src_rtype, '] --[', label, ', dt=', printf('%.1f', floor(min_dt * 10 + 0.5) / 10), 'ms]--> PROC[', dst_comm, '/', dst_rtype, ']', CASE WHEN sensitive THEN ' [SENSITIVE]' ELSE '' END,
     CASE WHEN resource <> '' THEN concat(' path=', resource) ELSE '' END), '\n' ORDER BY ord) AS text FROM edges GROUP BY ALL""",
 )
-CTES["tls"] = "SELECT DISTINCT pid, wid, comm, concat('intent ', resource) AS payload FROM win WHERE sc_type = 3 AND win.wid % 2 = 0"
+CTES["tls"] = "SELECT DISTINCT pid, wid, comm, concat('intent ', resource) AS payload FROM win WHERE sc_type = 3"
 put(
     "s047_tls_edges",
     """SELECT t.pid, CAST(t.wid AS BIGINT) AS wid, t.comm AS src_comm, n.src_rtype, substr(payload, 1, 128) AS resource FROM tls t JOIN (SELECT pid, wid, comm, arg_min(rtype, CASE WHEN rtype = 'NET' THEN -1 ELSE first_idx END) AS src_rtype FROM node GROUP BY ALL) n USING (pid, wid, comm)""",
@@ -533,3 +533,6 @@ put(
     FROM (SELECT scenario, file, sum(hit) AS attacks, count(*) AS held FROM (SELECT e.scenario, e.file, p.hit, row_number() OVER (PARTITION BY e.scenario, e.file ORDER BY p.file DESC, p.seq DESC) AS r
     FROM part_ends e JOIN parted p ON p.scenario = e.scenario AND p.file <= e.file) t WHERE r <= 20 GROUP BY ALL) q WHERE held = 20""",
 )
+
+# the same results by other plans
+ORACLE["s014b_windows_of_large_pids"], ORACLE["s036b_triage_in_blocks"] = ORACLE["s014_tumbling_windows"], ORACLE["s036_triage"]

@@ -27,7 +27,7 @@ def over_windows(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
 
 over_events("s014_tumbling_windows", lambda e: windows.tumbling_windows(e).select("event_id", "pid", "wid", "idx"))
 over_events("s015_windows_with_tail", lambda e: windows.tumbling_windows(e, by=("trace_id",), min_len=2).select("event_id", "trace_id", "wid", "idx"))
-over_events("s016_sliding_last", lambda e: windows.sliding_last(e, keep=F.col("sc_type") == 9).select("event_id", "filled", F.array_join(F.transform("recent", lambda r: r["sc_type"].cast("string")), ",").alias("recent")))
+over_events("s016_sliding_last", lambda e: windows.sliding_last(e).select("event_id", "filled", F.array_join(F.transform("recent", lambda r: r["sc_type"].cast("string")), ",").alias("recent")))
 over_events("s017_last_per_trace", lambda e: windows.last_per_trace(e).select("event_id", "trace_id"))
 over_events("s018_stitched_parents", lambda e: windows.stitch_parents(windows.tumbling_windows(e), e).select("pid", "wid", "idx", "event_id", "from_parent"))
 over_events("s019_drop_unresolved", lambda e: windows.drop_unresolved(e).select("event_id"))
@@ -78,7 +78,7 @@ over_windows("s044_edge_hints", lambda w: graph.edges(w).groupBy("semantic").agg
 over_windows("s045_meta", graph.meta)
 over_windows("s046_serialized", graph.serialized)
 over_windows("s046b_serialized_arrows", graph.serialized_arrows)
-over_windows("s047_tls_edges", lambda w: graph.tls_edges(w, w.where((F.col("sc_type") == 3) & (F.col("wid") % 2 == 0)).select("pid", "wid", "comm", F.concat(F.lit("intent "), "resource").alias("payload")).distinct()).drop("dst_rtype", "label", "sensitive"))
+over_windows("s047_tls_edges", lambda w: graph.tls_edges(w, w.where(F.col("sc_type") == 3).select("pid", "wid", "comm", F.concat(F.lit("intent "), "resource").alias("payload")).distinct()).drop("dst_rtype", "label", "sensitive"))
 over_windows("s048_fingerprints", lambda w: graph.fingerprints(graph.edges(w)).groupBy("fingerprint").agg(F.count("*").alias("windows")))
 over_windows("s049_features", graph.features)
 over_windows("s050_compression", graph.compression)
@@ -336,3 +336,7 @@ over_events("s006_whole_windows", lambda e: windows.whole_windows(provenance.lit
 over_events("s007_call_numbers", lambda e: readers.call_numbers(rendered.call_number_lines(e)).drop("path"))
 over_events("s008_call_number_summary", lambda e: readers.call_number_summary(readers.call_numbers(rendered.call_number_lines(e))))
 over_events("s010_file_end_windows", lambda e: provenance.file_end_windows(rendered.file_acts(e), ATTACK_TYPES))
+
+over_events("s014b_windows_of_large_pids", lambda e: windows.tumbling_in_blocks(e).select("event_id", "pid", "wid", "idx"))
+over_events("s036b_triage_in_blocks", lambda e: sequence.triage(e, block=4096).select("event_id", "entropy", "markov_entropy", "novel_edge", "novel_transition", "trigger"))
+over_chain("s097b_held_out", lambda c: evaluate.area_under_curve(scores.ngram_scores(c.windows, c.truth()).join(c.truth(), graph.KEY)))

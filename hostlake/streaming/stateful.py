@@ -301,6 +301,9 @@ def decisions(events: DataFrame, path: str, checkpoint: str, trigger: dict | Non
         held = batch.persist()
         held.where("late").drop("wid", "idx", "late").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
         whole = held.where("NOT late").drop("late")
+        if whole.isEmpty():
+            held.unpersist()
+            return
         scored = graph.provenance_score(whole, graph.edges(whole))
         decided = scores.routed(scored, scores.heuristic(graph.serialized(whole)))
         tier = tiers.tier_of(F.col("confidence"), F.col("label"))
