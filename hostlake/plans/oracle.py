@@ -536,3 +536,15 @@ put(
 
 # the same results by other plans
 ORACLE["s014b_windows_of_large_pids"], ORACLE["s036b_triage_in_blocks"] = ORACLE["s014_tumbling_windows"], ORACLE["s036_triage"]
+
+# result files as rendered.artifacts writes them
+META = """concat('"meta":{"backend":"', CASE pid % 3 WHEN 0 THEN 'trusted' WHEN 1 THEN 'unknown' ELSE 'other' END, '","system":"', CASE WHEN pid % 5 = 0 THEN 'Darwin' ELSE 'Linux' END, '","platform":"', CASE WHEN pid % 10 = 0 THEN 'MacBook-1' ELSE 'vm' END, '","fallbacks":', pid % 4, ',"machine":"', CASE WHEN pid % 2 = 0 THEN 'x86_64' ELSE 'arm64' END, '"}')"""
+CTES["made"] = f"""SELECT pid, n, pid % 6 <> 0 AS is_json, pid % 11 = 0 AS broken, CASE WHEN pid % 2 = 0 THEN concat('{{"p50":', n, ',"p99":', 2 * n, '}}') ELSE concat('{{"mean":', n, '}}') END AS timing,
+  CASE WHEN pid % 7 = 0 THEN '' ELSE concat(',', {META}) END AS meta FROM (SELECT pid, count(*) AS n FROM ke GROUP BY pid) q"""
+CTES["artifact"] = "SELECT *, concat(CASE WHEN broken THEN '{' ELSE '' END, '{\"f1\":', n, ',\"n_windows\":', n // 20, ',\"ipg_ms\":', timing, meta, '}') AS body FROM made"
+put(
+    "s013_manifest",
+    """SELECT concat('run', pid, CASE WHEN is_json THEN '.json' ELSE '.txt' END) AS name, CAST(length(body) AS BIGINT) AS bytes, sha256(body) AS sha256, CASE WHEN is_json AND NOT broken THEN concat('f1=', n, ';ipg_ms=', timing, ';n_windows=', n // 20) ELSE '' END AS headline,
+    CASE WHEN NOT is_json OR broken THEN '' WHEN meta = '' THEN 'NO META BLOCK' ELSE concat_ws(';', CASE pid % 3 WHEN 1 THEN 'backend=unknown (non-LLM eval?)' WHEN 2 THEN 'backend=other' END, CASE WHEN pid % 5 = 0 THEN 'MAC_HOST_REJECT' END, CASE WHEN pid % 10 = 0 THEN 'MAC_PLATFORM_REJECT' END,
+      CASE WHEN pid % 4 > 0 THEN concat('MOCK_FALLBACKS=', pid % 4) END, CASE WHEN pid % 2 = 1 THEN 'machine=arm64' END) END AS flags, CASE WHEN is_json AND broken THEN 'invalid JSON' END AS error FROM artifact""",
+)

@@ -13,6 +13,7 @@ from hostlake.operators import evaluate, evidence, flagging, graph, joins, rollu
 from hostlake.plans import rendered
 from hostlake.sources import provenance, readers
 from hostlake.sources.adapter import attack_windows, kernel_events, threat_ips, valid_call_sites
+from hostlake.staging import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -115,19 +116,40 @@ over_events("s074b_violations_by_rule", lambda e: rules.violations_by_rule(rules
 # scores, evidence, tiers and evaluation share one chain: windows, graph, score, decision
 
 
+def kept(make: Callable) -> Callable:
+    """A table of the chain that is staged when it is first asked for, so that what is derived from it doesn't compute it again."""
+
+    def get(self: Chain) -> DataFrame:
+        if make.__name__ not in self.tables:
+            self.tables[make.__name__] = staged(make(self))
+        return self.tables[make.__name__]
+
+    return get
+
+
 class Chain:
-    """Lazily built tables over one sf_dir that several queries use."""
+    """Tables over one sf_dir that several queries use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
+        self.tables: dict[str, DataFrame] = {}
         self.events = kernel_events(spark, sf_dir)
-        self.windows = windows.tumbling_windows(self.events)
-        self.sites = joins.call_sites(self.windows, valid_call_sites(spark))
 
+    @property
+    @kept
+    def windows(self) -> DataFrame:
+        return windows.tumbling_windows(self.events)
+
+    @property
+    def sites(self) -> DataFrame:
+        return joins.call_sites(self.windows, valid_call_sites(self.spark))
+
+    @kept
     def scored(self) -> DataFrame:
         edges = graph.edges(self.windows)
         return graph.provenance_score(self.windows, edges)
 
+    @kept
     def texts(self) -> DataFrame:
         return graph.serialized(self.windows)
 
@@ -152,12 +174,14 @@ class Chain:
         both = self.routed().join(self.truth(), graph.KEY).withColumn("flagged", F.col("label") == "MALICIOUS")
         return both.withColumn("correct", F.col("flagged") == F.col("malicious"))
 
+    @kept
     def matched(self) -> DataFrame:
         return evidence.matched_claims(evidence.window_claims(self.windows), self.windows)
 
     def report(self) -> DataFrame:
         return evidence.evidence_report(self.matched(), self.routed())
 
+    @kept
     def hits(self) -> DataFrame:
         """Rule violations of the window that holds the trigger."""
         found = rules.violations(self.events).select("pid", "g", "severity", "trace_id")
@@ -165,6 +189,7 @@ class Chain:
         placed = windows.in_trace_order(self.events).select("trace_id", "g", "event_id").join(found, ["trace_id", "g"])
         return at.join(placed.drop("pid"), "event_id").groupBy("pid", "wid").agg(F.count("*").alias("n_violations"), F.count_if(F.col("severity") == "CRITICAL").alias("n_critical"), F.max(F.when(F.col("severity") == "CRITICAL", 0.95).when(F.col("severity") == "HIGH", 0.85).otherwise(0.65)).alias("severity"))
 
+    @kept
     def facts(self) -> DataFrame:
         """Everything that tiers are computed from, one row per window."""
         out = self.report().join(self.scored().select("pid", "wid", "n_nodes", "n_edges", F.col("score").alias("graph_score")), graph.KEY)
@@ -340,3 +365,7 @@ over_events("s010_file_end_windows", lambda e: provenance.file_end_windows(rende
 over_events("s014b_windows_of_large_pids", lambda e: windows.tumbling_in_blocks(e).select("event_id", "pid", "wid", "idx"))
 over_events("s036b_triage_in_blocks", lambda e: sequence.triage(e, block=4096).select("event_id", "entropy", "markov_entropy", "novel_edge", "novel_transition", "trigger"))
 over_chain("s097b_held_out", lambda c: evaluate.area_under_curve(scores.ngram_scores(c.windows, c.truth()).join(c.truth(), graph.KEY)))
+over_events(
+    "s013_manifest",
+    lambda e: readers.artifact_facts(rendered.artifacts(e)).select("name", "bytes", "sha256", F.array_join(F.transform(F.array_sort(F.map_entries("headline")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("headline"), F.array_join("flags", ";").alias("flags"), "error"),
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PREFIX = "com.bbn.tc.schema.avro.cdm18."
 
@@ -42,3 +43,16 @@ def file_acts(events: DataFrame) -> DataFrame:
     kind = "CASE sc_type WHEN 0 THEN 'PROCESS-CREATE' WHEN 1 THEN 'FILE-READ' WHEN 2 THEN 'FILE-WRITE' WHEN 3 THEN 'NETWORK-CONNECT' WHEN 7 THEN 'PRIVILEGE-ESCALATE' ELSE 'OTHER' END"
     rows = events.selectExpr("ppid % 7 AS scenario", "ts_us div 21600000000 AS file", "event_id AS seq", f"{kind} AS type")
     return rows.unionByName(events.selectExpr("ppid % 7 AS scenario", "ts_us div 21600000000 + 1 AS file", "CAST(NULL AS BIGINT) AS seq", "CAST(NULL AS STRING) AS type").distinct())
+
+
+def artifacts(events: DataFrame) -> DataFrame:
+    """One result file per process: ``name``, ``content``, ``bytes``, ``modified``; some are broken, some have no meta block, some are no JSON."""
+    by = events.groupBy("pid").agg(F.count("*").alias("n"))
+    backend = F.when(F.col("pid") % 3 == 0, "trusted").when(F.col("pid") % 3 == 1, "unknown").otherwise("other")
+    two = lambda k, a, b: F.when(F.col("pid") % k == 0, a).otherwise(b)
+    meta = F.when(F.col("pid") % 7 != 0, F.struct(backend.alias("backend"), two(5, "Darwin", "Linux").alias("system"), two(10, "MacBook-1", "vm").alias("platform"), (F.col("pid") % 4).alias("fallbacks"), two(2, "x86_64", "arm64").alias("machine")))
+    even = F.col("pid") % 2 == 0
+    timing = F.struct(F.when(even, F.col("n")).alias("p50"), F.when(even, 2 * F.col("n")).alias("p99"), F.when(~even, F.col("n")).alias("mean"))
+    text = F.to_json(F.struct(F.col("n").alias("f1"), F.expr("n div 20").alias("n_windows"), timing.alias("ipg_ms"), meta.alias("meta")))
+    body = F.when(F.col("pid") % 11 == 0, F.concat(F.lit("{"), text)).otherwise(text)
+    return by.select(F.concat(F.lit("run"), "pid", two(6, ".txt", ".json")).alias("name"), body.cast("binary").alias("content"), F.length(body).cast("long").alias("bytes"), F.lit("2024-01-01").cast("timestamp").alias("modified"))

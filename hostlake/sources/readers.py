@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from hostlake.functions import constants as C
 from hostlake.functions.events import mapped
 from hostlake.operators.windows import in_whole_order
+from hostlake.staging import staged
 
 LINE = r"^\s*\[?(\d+)\]?\s+(\d+):(\d+):(\d+)\.(\d+)\s+(\w+)\s*\((.*)\)\s*=\s*(-?\d+|0x[0-9a-f]+)"
 
@@ -85,6 +86,17 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("trace string, ground_truth string, technique string, command string, label_source string, capture_mode string, label_rationale string").option("multiLine", "true").json(path)
 
 
+def labels_of(traces: DataFrame, sidecars: DataFrame, known: DataFrame) -> DataFrame:
+    """``trace``, ``label`` and ``technique``: from the trace's sidecar, else from the ``known`` map, else unknown to either and left out.
+
+    ``traces``: trace; ``sidecars``: as read_labels gives them; ``known``: trace, label, technique. Labels are upper case.
+    """
+    told = sidecars.where(F.col("ground_truth").isNotNull()).groupBy("trace").agg(F.min(F.struct(F.upper("ground_truth").alias("label"), "technique")).alias("told"))
+    mapped_ = known.groupBy("trace").agg(F.min(F.struct(F.upper("label").alias("label"), "technique")).alias("known"))
+    met = traces.select("trace").distinct().join(told, "trace", "left").join(mapped_, "trace", "left").withColumn("it", F.coalesce("told", "known"))
+    return met.where(F.col("it").isNotNull()).select("trace", "it.label", "it.technique")
+
+
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:
     """Calibration scores as JSON lines; malformed rows and other labels are dropped. A missing file is an empty table."""
     schema = "score double, label string"
@@ -99,13 +111,54 @@ def write_calibration(rows: DataFrame, path: str) -> None:
     rows.select("score", "label").write.mode("append").json(path)
 
 
-def write_audit(audit: DataFrame, path: str, incidents_path: str | None = None) -> None:
-    """Append audit records as JSON; malicious ones of tier 3 and 4 also go to the incidents."""
-    audit.write.mode("append").json(path)
+def write_audit(audit: DataFrame, path: str, incidents_path: str | None = None, isolated_path: str | None = None) -> None:
+    """Append audit records as JSON; malicious ones of tier 3 and 4 also go to the incidents, those of tier 4 (ISOLATE) to a sink of their own.
+
+    The records are computed once: the further sinks are written from what the first has taken.
+    """
+    held = staged(audit)
+    held.write.mode("append").json(path)
+    bad = F.col("label") == "MALICIOUS"
     if incidents_path:
-        audit.where((F.col("label") == "MALICIOUS") & (F.col("tier") >= 3)).write.mode("append").json(incidents_path)
+        held.where(bad & (F.col("tier") >= 3)).write.mode("append").json(incidents_path)
+    if isolated_path:
+        held.where(bad & (F.col("tier") >= 4)).write.mode("append").json(isolated_path)
+
+
+#: Figures that a manifest shows: plain ones, and blocks of which the percentiles are shown where they have them. fixed values
+HEADLINES = ("f1", "tpr", "fpr", "precision", "accuracy", "fpr_ci_95", "n_windows", "n_traces", "recommended_claim")
+TIMINGS = ("ipg_ms", "cwae_ms", "memory", "detector_throughput")
 
 
-def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Name, size, digest and time of every file under ``path``."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), "modificationTime")
+def artifact_facts(files: DataFrame, trusted: str = "trusted", fallbacks: str = "fallbacks") -> DataFrame:
+    """Per result file (``name``, ``content``, ``bytes``, ``modified``): ``sha256``, ``headline`` (figure to its JSON), ``flags`` and ``error``.
+
+    Files may have any shape; only JSON files are looked into. ``trusted`` is the backend that needs no flag, ``fallbacks`` the name in the
+    meta block of the count of answers that weren't a model's.
+    """
+    is_json = F.endswith("name", F.lit(".json"))
+    doc = F.when(is_json, F.try_parse_json(F.col("content").cast("string")))
+    one = files.withColumn("__doc", doc)
+    at = lambda path, kind="string": F.try_variant_get("__doc", f"$.{path}", kind)
+    text = lambda path: F.to_json(F.try_variant_get("__doc", f"$.{path}", "variant"))
+    shown = lambda name, value: F.when(value.isNotNull(), F.struct(F.lit(name).alias("key"), value.alias("value")))
+    tail = lambda name: F.concat(F.lit('{"p50":'), text(f"{name}.p50"), F.lit(',"p99":'), F.coalesce(text(f"{name}.p99"), F.lit("null")), F.lit("}"))
+    block = lambda name: F.when(F.startswith(text(name), F.lit("{")), F.coalesce(tail(name), text(name)))
+    headline = F.map_from_entries(F.array_compact(F.array(*(shown(n, text(n)) for n in HEADLINES), *(shown(n, block(n)) for n in TIMINGS))))
+    has_meta = F.startswith(F.coalesce(text("meta"), F.lit("")), F.lit("{"))
+    backend, machine = at("meta.backend"), at("meta.machine")
+    mocks = at(f"meta.{fallbacks}", "bigint")
+    flags = F.array_compact(F.array(
+        F.when(backend == "unknown", "backend=unknown (non-LLM eval?)").when(backend != trusted, F.concat(F.lit("backend="), backend)),
+        F.when(at("meta.system") == "Darwin", "MAC_HOST_REJECT"), F.when(F.contains(at("meta.platform"), F.lit("MacBook")), "MAC_PLATFORM_REJECT"),
+        F.when(mocks > 0, F.concat(F.lit("MOCK_FALLBACKS="), mocks)), F.when((machine != "") & (machine != "x86_64"), F.concat(F.lit("machine="), machine)),
+    ))
+    broken = is_json & F.col("__doc").isNull()
+    flags = F.when(is_json & ~broken & ~has_meta, F.array(F.lit("NO META BLOCK"))).otherwise(flags)
+    return one.select("name", "bytes", F.sha2("content", 256).alias("sha256"), "modified", headline.alias("headline"), flags.alias("flags"), F.when(broken, "invalid JSON").alias("error"))
+
+
+def artifact_manifest(spark: SparkSession, path: str, **names: str) -> DataFrame:
+    """artifact_facts of every file under ``path``. A file is read whole, as its digest and its figures ask."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return artifact_facts(files.select(F.substring_index("path", "/", -1).alias("name"), "content", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified")), **names)

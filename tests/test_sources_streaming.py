@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 
@@ -65,7 +66,54 @@ def test_call_numbers_labels_calibration_audit(spark, tmp_path):
     audit = spark.createDataFrame([(1, "MALICIOUS", 4), (2, "MALICIOUS", 1), (3, "BENIGN", 0)], "pid long, label string, tier int")
     readers.write_audit(audit, str(tmp_path / "audit"), str(tmp_path / "incidents"))
     assert spark.read.json(str(tmp_path / "audit")).count() == 3 and spark.read.json(str(tmp_path / "incidents")).count() == 1
-    assert readers.artifact_manifest(spark, str(tmp_path / "c.jsonl")).first().bytes > 10
+    readers.write_audit(audit, str(tmp_path / "audit"), str(tmp_path / "incidents"), str(tmp_path / "isolated"))
+    assert spark.read.json(str(tmp_path / "audit")).count() == 6 and [r.pid for r in spark.read.json(str(tmp_path / "isolated")).collect()] == [1]
+    known = spark.createDataFrame([("a", "malicious", "T1"), ("b", "malicious", "T2")], "trace string, label string, technique string")
+    traces = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "trace string")
+    labels = readers.labels_of(traces, readers.read_labels(spark, str(tmp_path / "l.json")), known).collect()
+    assert sorted(map(tuple, labels), key=str) == [("a", "BENIGN", None), ("b", "MALICIOUS", "T2")]
+
+
+def test_manifest(spark, tmp_path):
+    files = {
+        "good.json": {"f1": 0.5, "tpr": None, "ipg_ms": {"p50": 1.5, "x": 2}, "memory": {"mb": 3}, "cwae_ms": 7, "meta": {"backend": "trusted", "machine": "x86_64", "fallbacks": 0}},
+        "bad.json": {"meta": {"backend": "mock", "system": "Darwin", "platform": "my MacBook", "fallbacks": 3, "machine": "arm"}},
+        "bare.json": {"accuracy": [1, 2]},
+        "list.json": [1],
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_text(json.dumps(content))
+    (tmp_path / "torn.json").write_text('{"f1": ')
+    (tmp_path / "log.txt").write_text("{")
+    got = {r.name: r for r in readers.artifact_manifest(spark, str(tmp_path)).collect()}
+    assert got["good.json"].headline == {"f1": "0.5", "tpr": "null", "ipg_ms": '{"p50":1.5,"p99":null}', "memory": '{"mb":3}'} and got["good.json"].flags == []
+    assert got["bad.json"].flags == ["backend=mock", "MAC_HOST_REJECT", "MAC_PLATFORM_REJECT", "MOCK_FALLBACKS=3", "machine=arm"]
+    assert [got[n].flags for n in ("bare.json", "list.json", "torn.json", "log.txt")] == [["NO META BLOCK"], ["NO META BLOCK"], [], []]
+    assert got["bare.json"].headline == {"accuracy": "[1,2]"} and [n for n, r in got.items() if r.error] == ["torn.json"]
+    assert got["log.txt"].sha256 == hashlib.sha256(b"{").hexdigest() and got["log.txt"].bytes == 1
+
+
+def test_lite_records_and_missing_parts(spark):
+    ref = "com.bbn.tc.schema.avro.cdm18."
+    uuid = lambda u: {ref + "UUID": u}
+    records = [
+        {"datum": {ref + "Event": {"type": "EVENT_EXECUTE", "timestampNanos": 1999, "subject": uuid("s"), "properties": {"map": {"exec": "renamed"}}}}},
+        {"datum": {ref + "Event": {"type": "EVENT_OPEN", "subject": uuid("s"), "predicateObject": uuid("f")}}},
+        {"datum": {ref + "Event": {"type": "EVENT_EXECUTE", "subject": uuid("s"), "predicateObject": uuid("f"), "predicateObjectPath": {"string": "/bin/x"}, "properties": {"map": {"exec": "other"}}}}},
+        {"datum": {ref + "Event": {"type": "EVENT_CONNECT", "subject": uuid("gone"), "properties": {"map": {"address": "9.9.9.9", "port": "1"}}}}},
+        {"datum": {ref + "Event": {"type": "EVENT_FORK", "subject": uuid("s")}}},
+        {"datum": {ref + "Event": {"type": "EVENT_SENDTO", "subject": None, "predicateObject": uuid("n")}}},
+        {"datum": {ref + "Subject": {"uuid": "s", "cid": 5, "properties": {"name": "first"}}}},
+        {"datum": {ref + "FileObject": {"uuid": "f", "baseObject": {"properties": {"map": {}}}}}},
+        {"datum": {ref + "NetFlowObject": {"uuid": "n", "remoteAddress": "8.8.8.8", "remotePort": 0, "localAddress": "10.0.0.1", "localPort": 22}}},
+        {"datum": {}}, {"x": 1}, [],
+    ]
+    lines = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(90, ""), (91, None), (92, "{bad")], "seq long, value string")
+    lite = provenance.lite_provenance_events(lines).orderBy("seq").collect()
+    assert [(r.ts_us, r.pid, r.ppid, r.comm, r.sc_type, r.resource) for r in lite] == [(1, 5, 0, "renamed", 0, ""), (0, 5, 0, "renamed", 1, "/unknown"), (0, 5, 0, "renamed", 0, "/bin/x"), (0, 0, 0, "unknown", 3, "9.9.9.9"), (0, 0, 0, "unknown", 3, "")]
+    full = provenance.provenance_events(lines).orderBy("seq").collect()
+    assert [(r.comm, r.sc_type, r.resource) for r in full] == [("renamed", 0, ""), ("unknown", 1, ""), ("other", 0, "/bin/x"), ("unknown", 3, "9.9.9.9:1"), ("unknown", 5, ""), ("unknown", 3, "10.0.0.1:22")]
+    assert provenance.provenance_events(lines.limit(0)).count() == 0
 
 
 def test_streams_equal_batch(spark, sf, tmp_path):
