@@ -97,10 +97,17 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
     return responses.select(*KEY, F.when(label == "MALICIOUS", label).otherwise("BENIGN").alias("label"), F.when(made["confidence"].isNull(), 0.5).otherwise(F.least(F.greatest(made["confidence"], F.lit(0.0)), F.lit(1.0))).alias("confidence"), F.coalesce(made["mitre_ttps"], F.array().cast("array<string>")).alias("ttps"))
 
 
-def call_site_score(windows_with_sites: DataFrame) -> DataFrame:
-    """``static`` (any captured address outside the known sites) and ``score`` per window; ``ai`` may be a column, else 0."""
+def call_site_score(windows_with_sites: DataFrame, divergence: DataFrame | None = None) -> DataFrame:
+    """Per window: ``static`` (1: some captured address lies outside the known sites) and ``score``.
+
+    ``divergence`` (pid, wid, ``ai``: how far behaviour is from what is known to be good, 0 to 1) goes into a blend of 0.4 and 0.6; a window without one counts as 0.
+    An address outside keeps the score at 0.55 at least, however low the divergence.
+    """
     by = windows_with_sites.groupBy(*KEY).agg(F.max(((F.col("ip") != 0) & ~F.col("inside")).cast("int")).alias("static"))
-    return by.withColumn("score", F.greatest(0.4 * F.col("static"), 0.55 * F.col("static")))
+    if divergence is None:
+        return by.withColumn("score", F.greatest(0.4 * F.col("static"), 0.55 * F.col("static")))
+    met = by.join(divergence.select(*KEY, F.col("ai")), KEY, "left").withColumn("ai", F.coalesce("ai", F.lit(0.0)))
+    return met.withColumn("score", F.round(F.greatest(0.4 * F.col("static") + 0.6 * F.col("ai"), 0.55 * F.col("static")), 6))
 
 
 def behaviour_vectors(windows_with_sites: DataFrame) -> DataFrame:

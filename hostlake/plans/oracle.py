@@ -548,3 +548,9 @@ put(
     CASE WHEN NOT is_json OR broken THEN '' WHEN meta = '' THEN 'NO META BLOCK' ELSE concat_ws(';', CASE pid % 3 WHEN 1 THEN 'backend=unknown (non-LLM eval?)' WHEN 2 THEN 'backend=other' END, CASE WHEN pid % 5 = 0 THEN 'MAC_HOST_REJECT' END, CASE WHEN pid % 10 = 0 THEN 'MAC_PLATFORM_REJECT' END,
       CASE WHEN pid % 4 > 0 THEN concat('MOCK_FALLBACKS=', pid % 4) END, CASE WHEN pid % 2 = 1 THEN 'machine=arm64' END) END AS flags, CASE WHEN is_json AND broken THEN 'invalid JSON' END AS error FROM artifact""",
 )
+
+# call sites blended with the divergence of behaviour
+CTES["vector"] = f"SELECT v.*, bad AS static FROM (SELECT pid, wid, round(avg((sc_type % 16) / 16), 6) AS v1, round(avg(ln(distance + 1.0::DOUBLE) / 30), 6) AS v2, round(avg(({CATEGORY}) / 8), 6) AS v3, max(CAST(ip <> 0 AND distance > 0 AS INT)) AS bad FROM win JOIN placed USING (ip) GROUP BY ALL) v"
+CTES["centre"] = "SELECT avg(v1) FILTER (static = 0) AS i1, avg(v2) FILTER (static = 0) AS i2, avg(v3) FILTER (static = 0) AS i3, avg(v1) FILTER (static = 1) AS o1, avg(v2) FILTER (static = 1) AS o2, avg(v3) FILTER (static = 1) AS o3 FROM vector"
+CTES["apart"] = "SELECT pid, wid, static, sqrt((v1 - i1) ** 2 + (v2 - i2) ** 2 + (v3 - i3) ** 2) AS i, sqrt((v1 - o1) ** 2 + (v2 - o2) ** 2 + (v3 - o3) ** 2) AS o FROM vector JOIN centre ON true"
+put("s081b_call_site_blend", f"SELECT {KEYS}, static, round(ai, 6) AS ai, round(greatest(0.4::DOUBLE * static + 0.6::DOUBLE * ai, 0.55::DOUBLE * static), 6) AS score FROM (SELECT *, CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0.5::DOUBLE END AS ai FROM apart) q")

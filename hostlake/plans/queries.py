@@ -369,3 +369,15 @@ over_events(
     "s013_manifest",
     lambda e: readers.artifact_facts(rendered.artifacts(e)).select("name", "bytes", "sha256", F.array_join(F.transform(F.array_sort(F.map_entries("headline")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("headline"), F.array_join("flags", ";").alias("flags"), "error"),
 )
+
+
+def blended(c: Chain) -> DataFrame:
+    """Call-site scores with the divergence of behaviour from that of windows whose addresses are all known."""
+    sites = staged(c.sites)
+    known = scores.call_site_score(sites).select("pid", "wid", "static")
+    vectors = scores.behaviour_vectors(sites).join(known, graph.KEY).withColumn("vector", F.array("v1", "v2", "v3"))
+    apart = scores.centroid_divergence(staged(vectors), "vector", F.col("static") == 0)
+    return scores.call_site_score(sites, apart.select("pid", "wid", F.col("divergence").alias("ai"))).withColumn("ai", F.round("ai", 6))
+
+
+over_chain("s081b_call_site_blend", blended)
