@@ -6,6 +6,8 @@ second one's call; edges of equal ends and label merge. Windows are rows with pi
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,35 +55,56 @@ def edges(windows: DataFrame) -> DataFrame:
     )
 
 
-def meta(windows: DataFrame, graph: DataFrame | None = None) -> DataFrame:
+def meta(windows: DataFrame) -> DataFrame:
     """One row per window with the graph's eight figures."""
-    return _figures(windows, graph).drop("odd")
-
-
-def _figures(windows: DataFrame, graph: DataFrame | None = None) -> DataFrame:
-    """:func:`meta` and ``odd``: an external connection of a server or of a process that isn't a known daemon."""
-    graph = edges(windows) if graph is None else graph
-    distinct = windows.select(*KEY, "comm", rtype(F.col("sc_type")).alias("rtype")).distinct()
-    by_node = distinct.groupBy(*KEY).agg(F.count("*").alias("n_nodes"), F.bool_or(~F.lower("comm").isin(*C.DAEMONS)).alias("unusual_comm"))
-    staged_exec = (F.col("label") == "execve") & F.coalesce(_starts(F.col("resource")), F.lit(False))
-    source = F.lower("src_comm")
-    by_edge = graph.groupBy(*KEY).agg(
-        F.count("*").alias("n_edges"),
-        F.count_if("external").alias("outbound_ext"),
-        F.count_if((F.col("label") == "openat(R)") & F.col("sensitive")).alias("sensitive_reads"),
-        F.bool_or(staged_exec).alias("tmp_exec"),
-        F.coalesce(F.min(F.when(F.col("label") == "connect", F.col("ord"))) < F.max(F.when(F.col("label") == "execve", F.col("ord"))), F.lit(False)).alias("exec_after_net"),
-        F.bool_or(F.col("external") & (source.isin(*C.SERVERS) | ~source.isin(*C.DAEMONS))).alias("odd"),
-    )
-    return by_node.join(by_edge, KEY).withColumn("external_connect", F.col("outbound_ext") > 0)
+    return _figures(windows).drop("odd")
+
+
+#: Bits of what an event's call tells of an edge that it ends, and of its process as the source of the next.
+EXTERNAL, SENSITIVE, STAGED, CONNECT, EXECVE, SUSPECT, UNUSUAL = (1 << i for i in range(7))
+
+
+def _figures(windows: DataFrame) -> DataFrame:
+    """:func:`meta` and ``odd``: an external connection of a server or of a process that isn't a known daemon.
+
+    A window is gathered once, as the arrays of its nodes, labels and bits in order, and its figures are read off them: an edge counts where it
+    occurs first, and its place in the graph's iteration order is that of its source, then of the pair, then its own.
+    """
+    label, comm = syscall_label(F.col("sc_type")), F.lower("comm")
+    shown = F.substring("resource", 1, 64)
+    marks = {
+        EXTERNAL: (label == "connect") & is_external_routable(shown), SENSITIVE: (label == "openat(R)") & is_sensitive(F.col("resource")),
+        STAGED: (label == "execve") & F.coalesce(_starts(shown), F.lit(False)), CONNECT: label == "connect", EXECVE: label == "execve",
+        SUSPECT: comm.isin(*C.SERVERS) | ~comm.isin(*C.DAEMONS), UNUSUAL: ~comm.isin(*C.DAEMONS),
+    }
+    bits = reduce(lambda a, b: a + b, [F.when(c, bit).otherwise(0) for bit, c in marks.items()])
+    node = F.concat("comm", F.lit("\x00"), rtype(F.col("sc_type")))
+    whole = windows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", node.alias("node"), label.alias("label"), bits.alias("bits")))).alias("e")).where(F.size("e") > 1)
+    parts = whole.select(*KEY, *(F.col(f"e.{c}").alias(c) for c in ("node", "label", "bits")))
+    rest = F.size("node") - 1
+    paired = parts.withColumn("pair", F.zip_with(F.slice("node", F.lit(1), rest), F.slice("node", F.lit(2), rest), lambda a, b: F.concat(a, F.lit("\x01"), b)))
+    keyed = paired.withColumn("key", F.zip_with("pair", F.slice("label", F.lit(2), rest), lambda a, b: F.concat(a, F.lit("\x01"), b)))
+    first = F.filter(F.sequence(F.lit(1), F.size("key")), lambda j: F.array_position("key", F.element_at("key", j)) == j)
+    wide = F.size("node").cast("long") + 1
+    place = lambda j: (F.array_position("node", F.element_at("node", j)) * wide + F.array_position("pair", F.element_at("pair", j))) * wide + j
+    merged = keyed.withColumn("edge", F.transform(first, lambda j: F.struct(F.element_at("bits", j + 1).alias("bits"), F.element_at("bits", j).alias("source"), place(j).alias("place"))))
+    has = lambda c, bit: c.bitwiseAND(F.lit(bit)) > 0
+    edges_with = lambda bit: F.filter("edge", lambda e: has(e["bits"], bit))
+    places = lambda bit: F.transform(edges_with(bit), lambda e: e["place"])
+    return merged.select(
+        *KEY, F.size(F.array_distinct("node")).cast("long").alias("n_nodes"), F.exists("bits", lambda b: has(b, UNUSUAL)).alias("unusual_comm"),
+        F.size("edge").cast("long").alias("n_edges"), F.size(edges_with(EXTERNAL)).cast("long").alias("outbound_ext"), F.size(edges_with(SENSITIVE)).cast("long").alias("sensitive_reads"),
+        (F.size(edges_with(STAGED)) > 0).alias("tmp_exec"), F.coalesce(F.array_min(places(CONNECT)) < F.array_max(places(EXECVE)), F.lit(False)).alias("exec_after_net"),
+        F.exists("edge", lambda e: has(e["bits"], EXTERNAL) & has(e["source"], SUSPECT)).alias("odd"),
+    ).withColumn("external_connect", F.col("outbound_ext") > 0)
 
 
 def _starts(resource: Column) -> Column:
     return F.startswith(resource, F.lit(C.STAGED_EXEC_PREFIXES[0])) | F.startswith(resource, F.lit(C.STAGED_EXEC_PREFIXES[1])) | F.startswith(resource, F.lit(C.STAGED_EXEC_PREFIXES[2]))
 
 
-def provenance_score(windows: DataFrame, graph: DataFrame | None = None) -> DataFrame:
-    """The figures of :func:`meta` with ``score`` (0 to 1); nodes and edges are gone through once."""
+def provenance_score(windows: DataFrame) -> DataFrame:
+    """The figures of :func:`meta` with ``score`` (0 to 1)."""
     raw = (
         F.when(F.col("tmp_exec"), 0.75).otherwise(0.0)
         + F.when(F.col("odd"), 0.80).otherwise(0.0)
@@ -89,13 +112,13 @@ def provenance_score(windows: DataFrame, graph: DataFrame | None = None) -> Data
         + F.when(F.col("exec_after_net"), 0.30).otherwise(0.0)
         + F.when(F.col("unusual_comm"), 0.15).otherwise(0.0)
     )
-    return _figures(windows, graph).withColumn("score", F.round(F.least(raw, F.lit(1.0)), 6)).drop("odd")
+    return _figures(windows).withColumn("score", F.round(F.least(raw, F.lit(1.0)), 6)).drop("odd")
 
 
 def serialized(windows: DataFrame) -> DataFrame:
     """``text``: one description per window, of figures, nodes, edges and processes."""
     graph, points = edges(windows), nodes(windows)
-    figures = meta(windows, graph)
+    figures = meta(windows)
     named = lambda side: points.select(*KEY, F.col("comm").alias(f"{side}_comm"), F.col("rtype").alias(f"{side}_rtype"), F.col("node").alias(side))
     lines = graph.join(named("src"), [*KEY, "src_comm", "src_rtype"]).join(named("dst"), [*KEY, "dst_comm", "dst_rtype"])
     one = lambda c: F.format_string("%.1f", F.floor(F.col(c) * 10 + 0.5) / 10.0)
@@ -169,7 +192,7 @@ def features(windows: DataFrame) -> DataFrame:
     parallel = graph.groupBy(*KEY, "src_comm", "src_rtype", "dst_comm", "dst_rtype").agg(F.count("*").alias("n")).groupBy(*KEY).agg(F.max("n").cast("double").alias("max_parallel_edges"))
     by_comm = nodes(windows).groupBy(*KEY, "comm").agg(F.count("*").alias("n")).withColumn("total", F.sum("n").over(Window.partitionBy(*KEY)))
     spread = by_comm.groupBy(*KEY).agg((F.round(F.sum(-(F.col("n") / F.col("total")) * F.log(2.0, F.col("n") / F.col("total"))), 6) + 0.0).alias("comm_entropy"))
-    figures = meta(windows, graph).select(*KEY, *(F.col(c).cast("double").alias(c) for c in ("n_nodes", "n_edges", "outbound_ext", "sensitive_reads")), *(F.col(c).cast("int").cast("double").alias(c) for c in ("exec_after_net", "unusual_comm", "tmp_exec", "external_connect")))
+    figures = meta(windows).select(*KEY, *(F.col(c).cast("double").alias(c) for c in ("n_nodes", "n_edges", "outbound_ext", "sensitive_reads")), *(F.col(c).cast("int").cast("double").alias(c) for c in ("exec_after_net", "unusual_comm", "tmp_exec", "external_connect")))
     return figures.join(structural_entropy(graph), KEY).join(by_edge, KEY).join(spread, KEY).join(parallel, KEY)
 
 

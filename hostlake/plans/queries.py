@@ -90,8 +90,7 @@ over_windows("s053_window_semantics", graph.window_semantics)
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored windows with their true label: the flagship."""
     w = windows.tumbling_windows(kernel_events(spark, sf_dir))
-    edges = graph.edges(w)
-    found = graph.provenance_score(w, edges)
+    found = graph.provenance_score(w)
     return found.join(joins.window_truth(w, attack_windows(spark)), graph.KEY)
 
 
@@ -146,8 +145,7 @@ class Chain:
 
     @kept
     def scored(self) -> DataFrame:
-        edges = graph.edges(self.windows)
-        return graph.provenance_score(self.windows, edges)
+        return graph.provenance_score(self.windows)
 
     @kept
     def texts(self) -> DataFrame:

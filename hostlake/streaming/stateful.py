@@ -304,7 +304,7 @@ def decisions(events: DataFrame, path: str, checkpoint: str, trigger: dict | Non
         if whole.isEmpty():
             held.unpersist()
             return
-        scored = graph.provenance_score(whole, graph.edges(whole))
+        scored = graph.provenance_score(whole)
         decided = scores.routed(scored, scores.heuristic(graph.serialized(whole)))
         tier = tiers.tier_of(F.col("confidence"), F.col("label"))
         decided.withColumn("tier", tier).write.mode("overwrite").json(f"{path}/decisions/batch={batch_id}")

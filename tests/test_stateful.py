@@ -61,7 +61,7 @@ def test_windows_reach_over_batches(few, sf, tmp_path, parts, shuffle):
     live = replayed(few, rows, events.schema, f"{tmp_path}/e", parts, closing(events, rows)).withWatermark("ts", "30 days")
     stateful.decisions(live, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     cut = windows.tumbling_windows(events)
-    want = scores.routed(graph.provenance_score(cut, graph.edges(cut)), scores.heuristic(graph.serialized(cut)))
+    want = scores.routed(graph.provenance_score(cut), scores.heuristic(graph.serialized(cut)))
     got = few.read.json(f"{tmp_path}/out/decisions")
     key = lambda r: (r.pid, r.wid, r.label, round(r.confidence, 6), r.route if "route" in r else None)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
