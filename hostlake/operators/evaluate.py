@@ -47,14 +47,12 @@ def stratified_sample(labelled: DataFrame, attacks: int, benign: int, hard_fract
     kind = F.when(F.col("name") == "c2_detected", 0).when(F.col("name") == "malware_detected", 1).otherwise(3)
     rows = labelled.withColumn("kind", kind)
     hard = int(attacks * hard_fraction)
-    if hard:
-        stratum = F.when(~F.col("malicious"), "benign").when(F.col("kind") <= 2, "easy").otherwise("hard")
-        room = F.when(F.col("stratum") == "benign", benign).when(F.col("stratum") == "easy", attacks - hard).otherwise(hard)
-    else:
-        stratum, room = F.when(F.col("malicious"), "attack").otherwise("benign"), F.when(F.col("stratum") == "benign", benign).otherwise(attacks)
-    ranked = rows.withColumn("stratum", stratum)
-    place = F.row_number().over(Window.partitionBy("stratum").orderBy("kind", "pid", "wid"))
-    return ranked.withColumn("place", place).where(F.col("place") <= room).drop("place", "kind")
+    bad, marked = F.col("malicious"), F.col("kind") <= 2
+    strata = {"benign": (~bad, benign)}
+    strata |= {"easy": (bad & marked, attacks - hard), "hard": (bad & ~marked, hard)} if hard else {"attack": (bad, attacks)}
+    # a limit over an order for each, which takes the first rows of every task before any meet
+    parts = [rows.where(c).withColumn("stratum", F.lit(name)).orderBy("kind", "pid", "wid").limit(room) for name, (c, room) in strata.items()]
+    return reduce(DataFrame.unionByName, parts).drop("kind")
 
 
 def confusion(results: DataFrame, *by: str) -> DataFrame:
