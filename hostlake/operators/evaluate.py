@@ -108,20 +108,37 @@ def calibration_error(results: DataFrame) -> DataFrame:
     return bins.agg(ece.alias("ece")).withColumn("verdict", verdict).join(F.broadcast(sure))
 
 
+def _log_gamma(x: Column) -> Column:
+    """log of gamma(x) for x >= 1: Stirling's series eight further on, less the logs in between."""
+    y = x + 8.0
+    series = 1 / (12.0 * y) - 1 / (360.0 * F.pow(y, F.lit(3))) + 1 / (1260.0 * F.pow(y, F.lit(5))) - 1 / (1680.0 * F.pow(y, F.lit(7)))
+    shifted = (y - 0.5) * F.log(y) - y + 0.5 * F.log(F.lit(2.0) * F.pi()) + series
+    return shifted - reduce(lambda u, v: u + v, [F.log(x + float(j)) for j in range(8)])
+
+
+def binomial_tail(k: Column, n: Column) -> Column:
+    """Chance of at most ``k`` of ``n`` fair throws, k <= n / 2.
+
+    Terms fall from the k-th down, each i / (n - i + 1) of the one above, so those more than 20 roots of n (and 60) below are nothing beside it: as many are summed, however large n is.
+    """
+    wide = n.cast("double")
+    top = F.exp(_log_gamma(wide + 1) - _log_gamma(k + 1.0) - _log_gamma(wide - k + 1.0) - wide * F.log(F.lit(2.0)))
+    steps = F.sequence(F.lit(1), F.least(k, F.ceil(20 * F.sqrt(wide)) + 60).cast("int"))
+    begin = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(acc: Column, j: Column) -> Column:
+        i = (k - j + 1).cast("double")
+        term = acc["term"] * i / (wide - i + 1)
+        return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+    return top * F.when(k > 0, F.aggregate(steps, begin, add)["sum"]).otherwise(1.0)
+
+
 def mcnemar(paired: DataFrame, first: str = "first_correct", second: str = "second_correct") -> DataFrame:
     """Discordant counts ``b`` and ``c`` and the exact two-sided binomial ``p`` (1 without any)."""
     counts = paired.agg(F.count_if(F.col(first) & ~F.col(second)).alias("b"), F.count_if(~F.col(first) & F.col(second)).alias("c"))
     n, k = F.col("b") + F.col("c"), F.least("b", "c")
-    # log of n choose i, summed term by term: log((n - i + 1) / i)
-    tail = F.aggregate(
-        F.sequence(F.lit(0), k.cast("int")),
-        F.struct(F.lit(0.0).alias("logc"), F.lit(0.0).alias("sum")),
-        lambda acc, i: F.struct(
-            (acc["logc"] + F.when(i > 0, F.log((n - i + 1) / i)).otherwise(0.0)).alias("logc"),
-            (acc["sum"] + F.exp(acc["logc"] + F.when(i > 0, F.log((n - i + 1) / i)).otherwise(0.0) - n * F.log(F.lit(2.0)))).alias("sum"),
-        ),
-    )["sum"]
-    return counts.withColumn("p", F.round(F.when(n == 0, 1.0).otherwise(F.least(2 * tail, F.lit(1.0))), 6))
+    return counts.withColumn("p", F.round(F.when(n == 0, 1.0).otherwise(F.least(2 * binomial_tail(k, n), F.lit(1.0))), 6))
 
 
 def cohens_d(rows: DataFrame, value: str, group: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -88,3 +89,15 @@ def test_scores_are_out_of_fold(labelled, tmp_path):
     assert {r.score for r in scores.stored_scores(features, f"{tmp_path}/none").collect()} == {0.0}
     scores.store_boosted(features, truth, f"{tmp_path}/model")
     assert scores.stored_scores(features, f"{tmp_path}/model").select("score").distinct().count() > 1
+
+
+def test_binomial_tails(spark):
+    """Against sums of whole numbers, and against the normal law where n is very large."""
+    small = [(k, n) for n in (1, 2, 3, 7, 30, 101, 400) for k in {0, 1, n // 3, n // 2} if k <= n // 2]
+    large = [(500_000_000 - d, 10**9) for d in (0, 10_000, 60_000)]
+    df = spark.createDataFrame(small + large, "k long, n long")
+    got = {(r.k, r.n): r.p for r in df.withColumn("p", evaluate.binomial_tail(F.col("k"), F.col("n"))).collect()}
+    for k, n in small:
+        assert got[k, n] == pytest.approx(sum(math.comb(n, i) for i in range(k + 1)) / 2**n, rel=1e-9)
+    for k, n in large:
+        assert got[k, n] == pytest.approx(0.5 * math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2)), rel=1e-3)
