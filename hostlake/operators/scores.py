@@ -84,10 +84,26 @@ def reduction(decided: DataFrame) -> DataFrame:
     return decided.agg(F.count_if(F.col("tier") == "draft").alias("draft"), F.count_if(F.col("tier") == "full").alias("full"), F.round(F.count_if(F.col("tier") == "draft") / F.count("*"), 6).alias("reduction"))
 
 
-def requests(texts: DataFrame, system: str = "Classify the process graph.") -> DataFrame:
-    """Chat requests for an outside classifier, as JSON in ``messages``."""
+def tiers_by_scenario(decided: DataFrame, full: DataFrame, truth: DataFrame, names: DataFrame) -> DataFrame:
+    """Per scenario: windows, how many of them the two tiers and the full model alone get right, which tier answered and the share of calls saved (percent).
+
+    ``decided``: pid, wid, label, tier (see dual_tier); ``full``: label of the full model; ``truth``: malicious; ``names``: scenario of a window.
+    """
+    met = decided.join(full.select(*KEY, F.col("label").alias("full_label")), KEY).join(truth.select(*KEY, "malicious"), KEY).join(names.select(*KEY, "scenario"), KEY)
+    right = lambda c: F.count_if((F.col(c) == "MALICIOUS") == F.col("malicious"))
+    draft = F.count_if(F.col("tier") == "draft")
+    return met.groupBy("scenario").agg(F.count("*").alias("windows"), right("label").alias("dual_correct"), right("full_label").alias("full_correct"), draft.alias("draft"), F.count_if(F.col("tier") == "full").alias("full"), F.round(100 * draft / F.count("*"), 1).alias("saved"))
+
+
+def requests(texts: DataFrame, system: str = "Classify the process graph.", shots: tuple[tuple[str, str], ...] = (), gray: DataFrame | None = None) -> DataFrame:
+    """Chat requests for an outside classifier, as JSON in ``messages``: the system's words, ``shots`` (a text and the answer to it) and the window's text.
+
+    Only windows of ``gray`` (pid, wid) are asked about, if that is given: the others are decided by their graph.
+    """
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
-    return texts.select(*KEY, F.to_json(F.array(message("system", F.lit(system)), message("user", F.col("text")))).alias("messages"))
+    shown = [message(role, F.lit(said)) for shot in shots for role, said in zip(("user", "assistant"), shot, strict=True)]
+    asked = texts if gray is None else texts.join(gray.select(*KEY), KEY, "left_semi")
+    return asked.select(*KEY, F.to_json(F.array(message("system", F.lit(system)), *shown, message("user", F.col("text")))).alias("messages"))
 
 
 def parsed_responses(responses: DataFrame) -> DataFrame:

@@ -554,3 +554,9 @@ CTES["vector"] = f"SELECT v.*, bad AS static FROM (SELECT pid, wid, round(avg((s
 CTES["centre"] = "SELECT avg(v1) FILTER (static = 0) AS i1, avg(v2) FILTER (static = 0) AS i2, avg(v3) FILTER (static = 0) AS i3, avg(v1) FILTER (static = 1) AS o1, avg(v2) FILTER (static = 1) AS o2, avg(v3) FILTER (static = 1) AS o3 FROM vector"
 CTES["apart"] = "SELECT pid, wid, static, sqrt((v1 - i1) ** 2 + (v2 - i2) ** 2 + (v3 - i3) ** 2) AS i, sqrt((v1 - o1) ** 2 + (v2 - o2) ** 2 + (v3 - o3) ** 2) AS o FROM vector JOIN centre ON true"
 put("s081b_call_site_blend", f"SELECT {KEYS}, static, round(ai, 6) AS ai, round(greatest(0.4::DOUBLE * static + 0.6::DOUBLE * ai, 0.55::DOUBLE * static), 6) AS score FROM (SELECT *, CASE WHEN i + o > 0 THEN i / (i + o) ELSE 0.5::DOUBLE END AS ai FROM apart) q")
+put(
+    "s112b_tiers_by_scenario",
+    """SELECT scenario, count(*) AS windows, count(*) FILTER ((CASE t.tier WHEN 'draft' THEN l ELSE sl END = 'MALICIOUS') = (hits >= 3)) AS dual_correct, count(*) FILTER ((s.label = 'MALICIOUS') = (hits >= 3)) AS full_correct,
+    count(*) FILTER (t.tier = 'draft') AS draft, count(*) FILTER (t.tier = 'full') AS "full", round(100 * count(*) FILTER (t.tier = 'draft') / count(*), 1) AS saved FROM two t JOIN said s USING (pid, wid) JOIN truth USING (pid, wid) JOIN named USING (pid, wid) GROUP BY scenario""",
+)
+put("s080c_gray_requests", f"SELECT {KEYS}, 'graph of a shell that reads /etc/shadow and connects out' AS m1, '{{\"label\": \"benign\", \"confidence\": 0.9}}' AS m4, text AS m5, 'user' AS role FROM text WHERE (pid, wid) IN (SELECT (pid, wid) FROM score WHERE score > 0.15 AND score < 0.55)")

@@ -379,3 +379,8 @@ def blended(c: Chain) -> DataFrame:
 
 
 over_chain("s081b_call_site_blend", blended)
+over_chain("s112b_tiers_by_scenario", lambda c: scores.tiers_by_scenario(two_tier(c), c.full(), c.truth(), c.windows.select("pid", "wid", scenario().alias("scenario")).distinct()))
+
+#: Worked examples that go before a window's text.
+SHOTS = (("graph of a shell that reads /etc/shadow and connects out", '{"label": "malicious", "confidence": 0.9}'), ("graph of a package update", '{"label": "benign", "confidence": 0.9}'))
+over_chain("s080c_gray_requests", lambda c: scores.requests(c.texts(), shots=SHOTS, gray=c.scored().where((F.col("score") > 0.15) & (F.col("score") < 0.55))).select("pid", "wid", *(F.get_json_object("messages", f"$[{i}].content").alias(f"m{i}") for i in (1, 4, 5)), F.get_json_object("messages", "$[5].role").alias("role")))
