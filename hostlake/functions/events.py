@@ -55,7 +55,9 @@ def is_external_routable(resource: Column) -> Column:
     dns = F.contains(last, F.lit(":")) & (F.substring_index(last, ":", -1) == "53")
     number = ipv4_number(host)
     spans = [(int(n.network_address), int(n.broadcast_address)) for n in (ipaddress.ip_network(f"{a}/{k}") for a, k in C.RESERVED_RANGES)]
-    return F.coalesce(number.isNotNull() & ~dns & ~any_of([number.between(a, b) for a, b in spans]), F.lit(False))
+    # the number is bound once: each range would take the text apart again
+    routable = F.transform(F.array(number), lambda n: n.isNotNull() & ~any_of([n.between(a, b) for a, b in spans]))[0]
+    return F.coalesce(~dns & routable, F.lit(False))
 
 
 def is_sensitive(resource: Column) -> Column:

@@ -6,6 +6,7 @@ second one's call; edges of equal ends and label merge. Windows are rows with pi
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,23 +81,39 @@ def _figures(windows: DataFrame) -> DataFrame:
     bits = reduce(lambda a, b: a + b, [F.when(c, bit).otherwise(0) for bit, c in marks.items()])
     node = F.concat("comm", F.lit("\x00"), rtype(F.col("sc_type")))
     whole = windows.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("idx", node.alias("node"), label.alias("label"), bits.alias("bits")))).alias("e")).where(F.size("e") > 1)
-    parts = whole.select(*KEY, *(F.col(f"e.{c}").alias(c) for c in ("node", "label", "bits")))
-    rest = F.size("node") - 1
-    paired = parts.withColumn("pair", F.zip_with(F.slice("node", F.lit(1), rest), F.slice("node", F.lit(2), rest), lambda a, b: F.concat(a, F.lit("\x01"), b)))
-    keyed = paired.withColumn("key", F.zip_with("pair", F.slice("label", F.lit(2), rest), lambda a, b: F.concat(a, F.lit("\x01"), b)))
-    first = F.filter(F.sequence(F.lit(1), F.size("key")), lambda j: F.array_position("key", F.element_at("key", j)) == j)
-    wide = F.size("node").cast("long") + 1
-    place = lambda j: (F.array_position("node", F.element_at("node", j)) * wide + F.array_position("pair", F.element_at("pair", j))) * wide + j
-    merged = keyed.withColumn("edge", F.transform(first, lambda j: F.struct(F.element_at("bits", j + 1).alias("bits"), F.element_at("bits", j).alias("source"), place(j).alias("place"))))
+    tail = lambda c: F.slice(c, 2, 1 << 30)
+    joined = lambda a, b: F.zip_with(a, b, lambda x, y: F.when(y.isNotNull(), F.concat(x, F.lit("\x01"), y)))
     has = lambda c, bit: c.bitwiseAND(F.lit(bit)) > 0
-    edges_with = lambda bit: F.filter("edge", lambda e: has(e["bits"], bit))
-    places = lambda bit: F.transform(edges_with(bit), lambda e: e["place"])
-    return merged.select(
-        *KEY, F.size(F.array_distinct("node")).cast("long").alias("n_nodes"), F.exists("bits", lambda b: has(b, UNUSUAL)).alias("unusual_comm"),
-        F.size("edge").cast("long").alias("n_edges"), F.size(edges_with(EXTERNAL)).cast("long").alias("outbound_ext"), F.size(edges_with(SENSITIVE)).cast("long").alias("sensitive_reads"),
-        (F.size(edges_with(STAGED)) > 0).alias("tmp_exec"), F.coalesce(F.array_min(places(CONNECT)) < F.array_max(places(EXECVE)), F.lit(False)).alias("exec_after_net"),
-        F.exists("edge", lambda e: has(e["bits"], EXTERNAL) & has(e["source"], SUSPECT)).alias("odd"),
-    ).withColumn("external_connect", F.col("outbound_ext") > 0)
+
+    def merged(v: Column) -> Column:
+        """Edges where they occur first: bits, those of the event before, and the place in iteration order."""
+        node, pair, key, bits = (v[c] for c in ("node", "pair", "key", "bits"))
+        wide = F.size(node).cast("long") + 1
+        place = lambda j: (F.array_position(node, node[j - 1]) * wide + F.array_position(pair, pair[j - 1])) * wide + j
+        first = F.filter(F.sequence(F.lit(1), F.size(node) - 1), lambda j: F.array_position(key, key[j - 1]) == j)
+        return F.transform(first, lambda j: F.struct(bits[j].alias("bits"), bits[j - 1].alias("source"), place(j).alias("place")))
+
+    def figures(v: Column, edge: Column) -> Column:
+        ends = lambda bit: F.filter(edge, lambda e: has(e["bits"], bit))
+        places = lambda bit: F.transform(ends(bit), lambda e: e["place"])
+        return F.struct(
+            F.size(F.array_distinct(v["node"])).cast("long").alias("n_nodes"), F.exists(v["bits"], lambda b: has(b, UNUSUAL)).alias("unusual_comm"),
+            F.size(edge).cast("long").alias("n_edges"), F.size(ends(EXTERNAL)).cast("long").alias("outbound_ext"), F.size(ends(SENSITIVE)).cast("long").alias("sensitive_reads"),
+            (F.size(ends(STAGED)) > 0).alias("tmp_exec"), F.coalesce(F.array_min(places(CONNECT)) < F.array_max(places(EXECVE)), F.lit(False)).alias("exec_after_net"),
+            F.exists(edge, lambda e: has(e["bits"], EXTERNAL) & has(e["source"], SUSPECT)).alias("odd"),
+        )
+
+    # each array is bound to a variable, so that it is computed once however often it is read
+    own = F.struct(F.col("e.node").alias("node"), F.col("e.label").alias("label"), F.col("e.bits").alias("bits"))
+    paired = _let(own, lambda v: F.struct(v["node"].alias("node"), v["label"].alias("label"), v["bits"].alias("bits"), joined(v["node"], tail(v["node"])).alias("pair")))
+    keyed = _let(paired, lambda v: F.struct(v["node"].alias("node"), v["bits"].alias("bits"), v["pair"].alias("pair"), joined(v["pair"], tail(v["label"])).alias("key")))
+    found = _let(keyed, lambda v: _let(merged(v), lambda edge: figures(v, edge)))
+    return whole.select(*KEY, F.inline(F.array(found))).withColumn("external_connect", F.col("outbound_ext") > 0)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
 
 
 def _starts(resource: Column) -> Column:
