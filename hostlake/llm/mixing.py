@@ -72,7 +72,7 @@ def schedule(spark, plan: DataFrame, block: int = BLOCK) -> DataFrame:
     )
     slots = spark.range(count).select(F.col("id").alias("slot"), F.floor(van_der_corput(F.col("id")) * total).cast("long").alias("point"))
     placed = slots.withColumn("cell", F.expr(f"point div {width}")).join(cells, "cell").where((F.col("point") >= F.col("lo")) & (F.col("point") < F.col("hi")))
-    ranked = running(placed.select("slot", "source_no"), ["source_no"], [F.expr(f"slot div {RUN}")], [F.col("slot")], F.lit(1).cast("long"), "rank")
+    ranked = staged(running(placed.select("slot", "source_no"), ["source_no"], [F.expr(f"slot div {RUN}")], [F.col("slot")], F.lit(1).cast("long"), "rank"))
     need = plan.select("source_no", F.expr(f"(hi - lo + {block - 1}) div {block}").alias("blocks"))
     timely = ranked.join(need, "source_no").where(F.col("rank") < F.col("blocks")).select("slot", "source_no", "rank")
     have = ranked.groupBy("source_no").agg(F.count("*").alias("have"))
@@ -107,15 +107,19 @@ def mix_slots(docs: DataFrame, text: str = "text", source: str = "source", id_co
     named = rows.join(plan.select(F.col("source").alias("own"), "source_no", "source_size", "target", "quota"), F.col("source").eqNullSafe(F.col("own"))).drop("own")
     # the upper bits of a hash cut a source into even runs of its shuffled order
     placed = running(named.where(F.col("size") > 0), ["source_no"], [F.shiftright("h", 50)], [F.col("h"), F.col("id"), F.col("t")], F.col("size"), "begin")
+    columns = ["id", "source_no", "begin", "size", "source_size", "target"]
+    # in one plan, the windows and joins of all steps would start at once and fill the driver
+    placed = staged(placed.select(*columns, "quota"))
     turns = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
     spans = turns.withColumn("from", F.col("begin") + F.col("turn") * F.col("source_size")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota")))
     pieces = spans.where(F.col("to") > F.col("from")).withColumn("rank", F.explode(F.sequence(F.expr(f"`from` div {block}"), F.expr(f"(`to` - 1) div {block}"))))
     start = F.greatest("from", F.col("rank") * block)
-    slots = pieces.join(schedule(spark, plan, block), ["source_no", "rank"]).select(
-        "slot", "source_no", "rank", "begin", "turn", (start - F.col("from")).alias("first"), (F.least("to", (F.col("rank") + 1) * block) - start).alias("words")
+    slots = staged(
+        pieces.join(schedule(spark, plan, block), ["source_no", "rank"]).select(
+            "slot", "source_no", "rank", "begin", "turn", (start - F.col("from")).alias("first"), (F.least("to", (F.col("rank") + 1) * block) - start).alias("words")
+        )
     )
     empty = named.where(F.col("size") == 0).withColumn("begin", F.lit(None).cast("long"))
-    columns = ["id", "source_no", "begin", "size", "source_size", "target"]
     return slots, placed.select(columns).unionByName(empty.select(columns))
 
 
@@ -147,7 +151,7 @@ def mixture_applied(docs: DataFrame) -> DataFrame:
     known = rows.where(F.col("id").isNotNull())
     read = known.join(begun, ["source_no", "begin"]).groupBy("id", "turn").agg(F.min("__slot").alias("__slot"))
     none = known.groupBy("id").agg(F.max("size").alias("most")).where(F.col("most") == 0).select("id", F.lit(0).alias("turn"), F.lit(None).cast("long").alias("__slot"))
-    again = read.unionByName(none).select(F.col("id").alias("__id"), "__slot")
+    again = staged(read.unionByName(none).select(F.col("id").alias("__id"), "__slot"))
     named = docs.where(F.col("doc_id").isNotNull()).join(again, F.col("doc_id") == F.col("__id"))
     rest = docs.where(F.col("doc_id").isNull()).withColumn("__slot", F.lit(None).cast("long"))
     return named.select(*docs.columns, "__slot").unionByName(rest).orderBy(F.col("__slot").asc_nulls_last(), "doc_id").select(*docs.columns)

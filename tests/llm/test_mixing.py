@@ -93,6 +93,23 @@ def test_slots_order_the_mix(spark):
             assert abs(sum(r.words for r in part if r.source_no == s) / sum(r.words for r in part) - share) < 0.08
 
 
+def test_no_plan_holds_all_steps(spark, monkeypatch):
+    """The steps of a mix are queries of their own: the driver never runs the exchanges of all of them at once (34 of a mix in one plan took it over its memory)."""
+    rows = [(i, "w " * (i * 37 % 50), f"s{i % 7}") for i in range(1, 120)] + [(None, "a b", None), (502, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    exchanges, write = [], mixing.staged
+
+    def counted(df):
+        exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+        return write(df)
+
+    monkeypatch.setattr(mixing, "staged", counted)
+    for mix in (mixing.mixed, mixing.mixture_applied):
+        out = mix(docs)
+        exchanges.append(out._jdf.queryExecution().executedPlan().toString().count("Exchange "))
+    assert 0 < max(exchanges) <= 12, exchanges
+
+
 def test_van_der_corput(spark):
     got = [r[0] for r in spark.range(64).select(mixing.van_der_corput(F.col("id"))).collect()]
     assert got == [int(f"{i:06b}"[::-1], 2) / 64 for i in range(64)]
