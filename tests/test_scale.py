@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from hostlake.operators import evaluate, scores, sequence, windows
+from hostlake.operators import evaluate, joins, scores, sequence, windows
 from pyspark.sql import functions as F
 
 SCHEMA = "event_id long, ts_us long, pid long, ppid long, trace_id long, comm string, sc_type int, resource string"
@@ -101,3 +101,22 @@ def test_binomial_tails(spark):
         assert got[k, n] == pytest.approx(sum(math.comb(n, i) for i in range(k + 1)) / 2**n, rel=1e-9)
     for k, n in large:
         assert got[k, n] == pytest.approx(0.5 * math.erfc((n / 2 - k - 0.5) / math.sqrt(n / 2)), rel=1e-3)
+
+
+def test_mean_distance_of_many_far_addresses(spark):
+    """Distances of mapped addresses whose sum is beyond a long; one class lies inside throughout, another's distances are the largest there are."""
+    far, near, n = 139637976727552, 4194304, 70_000
+    rows = spark.range(n).selectExpr("3 AS sc_type", f"{far} + id % 100 AS ip")
+    rows = rows.unionByName(spark.range(5).selectExpr("3 AS sc_type", f"{near} AS ip")).unionByName(spark.range(2).selectExpr("9 AS sc_type", f"{near} AS ip"))
+    rows = rows.unionByName(spark.range(4).selectExpr("0 AS sc_type", f"{2**63 - 1} AS ip")).unionByName(spark.range(2).selectExpr("0 AS sc_type", "0L AS ip"))
+    placed = joins.call_sites(rows, spark.range(1).selectExpr(f"{near}L AS addr"))
+    out = scores.call_site_evaluation(placed, F.col("sc_type") == 9)
+    assert dict(out.dtypes)["mean_distance"] == "bigint"
+    total = sum(far + i % 100 - near for i in range(n))
+    assert total > 2**63
+    got = {r.sc_type: tuple(r)[1:] for r in out.collect()}
+    assert got == {
+        3: (False, n + 5, pytest.approx(5 / (n + 5), abs=1e-6), total // n, far + 99 - near),
+        9: (True, 2, 1.0, None, None),
+        0: (False, 4, 0.0, 2**63 - 1 - near, 2**63 - 1 - near),
+    }
